@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, sentencepiece_codec, token_counts, token_output
+from . import quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, token_counts, token_output
 from .common import read_table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -22,6 +23,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), WORDS)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of near ones."""
+    found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as ids in the binary format, and read back."""
     return token_output.round_trip(read_table(spark, sf_dir, "documents"), WORDS, end_id=2)
@@ -34,8 +41,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, forest)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to target weights by source."""
+    return source_mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op7_token_output, op9_quality_rules)
+    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op5_simhash, op7_token_output, op9_quality_rules, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {}
