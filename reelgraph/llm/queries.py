@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, token_counts, token_output
+from . import language_id, license_scan, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, token_counts, token_output, topk_search
 from .common import read_table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -23,17 +23,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), WORDS)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that stand in the documents."""
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from the rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of near ones."""
     found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every 20th."""
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as ids in the binary format, and read back."""
     return token_output.round_trip(read_table(spark, sf_dir, "documents"), WORDS, end_id=2)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of all documents, and which are selected."""
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of all documents and the isolation forest's verdict."""
     docs = read_table(spark, sf_dir, "documents")
@@ -47,7 +69,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op5_simhash, op7_token_output, op9_quality_rules, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_token_counts, op3_license_scan, op4_language_id, op5_simhash, op6_topk, op7_token_output, op8_quality_classifier, op9_quality_rules, op10_mixing,
+    )
 }
 
+#: By crc32, integer inner products and regular expressions DuckDB could give parts; these are whole results.
 ORACLES: dict[str, str] = {}
