@@ -76,8 +76,8 @@ def named_characters(banners: DataFrame, appearances: DataFrame, on: Sequence[st
 def by_variant(mentions_: DataFrame, entities: DataFrame, on: Sequence[str] = (), text: str = "description") -> DataFrame:
     """Entity of each mention: an exact variant of its description, else a word of five letters or more of
     the canonical description that stands in the mention."""
-    v = entities.select(*on, "canonical_id", "ord", F.explode("description_variants").alias(text))
-    exact = first_match(mentions_.join(v, [*on, text]), [*on, "mention_id"], F.col("ord")).select(*on, "mention_id", "canonical_id")
+    v = entities.select(*on, "canonical_id", F.col("ord").alias("rg_o"), F.explode("description_variants").alias(text))
+    exact = first_match(mentions_.join(v, [*on, text]), [*on, "mention_id"], F.col("rg_o")).select(*on, "mention_id", "canonical_id")
     rest = mentions_.join(exact, [*on, "mention_id"], "left_anti")
     w = entities.select(*on, "canonical_id", "ord", F.explode(words("canonical_description", 5)).alias("rg_w"))
     m = rest.select(*on, "mention_id", F.explode(words(text, 5)).alias("rg_w"))
