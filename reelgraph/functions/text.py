@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,8 +166,6 @@ def balanced_object(text: str | None) -> str | None:
 
 def first_object(text) -> Column:
     """The first balanced object behind any thinking; brace counting is beyond regular expressions."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def pick(s: pd.Series) -> pd.Series:
         return s.map(balanced_object)
@@ -174,10 +175,6 @@ def first_object(text) -> Column:
 
 def tool_calls(text) -> Column:
     """Array of (name, args) of ``<tool name="…"><param name="…">…</param></tool>`` blocks and ``<function=…>`` forms."""
-    import re
-
-    import pandas as pd
-
     call = re.compile(r"<function=([\w.-]+)>(.*?)</function>", re.S)
     param = re.compile(r"<parameter=([\w.-]+)>(.*?)</parameter>", re.S)
 

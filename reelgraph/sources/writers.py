@@ -24,10 +24,10 @@ def graph_tables(nodes: DataFrame, edges: DataFrame, path: str, vectors: DataFra
 
 def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON text per video.  A video's graph becomes one row, as the format wants it."""
-    n = nodes.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in nodes.columns if c not in ("video_id", "ord")]).alias("x")))).alias("n"))
+    n = nodes.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.to_json(F.struct(*[c for c in nodes.columns if c not in ("video_id", "ord")])).alias("x")))).alias("n"))
     e = deduplicated(edges, ["video_id"], disc=True)
     e = e.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("eord", "src", "dst", F.to_json(F.struct(*[c for c in edges.columns if c not in ("video_id", "eord")])).alias("x")))).alias("e"))
-    node_json = F.concat(F.lit("["), F.array_join(F.transform("n", lambda s: F.to_json(s["x"])), ","), F.lit("]"))
+    node_json = F.concat(F.lit("["), F.array_join(F.transform("n", lambda s: s["x"]), ","), F.lit("]"))
     edge_json = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("e", F.expr("array()").cast(e.schema["e"].dataType)), lambda s: s["x"]), ","), F.lit("]"))
     j = n.select("video_id", node_json.alias("nj")).join(e.select("video_id", edge_json.alias("ej")), "video_id", "left")
     name = F.regexp_extract(F.to_json(F.struct("video_id")), r"^\{(.*)\}$", 1)
