@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into Python objects at once.
-SLICE_ROWS = 2048
+SLICE_ROWS = 1024
 #: Characters after which such a slice ends early, so that long texts do not add up.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,7 +25,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def prepare_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed."""
+    """Let Python workers import this package where it is not installed, and bound their batches of texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

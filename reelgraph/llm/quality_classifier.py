@@ -39,6 +39,8 @@ KEEP = 0.995
 _ENDS = b".,;:!?\"'()[]#*$%&|<>"
 
 
+#: Words whose bins a worker remembers.
+MOST_MET = 100_000
 _MET: dict[bytes, tuple[int, ...]] = {}
 
 
@@ -61,7 +63,7 @@ def features(text: str) -> np.ndarray:
     if not words:
         return np.array([zlib.crc32(b"empty") % SPACE], np.int32)
     distinct = set(words)
-    if len(_MET) > 300_000:
+    if len(_MET) > MOST_MET:
         _MET.clear()
     get = _MET.get
     found: set[int] = set()

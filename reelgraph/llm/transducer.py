@@ -14,13 +14,16 @@ anew, which bounds their memory.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
 MOST_STATES = 250_000
+#: Tests of neighbouring tokens that are remembered.
+MOST_FITS = 100_000
 #: Places of a text that advance side by side, and symbols that each has at least.
-LANES, LANE = 2048, 128
+LANES, LANE = 1024, 128
 
 
 def _pack(node: int, token: int, count: int) -> int:
@@ -60,7 +63,7 @@ class Transducer:
 
     def _clear(self) -> None:
         # an open place: trie node, token that ends there, tokens up to there against those up to here
-        self.states: list[tuple[int, ...]] = [(_pack(0, -1, 0),)]
+        self.states: list[bytes] = [array("q", (_pack(0, -1, 0),)).tobytes()]
         self.number = {self.states[0]: 0}
         self._tables(1024)
 
@@ -103,7 +106,7 @@ class Transducer:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > MOST_FITS:
                 self.fits.clear()
             known = self.fits[key] = self.encode_symbols(self.spelled[a] + self.spelled[b]) == [a, b]
         return known
@@ -112,7 +115,7 @@ class Transducer:
         state, column = divmod(k, self.columns)
         symbol = self.symbol_of[column]
         found, moved = None, []
-        for item in self.states[state]:
+        for item in array("q", self.states[state]):
             child = self.children.get((item >> 40, symbol))
             if child is None:
                 continue
@@ -126,16 +129,16 @@ class Transducer:
             raise ValueError(f"no token ends at symbol {symbol}")
         token, change = found
         if symbol in self.final:  # nothing follows; the token alone tells such states apart
-            key: tuple[int, ...] = (-1 - token,)
+            key = array("q", (-1 - token,)).tobytes()
         else:
-            key = (*(_pack(n, t, c - change) for n, t, c in moved), _pack(0, token, 0))
+            key = array("q", [*(_pack(n, t, c - change) for n, t, c in moved), _pack(0, token, 0)]).tobytes()
         number = self.number.get(key, -1)
         if number < 0:
             number = self.number[key] = len(self.states)
             self.states.append(key)
             if number >= len(self.token):
                 old = self.next, self.change, self.token
-                self._tables(2 * len(self.token))
+                self._tables(len(self.token) * 3 // 2)
                 for was, now in zip(old, (self.next, self.change, self.token)):
                     now[: len(was)] = was
             self.token[number] = token
