@@ -1,7 +1,7 @@
 """Quality classifier: ordinal regression with cumulative links over hashed text.
 
-Rows are graded 0 (low quality), 1 (of quality, but toxic) or 2 (of quality, not toxic).  All grades share
-one weight per hashed feature; ordered thresholds cut the score into grades:
+A row's grade is how many of two ratings are good, quality and freedom from toxicity: 0, 1 or 2, so that
+defects add up.  All grades share one weight per hashed feature; ordered thresholds cut the score into grades:
 P(grade <= k) = 1 / (1 + exp(score - threshold_k)).  A document gets its expected grade, and the tail
 probability of the highest grade by which it is selected.
 
@@ -92,7 +92,7 @@ class Model:
         return upper.sum(axis=1), upper[:, -1]
 
 
-def train(rows: list[np.ndarray], grade: np.ndarray, steps: int = 400) -> Model | None:
+def train(rows: list[np.ndarray], grade: np.ndarray, steps: int = 800) -> Model | None:
     present = np.unique(grade)
     if len(present) < 2:
         return None
@@ -114,7 +114,6 @@ def train(rows: list[np.ndarray], grade: np.ndarray, steps: int = 400) -> Model
     row, column = row[inside], number[bins[inside]]
     weights, thresholds = np.zeros(len(chosen)), np.array([np.log((grade <= k).mean() + 1e-3) - np.log((grade > k).mean() + 1e-3) for k in range(GRADES - 1)])
     momentum = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(thresholds), np.zeros_like(thresholds)]
-    above = (grade[:, None] > np.arange(GRADES - 1)[None, :]).astype(float)
     for t in range(1, steps + 1):
         s = np.bincount(row, weights=weights[column], minlength=n)
         upper = 1 / (1 + np.exp(np.clip(thresholds[None, :] - s[:, None], -30, 30)))
@@ -126,7 +125,7 @@ def train(rows: list[np.ndarray], grade: np.ndarray, steps: int = 400) -> Model
         dt = np.zeros(GRADES - 1)
         for k in range(GRADES - 1):
             dt[k] = (np.where(grade == k + 1, slope[:, k] / mass, 0) - np.where(grade == k, slope[:, k] / mass, 0)).mean()
-        dw = np.bincount(column, weights=ds[row], minlength=len(chosen)) / n + 1e-4 * weights
+        dw = np.bincount(column, weights=ds[row], minlength=len(chosen)) / n + 1e-5 * weights
         for x, g, m, v in ((weights, dw, momentum[0], momentum[1]), (thresholds, dt, momentum[2], momentum[3])):
             m *= 0.9
             m += 0.1 * g
@@ -134,7 +133,6 @@ def train(rows: list[np.ndarray], grade: np.ndarray, steps: int = 400) -> Model
             v += 0.001 * g * g
             x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         thresholds[:] = np.maximum.accumulate(thresholds)
-    del above
     full = np.zeros(SPACE, np.float32)
     full[chosen] = weights
     return Model(full, thresholds.copy(), 0.5)
@@ -142,7 +140,7 @@ def train(rows: list[np.ndarray], grade: np.ndarray, steps: int = 400) -> Model
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
-    graded = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("rg_id"), F.when(F.col("quality") < 1, 0).when(toxic > 0, 1).otherwise(2).alias("rg_grade"))
+    graded = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("rg_id"), ((F.col("quality") >= 1).cast("int") + (toxic < 1).cast("int")).alias("rg_grade"))
     chosen = graded.groupBy("rg_id").agg(F.min("rg_grade").alias("rg_grade")).orderBy(F.xxhash64("rg_id"), "rg_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("rg_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "rg_id").select("rg_id", "rg_grade", "text")
 
