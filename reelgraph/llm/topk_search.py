@@ -105,8 +105,6 @@ def _blocks(keyed: DataFrame, most: int) -> DataFrame:
     """Sorted rings of each pivot, ``most`` rows at most, a row each."""
     # ranges of the distance whose numbers of rows are known bound what one group holds
     wide = keyed.withColumn("cell", F.floor(F.col("place")).cast("long"))
-    counts = wide.groupBy("pivot", "cell").count()
-    counts = counts.withColumn("parts", F.ceil(F.col("count") / F.lit(most)).cast("int")).drop("count")
     # small neighbouring cells share a ring: cells are numbered by the rows before them
     run = Window.partitionBy("pivot").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = wide.groupBy("pivot", "cell").count().withColumn("before", F.coalesce(F.sum("count").over(run), F.lit(0)))
@@ -164,8 +162,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
-    # rows of repeated ids are told apart, so that they are not taken for one
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -226,7 +223,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
         return out.join(held, "asking").join(index.select("block", "ids", "vectors"), "block")
 
     home = materialize(_search(paired(None, True), k), "home")
-    ranked = _top(home.withColumn("copy", F.lit(0)), k)
+    ranked = _top(home, k)
     kth = ranked.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,4 +240,4 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     # QUERY_ROWS rows at most in a group
     floors = members.join(kth, "query_id", "left").select("asking", "at", F.coalesce("kth", F.lit(-(2**62)).cast("bigint")).alias("kth")).groupBy("asking").applyInPandas(gather, "asking bigint, known binary")
     rest = _search(paired(materialize(floors, "floors"), False), k)
-    return _top(home.union(rest).withColumn("copy", F.lit(0)), k).select("query_id", "rank", "vec_id", "score")
+    return _top(home.union(rest), k).select("query_id", "rank", "vec_id", "score")

@@ -186,3 +186,16 @@ def test_topk_prunes(spark):
 
 def test_topk_without_vectors(spark):
     assert topk_search.top_k(spark.createDataFrame([(20, None)], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_topk_equals_sql(spark):
+    import duckdb
+
+    from reelgraph.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = con.execute(queries.ORACLES["op6_topk"]).fetchall()
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op6_topk(spark, sf).collect()]
+    assert len(got) == len(want) and sorted(got) == sorted(want)
