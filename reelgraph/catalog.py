@@ -91,21 +91,21 @@ def as_spans(nodes: DataFrame, side: str, *keep: str) -> DataFrame:
 
 @query(f"WITH {NODES}, {HOURS} SELECT node_id, hour FROM nodes JOIN hours ON t_start - 30 <= b_t1 AND t_end + 30 >= b_t0")
 def window_overlap_many(spark, d):
-    return I.overlap_join(as_spans(event_nodes(spark, d), "a", "node_id"), hours(spark), width=900.0, buffer=30.0).select("node_id", "hour")
+    return I.overlap_join(as_spans(event_nodes(spark, d), "a", "node_id"), hours(spark), width=900.0, buffer=30.0, longest=7200.0).select("node_id", "hour")
 
 
 @query(f"WITH {NODES} SELECT node_id, day FROM nodes JOIN (SELECT h AS day, h * 86400.0 AS b_t0, (h + 1) * 86400.0 AS b_t1 FROM range(0, 30) t(h)) ON t_start BETWEEN b_t0 AND b_t1 WHERE node_type IN ('click', 'purchase')")
 def event_in_session(spark, d):
     days = spark.range(0, 30).select(F.col("id").alias("day"), (F.col("id") * 86400.0).alias("b_t0"), ((F.col("id") + 1) * 86400.0).alias("b_t1"))
     points = event_nodes(spark, d).where(F.col("node_type").isin("click", "purchase")).select("node_id", F.col("t_start").alias("a_t"))
-    return I.containing_join(points, days, width=21600.0).select("node_id", "day")
+    return I.containing_join(points, days, width=21600.0, longest=86400.0).select("node_id", "day")
 
 
 @query(f"""WITH {NODES}, spans AS (SELECT h AS span, h * 1800.0 AS b_t0, h * 1800.0 + 7200.0 AS b_t1 FROM range(0, 1440) t(h))
  SELECT node_id, span FROM (SELECT node_id, span, row_number() OVER (PARTITION BY node_id ORDER BY span) AS rn FROM nodes JOIN spans ON t_start BETWEEN b_t0 AND b_t1) WHERE rn = 1""")
 def first_containing_window(spark, d):
     spans = spark.range(0, 1440).select(F.col("id").alias("span"), (F.col("id") * 1800.0).alias("b_t0"), (F.col("id") * 1800.0 + 7200.0).alias("b_t1"))
-    return I.first_containing(event_nodes(spark, d).select("node_id", F.col("t_start").alias("a_t")), spans, ["node_id"], "span", width=1800.0).select("node_id", "span")
+    return I.first_containing(event_nodes(spark, d).select("node_id", F.col("t_start").alias("a_t")), spans, ["node_id"], "span", width=1800.0, longest=7200.0).select("node_id", "span")
 
 
 @query(f"""WITH {NODES}, clips AS (SELECT t_start AS c FROM nodes WHERE node_type = 'view'),
@@ -126,7 +126,7 @@ def band_join_actions(spark, d):
 @query(f"""WITH {NODES}, {HOURS}, j AS (SELECT node_id, hour, least(t_end, b_t1) - greatest(t_start, b_t0) AS overlap FROM nodes JOIN hours ON t_start <= b_t1 AND t_end >= b_t0)
  SELECT node_id, hour, round(overlap, 3) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY overlap DESC, hour) AS rn FROM j WHERE overlap > 0) WHERE rn = 1""")
 def overlap_argmax(spark, d):
-    j = I.longest_overlap(as_spans(event_nodes(spark, d), "a", "node_id"), hours(spark), ["node_id"], "hour", width=900.0)
+    j = I.longest_overlap(as_spans(event_nodes(spark, d), "a", "node_id"), hours(spark), ["node_id"], "hour", width=900.0, longest=7200.0)
     return j.select("node_id", "hour", F.round("overlap", 3).alias("overlap"))
 
 

@@ -95,13 +95,13 @@ def reach(roots: DataFrame, edges: DataFrame, depth: int, relations: Sequence[st
     else:
         step = (edges if relations is None else edges.where(F.col("relation_type").isin(*relations))).select(*on, F.col("src").alias("node"), F.col("dst").alias("neighbour"))
     step = step.distinct()
-    seen = roots.select(*on, "node_id").distinct().withColumn("hop", F.lit(0))
-    ring = seen
+    ring = roots.select(*on, "node_id").distinct()
+    seen = ring.withColumn("hop", F.lit(0))
+    # a ring depends on the ring before alone, so the plan grows with the depth and not with its power
     for hop in range(1, depth + 1):
-        following = ring.select(*on, F.col("node_id").alias("node")).join(step, [*on, "node"]).select(*on, F.col("neighbour").alias("node_id")).distinct()
-        ring = following.join(seen.select(*on, "node_id"), [*on, "node_id"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(ring)
-    return seen
+        ring = ring.select(*on, F.col("node_id").alias("node")).join(step, [*on, "node"]).select(*on, F.col("neighbour").alias("node_id")).distinct()
+        seen = seen.unionByName(ring.withColumn("hop", F.lit(hop)))
+    return seen.groupBy(*on, "node_id").agg(F.min("hop").alias("hop"))
 
 
 def reach_all(roots: DataFrame, edges: DataFrame, relations: Sequence[str] | None = None, on: Sequence[str] = (), most: int = 50) -> DataFrame:

@@ -23,18 +23,20 @@ def _bucket(t: Column, width: float) -> Column:
     return F.floor(t / F.lit(float(width))).cast("long")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, on: Sequence[str] = (), width: float = 60.0, buffer: float = 0.0) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, on: Sequence[str] = (), width: float = 60.0, buffer: float = 0.0, longest: float = 1e9) -> DataFrame:
     """Pairs of closed intervals that overlap, after ``a`` is widened by ``buffer`` on both sides.
 
     ``a`` has a_t0 and a_t1, ``b`` b_t0 and b_t1; other columns must have names of their own but for
     ``on``.  Intervals of more than ``MOST_BUCKETS`` buckets are joined in buckets wide enough for them,
     by powers of ``MOST_BUCKETS``, so neither side is ever replicated more than that, or broadcast.
+    ``longest`` is about the longest interval to expect; it saves scales that nothing needs, and a longer
+    interval only takes more buckets.
     """
     a = a.where("a_t0 is not null and a_t1 is not null and a_t1 >= a_t0")
     b = b.where("b_t0 is not null and b_t1 is not null and b_t1 >= b_t0")
     scale = lambda t0, t1, more: F.greatest(F.lit(0), F.ceil(F.log(F.greatest((F.col(t1) - F.col(t0) + more) / width / (MOST_BUCKETS - 2), F.lit(1e-9))) / math.log(MOST_BUCKETS))).cast("int")
     a, b = a.withColumn("rg_sa", scale("a_t0", "a_t1", 2 * buffer)), b.withColumn("rg_sb", scale("b_t0", "b_t1", 0.0))
-    top = 6
+    top = max(0, math.ceil(math.log(max(longest / width / (MOST_BUCKETS - 2), 1e-9)) / math.log(MOST_BUCKETS)))
     # a pair meets at the wider of the two scales: each side is put to its own scale and all wider ones
     x = a.withColumn("rg_s", F.explode(F.sequence(F.least("rg_sa", F.lit(top)), F.lit(top))))
     y = b.withColumn("rg_s", F.explode(F.sequence(F.least("rg_sb", F.lit(top)), F.lit(top))))
@@ -49,15 +51,15 @@ def overlap_join(a: DataFrame, b: DataFrame, on: Sequence[str] = (), width: floa
     return j.drop("rg_k", "rg_s", "rg_sa", "rg_sb")
 
 
-def containing_join(points: DataFrame, spans: DataFrame, on: Sequence[str] = (), width: float = 60.0) -> DataFrame:
+def containing_join(points: DataFrame, spans: DataFrame, on: Sequence[str] = (), width: float = 60.0, longest: float = 1e9) -> DataFrame:
     """Points (a_t) with all closed spans (b_t0, b_t1) that hold them; only the spans are replicated."""
     p = points.where("a_t is not null").withColumns({"a_t0": F.col("a_t"), "a_t1": F.col("a_t")})
-    return overlap_join(p, spans, on, width).drop("a_t0", "a_t1")
+    return overlap_join(p, spans, on, width, longest=longest).drop("a_t0", "a_t1")
 
 
-def first_containing(points: DataFrame, spans: DataFrame, key: Sequence[str], order: str, on: Sequence[str] = (), width: float = 60.0) -> DataFrame:
+def first_containing(points: DataFrame, spans: DataFrame, key: Sequence[str], order: str, on: Sequence[str] = (), width: float = 60.0, longest: float = 1e9) -> DataFrame:
     """The first containing span of each point, by ``order``."""
-    return first_match(containing_join(points, spans, on, width), key, F.col(order))
+    return first_match(containing_join(points, spans, on, width, longest), key, F.col(order))
 
 
 def first_match(pairs: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
@@ -73,9 +75,9 @@ def band_join(a: DataFrame, b: DataFrame, gap: float, on: Sequence[str] = ()) ->
     return x.join(y, [*on, "rg_k"]).where(F.abs(F.col("a_t") - F.col("b_t")) <= gap).drop("rg_k")
 
 
-def longest_overlap(a: DataFrame, b: DataFrame, key: Sequence[str], order: str, on: Sequence[str] = (), width: float = 60.0) -> DataFrame:
+def longest_overlap(a: DataFrame, b: DataFrame, key: Sequence[str], order: str, on: Sequence[str] = (), width: float = 60.0, longest: float = 1e9) -> DataFrame:
     """The span of ``b`` that shares the most time, above zero, with each of ``a``; ties to the first."""
-    j = overlap_join(a, b, on, width).withColumn("overlap", F.least("a_t1", "b_t1") - F.greatest("a_t0", "b_t0")).where("overlap > 0")
+    j = overlap_join(a, b, on, width, longest=longest).withColumn("overlap", F.least("a_t1", "b_t1") - F.greatest("a_t0", "b_t0")).where("overlap > 0")
     return first_match(j, key, F.desc("overlap"), F.col(order))
 
 
