@@ -16,7 +16,6 @@ length count whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,10 @@ LANDMARKS, PER_LANGUAGE, SAMPLE_ROWS = 64, 250, 4000
 RIDGE = 1e-3
 BATCH = 96
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def presence(text: str) -> np.ndarray:
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             bits = [np.packbits(presence(t)).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array([bool(_LETTER.search(t)) for t in texts])], ["id", "lang", "bits", "letters"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array([has_letter(t) for t in texts])], ["id", "lang", "bits", "letters"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     sample = learn.join(F.broadcast(ids), ["rg_id", "rg_lang"]).select("rg_id", "rg_lang", "text").mapInArrow(run, f"id {kind}, lang string, bits binary, letters boolean").where("letters").toPandas()
@@ -123,7 +125,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 s = m.scores(np.stack([presence(t) for t in part]))
                 best = s.argmax(axis=1)
                 for t, b, value in zip(part, best.tolist(), s[np.arange(len(part)), best].tolist()):
-                    known = _LETTER.search(t) is not None
+                    known = has_letter(t)
                     found.append(m.languages[b] if known else UNKNOWN)
                     score.append(min(1.0, max(0.0, (value + 1) / 2)) if known else 0.0)
             yield pa.RecordBatch.from_arrays([id_column(batch, id_col), pa.array(found, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])

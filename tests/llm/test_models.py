@@ -18,7 +18,7 @@ STEMS = {"en": ("the", "and", "ing", "tion", "er", "with"), "de": ("der", "ung",
 def spoken(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(3, 60), STEMS[lang]), lang) for i, lang in enumerate(["en", "de", "fr"] * 120)]
-    rows += [(1000, None, "en"), (1001, "", "de"), (1002, "123 ... !", "fr"), (1003, "the and with", None), (None, "der ung ich", "de"), (5, rows[5][1], rows[5][2])]
+    rows += [(1000, None, "en"), (1001, "", "de"), (1002, "123 ² ½ ... !", "fr"), (1003, "the and with", None), (None, "der ung ich", "de"), (5, rows[5][1], rows[5][2])]
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
 
 
