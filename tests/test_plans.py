@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reelgraph.plans import context, walking
+from reelgraph.plans import agents, context, walking
 
 from .test_operators import edges_of, nodes_of
 
@@ -46,3 +46,20 @@ def test_context_is_capped_and_chronological(spark):
     two = got.where("qid = 2").collect()
     assert sum(r["block"] == 0 for r in two) == 4 and sum(r["block"] == 1 for r in two) == 12
     assert context.context_text(got).count() == 2
+
+
+def test_agents_use_tools_until_they_answer(spark):
+    n, _ = small(spark)
+    q = spark.createDataFrame([(1, "v", "What falls?"), (2, "v", "never answers")], "qid int, video_id string, question string")
+
+    def chat(talk):
+        """Answers once a tool has shown the knife; the second question calls a tool that does not exist."""
+        g = talk.groupBy("qid").agg(F.bool_or((F.col("role") == "tool") & F.contains("text", F.lit("knife falls"))).alias("shown"), F.bool_or(F.contains("text", F.lit("Answer now"))).alias("forced"), F.max("text").alias("t"))
+        call = F.when(F.col("qid") == 1, "<function=search_graph><parameter=query>falling knife</parameter></function>").otherwise("<function=fly></function>")
+        return g.select("qid", F.when(F.col("shown"), "B").when(F.col("forced"), "D").otherwise(call).alias("text"))
+
+    got = {r["qid"]: (r["letter"], r["turn"]) for r in agents.run(q, n, chat, turns=2).collect()}
+    assert got == {1: ("B", 2), 2: ("D", 3)}
+    calls = agents.calls_of(spark.createDataFrame([(1, "Thought\nAction: get_scene_detail('0:00', 0:04)")], "qid int, text string"), "react").withColumn("video_id", F.lit("v"))
+    assert agents.scene_detail(calls, n).first()["text"].split("\n") == ["[0s–1s] Action: knife falls", "[5s–6s] Action: bread cut"]
+    assert agents.list_episodes(calls, n).first()["text"] == "[0s–100s] Episode: whole story"
