@@ -1,21 +1,21 @@
 """License scans by conditional compression.
 
-A block is a line of a document that uses a word of licensing.  Each block is compressed with each
-template as raw Zstandard dictionary; the template that shrinks it most, against compression without
-a dictionary, is the candidate.  A candidate is confirmed by its exact wording: with case, punctuation
-and blanks folded, the template's words must stand in the block in order, but for at most
-``MOST_DIFFERENCES`` words that are put in, left out or replaced; a template's identifying words may
-not be among them.
+A line of a document that uses a word of licensing is cut into blocks of twice the words of the longest
+passage that can be confirmed; neighbouring blocks share one such length, so each passage lies whole in
+one of them.  Each block is compressed with each template as raw Zstandard dictionary; templates are
+ranked by how far they shrink it, against compression without a dictionary, and confirmed by their exact
+wording, also where they do not shrink it: with case, punctuation and blanks folded, the template's words
+must stand in the block in order, but for at most ``MOST_DIFFERENCES`` words that are put in, left out or
+replaced; a template's identifying words may not be among them.
 
 Defined cases: null and empty texts have no blocks and no rows; every block of a text is judged, and a
-license that stands in a text several times is reported once, with the number of its blocks.
+license that stands in a text several times is reported once, with the number of its lines.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -56,52 +56,73 @@ class Scanner:
         self.primed = {
             k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for k, t in folded.items()
         }
+        self.reach = max(map(len, self.words.values())) + MOST_DIFFERENCES
         self.met: dict[str, tuple | None] = {}
 
-    def differences(self, license_id: str, block: list[str]) -> int | None:
-        """Words by which a block's best passage differs from the template; None if identifying words differ."""
-        wanted = self.words[license_id]
-        matcher = SequenceMatcher(None, block, wanted, autojunk=False)
-        pairs = [m for m in matcher.get_matching_blocks() if m.size]
-        if not pairs:
-            return None
-        kept = {w for m in pairs for w in wanted[m.b : m.b + m.size]}
-        if not self.marks[license_id] <= kept:
-            return None
-        span = pairs[-1].a + pairs[-1].size - pairs[0].a
-        same = sum(m.size for m in pairs)
-        return max(len(wanted) - same, span - same)
-
-    def block(self, line: str) -> tuple[str, float, int] | None:
-        """License of a line, how far its template shrinks it, and the words that differ."""
-        if line not in self.met:
+    def passages(self, license_id: str, block: list[str]) -> list[tuple[int, int, int]]:
+        """Passages of a block that confirm a template: first word, end, and the words that differ."""
+        wanted, marks = self.words[license_id], self.marks[license_id]
+        if not marks <= set(block):
+            return []
+        found = []
+        for skipped in range(min(MOST_DIFFERENCES + 1, len(wanted))):
+            if skipped and wanted[skipped - 1] in marks:
+                break
+            for start in (i for i, w in enumerate(block) if w == wanted[skipped]):
+                # by words left out and put in, so far; both together give the place in the block
+                states = {(skipped, 0)}
+                for j in range(skipped, len(wanted)):
+                    after = set()
+                    for left, more in states:
+                        if left < MOST_DIFFERENCES and wanted[j] not in marks:
+                            after.add((left + 1, more))
+                        for extra in range(more, MOST_DIFFERENCES + 1):
+                            at = start + j - left + extra
+                            if at < len(block) and block[at] == wanted[j]:
+                                after.add((left, extra))
+                    states = after
+                    if not states:
+                        break
+                found += [(start, start + len(wanted) - left + more, max(left, more)) for left, more in states]
+        return found
+
+    def block(self, block: str) -> tuple[str, float, int] | None:
+        """License of a block, how far its template shrinks it, and the words that differ."""
+        if block not in self.met:
             if len(self.met) > 50_000:
                 self.met.clear()
-            self.met[line] = self._block(line)
-        return self.met[line]
+            self.met[block] = self._block(block)
+        return self.met[block]
 
-    def _block(self, line: str) -> tuple[str, float, int] | None:
-        words = _words(line)
-        data = " ".join(words).encode()
+    def _block(self, block: str) -> tuple[str, float, int] | None:
+        words, data = block.split(), block.encode()
         alone = len(self.plain.compress(data))
         ranked = sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.primed.items()), key=lambda x: (-x[0], x[1]))
         for gain, name in ranked:
-            if gain <= 0:
-                break
-            n = self.differences(name, words)
-            if n is not None and n <= MOST_DIFFERENCES:
-                return name, gain, n
+            if found := self.passages(name, words):
+                return name, gain, min(n for _, _, n in found)
         return None
 
+    def blocks(self, line: str) -> Iterator[str]:
+        """Overlapping blocks of a line; a passage of at most ``reach`` words is whole in one of them."""
+        words = _words(line)
+        for start in range(0, max(len(words) - self.reach, 1), self.reach):
+            yield " ".join(words[start : start + 2 * self.reach])
+
     def text(self, text: str) -> dict[str, tuple[float, int, int]]:
         """By license: the best reduction, the fewest differing words, and the number of blocks."""
         out: dict[str, tuple[float, int, int]] = {}
         if not HINT.search(text):
             return out
         for line in text.split("\n"):
-            if HINT.search(line) and (found := self.block(line)):
-                name, gain, n = found
-                g, d, c = out.get(name, (0.0, n, 0))
+            if not HINT.search(line):
+                continue
+            here: dict[str, tuple[float, int]] = {}
+            for name, gain, n in filter(None, map(self.block, self.blocks(line))):
+                g, d = here.get(name, (gain, n))
+                here[name] = max(g, gain), min(d, n)
+            for name, (gain, n) in here.items():
+                g, d, c = out.get(name, (gain, n, 0))
                 out[name] = max(g, gain), min(d, n), c + 1
         return out
 

@@ -138,3 +138,15 @@ def test_licenses(spark, empty):
     got = {(r["doc_id"], r["license"], r["blocks"]) for r in license_scan.scan_licenses(df).collect()}
     assert got == {(1, "MIT", 2), (2, "CC-BY-NC-4.0", 1), (3, "CC-BY-4.0", 1), (7, "GPL-3.0", 1), (8, "Apache-2.0", 1), (9, "AGPL-3.0", 1)}
     assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_in_a_long_line():
+    rng = random.Random(12)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for n in (0, 15, 40, 700, 1000, 2500, 12000):
+        words = prose(rng, n).split()
+        at = rng.randint(0, n)
+        got = scanner.text(" ".join([*words[:at], license_scan.TEMPLATES["Apache-2.0"], *words[at:]]))
+        assert {k: (d, c) for k, (_, d, c) in got.items()} == {"Apache-2.0": (0, 1)}, n
+    near = scanner.text("the under license " * 9 + "It is licensed today under the new Apache License, Version 2.0, the license " * 2)
+    assert near["Apache-2.0"][1:] == (1, 1)
