@@ -1,20 +1,26 @@
 """License scans by conditional compression.
 
-A line of a document that uses a word of licensing is cut into blocks of twice the words of the longest
+Words around a hint of licensing are cut, across line ends, into blocks of twice the words of the longest
 passage that can be confirmed; neighbouring blocks share one such length, so each passage lies whole in
 one of them.  Each block is compressed with each template as raw Zstandard dictionary; templates are
 ranked by how far they shrink it, against compression without a dictionary, and confirmed by their exact
 wording, also where they do not shrink it: with case, punctuation and blanks folded, the template's words
 must stand in the block in order, but for at most ``MOST_DIFFERENCES`` words that are put in, left out or
-replaced; a template's identifying words may not be among them.
+replaced; a template's identifying words may not be among them.  SPDX tags are read as expressions.
+
+Every confirmed license of a block is reported.  A passage gives way to one whose identifying words hold
+its own and more ("GNU Lesser General" to "GNU General"); the opening that the BSD licenses share counts
+for the one whose last clause follows within ``BODY_WORDS`` words, else for BSD-2-Clause.
 
 Defined cases: null and empty texts have no blocks and no rows; every block of a text is judged, and a
-license that stands in a text several times is reported once, with the number of its lines.
+license that stands in a text several times is reported once, with the number of its passages that do not
+overlap (column ``blocks``).  Words cut by a hyphen at a line's end are not joined.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,44 +30,86 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Wordings of notices by license (fixed values; the words in capitals identify the license).
+#: Wordings of notices and bodies by license (fixed values; words in capitals and numbers identify it).
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the APACHE License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "BSD-3-Clause": "Licensed under the BSD 3-CLAUSE License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the MOZILLA Public License, v. 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU GENERAL Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU LESSER General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU AFFERO General Public License, version 3.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
+    "Apache-2.0": ("Licensed under the APACHE License, Version 2.0.", "APACHE License Version 2.0, JANUARY 2004"),
+    "MIT": (
+        "Released under the MIT License.",
+        "Permission is HEREBY granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to DEAL in the Software without RESTRICTION",
+    ),
+    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without FEE is HEREBY granted"),
+    "BSD-2-Clause": ("Licensed under the BSD 2-CLAUSE License.", "REDISTRIBUTION and use in SOURCE and BINARY forms, with or without modification, are permitted provided that the following conditions are met"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-CLAUSE License.", "nor the names of its contributors may be used to ENDORSE or PROMOTE products derived from this software without specific prior written permission"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the MOZILLA Public License, v. 2.0.", "MOZILLA Public License Version 2.0"),
+    "Unlicense": ("This is free and UNENCUMBERED software released into the public domain",),
+    **{
+        name: (
+            f"This {work} is licensed under the GNU {kind} Public License, version {number}.",
+            f"under the terms of the GNU {kind} Public License as published by the Free Software Foundation; either version {number} of the License",
+            f"under the terms of the GNU {kind} Public License version {number} as published by the Free Software Foundation",
+            f"GNU {kind} PUBLIC LICENSE Version {number}, {month} {year}",
+        )
+        for name, work, kind, number, month, year in (
+            ("GPL-2.0", "work", "GENERAL", "2", "JUNE", 1991),
+            ("GPL-3.0", "work", "GENERAL", "3", "29 JUNE", 2007),
+            ("LGPL-2.1", "library", "LESSER GENERAL", "2.1", "FEBRUARY", 1999),
+            ("LGPL-3.0", "library", "LESSER GENERAL", "3", "29 JUNE", 2007),
+            ("AGPL-3.0", "work", "AFFERO GENERAL", "3", "19 NOVEMBER", 2007),
+        )
+    },
+    **{
+        f"CC-{kind}-4.0": (f"Licensed under CC {kind} 4.0.", *([f"Licensed under CC {kind.replace('-', ' ')} 4.0."] if "-" in kind else []), f"CREATIVE COMMONS {full} 4.0 International License")
+        for kind, full in (
+            ("BY", "ATTRIBUTION"),
+            ("BY-SA", "ATTRIBUTION-SHAREALIKE"),
+            ("BY-NC", "ATTRIBUTION-NONCOMMERCIAL"),
+            ("BY-ND", "ATTRIBUTION-NODERIVATIVES"),
+            ("BY-NC-SA", "ATTRIBUTION-NONCOMMERCIAL-SHAREALIKE"),
+            ("BY-NC-ND", "ATTRIBUTION-NONCOMMERCIAL-NODERIVATIVES"),
+        )
+    },
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "CREATIVE COMMONS CC0 1.0 Universal"),
 }
-HINT = re.compile(r"licen[sc]e|\bCC[ -]?(?:BY|0)\b|public domain", re.I)
+HINTS = r"licen[sc]e|\bCC[ -]?(?:BY|0)\b|public\s+domain|\b(?:hereby|redistribution|endorse|mozilla|unencumbered)\b|creative\s+commons"
+HINT = re.compile(HINTS, re.I)
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)", re.I)
+#: Licenses that share an opening, and the one whose own clause follows it.
+OPENINGS = {"BSD-3-Clause": "BSD-2-Clause"}
+BODY_WORDS = 300
 MOST_DIFFERENCES = 2
 
 
+_WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*")
+
+
 def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*", text.lower())
+    return _WORD.findall(text.lower())
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
-        self.words = {k: _words(t) for k, t in templates.items()}
-        self.marks = {k: set(_words(" ".join(re.findall(r"[A-Z0-9][A-Z0-9.-]+", t)))) for k, t in templates.items()}
-        folded = {k: " ".join(w).encode() for k, w in self.words.items()}
+    def __init__(self, templates: dict[str, str | tuple[str, ...]]):
+        wordings = [(k, t) for k, ts in templates.items() for t in ([ts] if isinstance(ts, str) else ts)]
+        self.names = [k for k, _ in wordings]
+        self.words = [_words(t) for _, t in wordings]
+        self.marks = [set(_words(" ".join(re.findall(r"[A-Z0-9][A-Z0-9.-]+|[0-9]", t)))) for _, t in wordings]
+        self.by_tag = {k.lower(): k for k in templates}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.primed = {
-            k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for k, t in folded.items()
-        }
-        self.reach = max(map(len, self.words.values())) + MOST_DIFFERENCES
-        self.met: dict[str, tuple | None] = {}
+        self.primed = [self._primed(" ".join(w)) for w in self.words]
+        self.tags = {k: self._primed(f"spdx-license-identifier {' '.join(_words(k))}") for k in templates}
+        self.reach = max(map(len, self.words)) + MOST_DIFFERENCES
+        self.met: dict[str, list[tuple]] = {}
 
-    def passages(self, license_id: str, block: list[str]) -> list[tuple[int, int, int]]:
+    @staticmethod
+    def _primed(text: str) -> zstandard.ZstdCompressor:
+        known = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False)
+
+    def _gain(self, compressor: zstandard.ZstdCompressor, data: bytes) -> float:
+        return 1 - len(compressor.compress(data)) / len(self.plain.compress(data))
+
+    def passages(self, template: int, block: list[str]) -> list[tuple[int, int, int]]:
         """Passages of a block that confirm a template: first word, end, and the words that differ."""
-        wanted, marks = self.words[license_id], self.marks[license_id]
+        wanted, marks = self.words[template], self.marks[template]
         if not marks <= set(block):
             return []
         found = []
@@ -86,48 +134,76 @@ class Scanner:
                 found += [(start, start + len(wanted) - left + more, max(left, more)) for left, more in states]
         return found
 
-    def block(self, block: str) -> tuple[str, float, int] | None:
-        """License of a block, how far its template shrinks it, and the words that differ."""
+    def block(self, block: str) -> list[tuple[int, int, int, int, float, frozenset]]:
+        """Confirmed passages of a block: template, first word, end, differing words, reduction, identifying places."""
         if block not in self.met:
             if len(self.met) > 50_000:
                 self.met.clear()
             self.met[block] = self._block(block)
         return self.met[block]
 
-    def _block(self, block: str) -> tuple[str, float, int] | None:
+    def _block(self, block: str) -> list[tuple[int, int, int, int, float, frozenset]]:
         words, data = block.split(), block.encode()
-        alone = len(self.plain.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.primed.items()), key=lambda x: (-x[0], x[1]))
-        for gain, name in ranked:
-            if found := self.passages(name, words):
-                return name, gain, min(n for _, _, n in found)
-        return None
-
-    def blocks(self, line: str) -> Iterator[str]:
-        """Overlapping blocks of a line; a passage of at most ``reach`` words is whole in one of them."""
-        words = _words(line)
-        for start in range(0, max(len(words) - self.reach, 1), self.reach):
-            yield " ".join(words[start : start + 2 * self.reach])
+        ranked = sorted(((self._gain(c, data), i) for i, c in enumerate(self.primed)), key=lambda x: (-x[0], x[1]))
+        return [(i, a, b, n, gain, frozenset(p for p in range(a, b) if words[p] in self.marks[i])) for gain, i in ranked for a, b, n in self.passages(i, words)]
+
+    def _found(self, text: str) -> set[tuple[int, int, int, int, float, frozenset]]:
+        """Confirmed passages of a text's blocks, at their places in the text."""
+        low = text.lower()
+        words = [(m.group(), m.end()) for m in _WORD.finditer(low)]
+        ends = [e for _, e in words]
+        spans: list[list[int]] = []
+        for m in HINT.finditer(low):
+            at = bisect_left(ends, m.start() + 1)
+            low_, high = max(0, at - self.reach), min(len(words), at + self.reach + 2)
+            if spans and low_ <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], high)
+            else:
+                spans.append([low_, high])
+        out = set()
+        for low_, high in spans:
+            for start in range(low_, max(high - self.reach, low_ + 1), self.reach):
+                block = " ".join(w for w, _ in words[start : min(high, start + 2 * self.reach)])
+                out |= {(i, a + start, b + start, n, g, frozenset(p + start for p in marks)) for i, a, b, n, g, marks in self.block(block)}
+        return out
 
     def text(self, text: str) -> dict[str, tuple[float, int, int]]:
-        """By license: the best reduction, the fewest differing words, and the number of blocks."""
+        """By license: the best reduction, the fewest differing words, and the number of passages."""
         out: dict[str, tuple[float, int, int]] = {}
         if not HINT.search(text):
             return out
-        for line in text.split("\n"):
-            if not HINT.search(line):
-                continue
-            here: dict[str, tuple[float, int]] = {}
-            for name, gain, n in filter(None, map(self.block, self.blocks(line))):
-                g, d = here.get(name, (gain, n))
-                here[name] = max(g, gain), min(d, n)
-            for name, (gain, n) in here.items():
-                g, d, c = out.get(name, (gain, n, 0))
-                out[name] = max(g, gain), min(d, n), c + 1
+        found = self._found(text)
+        places: dict[int, list[frozenset]] = {}
+        for f in found:
+            for p in f[5]:
+                places.setdefault(p, []).append(f[5])
+        by_name: dict[str, list[tuple]] = {}
+        for f in found:
+            if not any(f[5] < other for p in f[5] for other in places[p]):
+                by_name.setdefault(self.names[f[0]], []).append(f)
+        for name, opening in OPENINGS.items():
+            clauses = sorted(f[1] for f in by_name.get(name, []) if "endorse" in self.marks[f[0]])
+            if clauses and opening in by_name:
+                follows = lambda f: (at := bisect_left(clauses, f[2])) < len(clauses) and clauses[at] <= f[2] + BODY_WORDS
+                by_name[opening] = [f for f in by_name[opening] if "redistribution" not in self.marks[f[0]] or not follows(f)]
+        for name, passages in by_name.items():
+            if passages:
+                count, end = 0, -1
+                for f in sorted(passages, key=lambda f: f[2]):
+                    if f[1] >= end:
+                        count, end = count + 1, f[2]
+                out[name] = max(f[4] for f in passages), min(f[3] for f in passages), count
+        for m in SPDX.finditer(text):
+            data = " ".join(_words(m.group())).encode()
+            for tag in re.findall(r"[^\s()]+", m.group(1)):
+                name = self.by_tag.get(tag.lower()) or self.by_tag.get(re.sub(r"(-only|-or-later|\+)$", "", tag.lower()))
+                if name:
+                    g, d, c = out.get(name, (-1.0, 0, 0))
+                    out[name] = max(g, self._gain(self.tags[name], data)), 0, c + 1
         return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and license: blocks, differing words and size reduction."""
     known = dict(templates or TEMPLATES)
 
@@ -140,5 +216,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (batch.schema.field(id_col).type, pa.string(), pa.int64(), pa.int64(), pa.float64()))], ["id", "license", "blocks", "differences", "reduction"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    hinted = docs.select(id_col, text_col).where(F.col(text_col).rlike(r"(?i)licen[sc]e|\bCC[ -]?(?:BY|0)\b|public domain"))
+    hinted = docs.select(id_col, text_col).where(F.col(text_col).rlike(f"(?i){HINTS}"))
     return hinted.mapInArrow(run, f"id {kind}, license string, blocks bigint, differences bigint, reduction double").withColumnRenamed("id", id_col)

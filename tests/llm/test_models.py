@@ -146,7 +146,33 @@ def test_license_in_a_long_line():
     for n in (0, 15, 40, 700, 1000, 2500, 12000):
         words = prose(rng, n).split()
         at = rng.randint(0, n)
-        got = scanner.text(" ".join([*words[:at], license_scan.TEMPLATES["Apache-2.0"], *words[at:]]))
+        got = scanner.text(" ".join([*words[:at], "Licensed under the Apache License, Version 2.0.", *words[at:]]))
         assert {k: (d, c) for k, (_, d, c) in got.items()} == {"Apache-2.0": (0, 1)}, n
     near = scanner.text("the under license " * 9 + "It is licensed today under the new Apache License, Version 2.0, the license " * 2)
-    assert near["Apache-2.0"][1:] == (1, 1)
+    assert near["Apache-2.0"][1:] == (1, 2)
+
+
+BSD = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"MIT", "Apache-2.0"}),
+        ("Licensed under the MIT or Apache License, Version 2.0", {"MIT", "Apache-2.0"}),
+        ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy", {"MPL-2.0"}),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", {"MIT"}),
+        (BSD + " * 1. of source", {"BSD-2-Clause"}),
+        (BSD + "word " * 100 + "3. Neither the name of the holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.", {"BSD-3-Clause"}),
+        ("# SPDX-License-Identifier: MIT\nimport os", {"MIT"}),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-2-Clause) AND MIT */", {"GPL-2.0", "BSD-2-Clause", "MIT"}),
+        ("under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or", {"GPL-2.0"}),
+        ("This library is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0"}),
+        ("Licensed under CC BY NC 4.0.", {"CC-BY-NC-4.0"}),
+        ("licensed drivers are hereby asked for permission to endorse redistribution", set()),
+    ],
+)
+def test_every_license_of_a_text(text, want):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    assert set(scanner.text(text)) == want
+    assert set(scanner.text("some words before " * 60 + text + " and some after" * 60)) == want
