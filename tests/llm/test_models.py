@@ -176,3 +176,18 @@ def test_every_license_of_a_text(text, want):
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     assert set(scanner.text(text)) == want
     assert set(scanner.text("some words before " * 60 + text + " and some after" * 60)) == want
+
+
+def test_forest_rejects_repeats_without_symbols(spark, graded):
+    docs, labels = graded
+    rng = random.Random(13)
+    rows = [(9000 + i, " ".join(w for w in prose(rng, 8).split() for _ in range(5 + i % 3))) for i in range(12)]
+    rows += [(9100 + i, "\n".join(line for _ in range(8) for line in (prose(rng, 9), "read more here"))) for i in range(12)]
+    more = docs.union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    marked = labels.union(spark.createDataFrame([(i, 0, 0) for i, _ in rows if i % 2], "doc_id bigint, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in quality_rules.judge(more, quality_rules.fit(more, marked)).collect()}
+    assert not any(got[i]["base_failed"] for i, _ in rows)
+    for first in (9000, 9100):
+        assert sum(got[i]["kept"] for i, _ in rows if first <= i < first + 100) <= 1
+    clean = [got[i]["kept"] for i in range(900) if i % 10 not in (7, 8) and not got[i]["base_failed"]]
+    assert sum(clean) >= 0.98 * len(clean)
