@@ -360,6 +360,17 @@ def token_jaccard(spark, d):
     return j.distinct()
 
 
+@query("""WITH p AS (SELECT p_partkey, list_sort(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 3))) AS s FROM part), c AS (SELECT DISTINCT s FROM p), j AS (SELECT a.s AS sa, b.s AS sb, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM c a, c b)
+ SELECT p_partkey, array_to_string(sa, ' ') AS class, array_to_string(sb, ' ') AS like_class, round(i / u, 6) AS score FROM p JOIN j ON s = sa WHERE u > 0 AND i / u >= 0.4""")
+def token_jaccard_all(spark, d):
+    """All parts: the class of equal words of each, and the classes like it (its own too), in place of all pairs."""
+    p = table(spark, d, "part").select("p_partkey", F.array_sort(T.words("p_name")).alias("sa"))
+    c = p.select("sa").distinct()
+    a, b = c.select("sa", F.explode("sa").alias("w")), c.select(F.col("sa").alias("sb"), F.explode("sa").alias("w"))
+    j = a.join(b, "w").select("sa", "sb").distinct().withColumn("score", F.round(T.jaccard(F.col("sa"), F.col("sb")), 6)).where("score >= 0.4")
+    return p.join(j, "sa").select("p_partkey", F.array_join("sa", " ").alias("class"), F.array_join("sb", " ").alias("like_class"), "score")
+
+
 @query("""WITH s AS (SELECT conv_id || '_' || turn AS src, turn * 30.0 AS t, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 3))) AS w FROM conversations),
  e AS (SELECT item_id AS dst, (item_id % 8) * 30.0 AS t, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 3))) AS w FROM benchmark) SELECT DISTINCT src, dst FROM s JOIN e ON s.w = e.w AND abs(s.t - e.t) <= 60""")
 def mentions_join(spark, d):

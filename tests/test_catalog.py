@@ -42,3 +42,14 @@ def test_queries_without_sql(spark):
 def test_entry(spark):
     assert 0 < __spark_entry__.entry(spark).count() <= 40
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_jaccard_of_all_parts(spark):
+    parts = {r["p_partkey"]: {w for w in r["p_name"].lower().split() if len(w) > 3} for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    rows = catalog.token_jaccard_all(spark, SF).collect()
+    of_class = {}
+    for k in {(r["p_partkey"], r["class"]) for r in rows}:
+        of_class.setdefault(k[1], set()).add(k[0])
+    got = {(r["p_partkey"], b) for r in rows for b in of_class[r["like_class"]] if r["p_partkey"] < b}
+    want = {(a, b) for a, x in parts.items() for b, y in parts.items() if a < b and x | y and len(x & y) / len(x | y) >= 0.4}
+    assert got == want and max(b for _, b in got) > 60
