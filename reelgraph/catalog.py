@@ -137,6 +137,15 @@ def null_safe_identity(spark, d):
     return G.same_identity(c.where("node_id % 50 = 0"), c, ["c_nationkey"]).select("c_nationkey", "seed", "node_id")
 
 
+@query("""WITH c AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS e, c_nationkey FROM customer), s AS (SELECT c_nationkey, e, min(c_custkey) AS first FROM c GROUP BY 1, 2)
+ SELECT c.c_nationkey, s.first, c.c_custkey AS node_id FROM s JOIN c ON s.c_nationkey = c.c_nationkey AND s.e IS NOT DISTINCT FROM c.e""")
+def null_safe_identity_all(spark, d):
+    """All customers: the first of each one's class of nation and identity; equal firsts are the same identity."""
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("node_id"), F.expr("nullif(c_mktsegment, 'BUILDING')").alias("entity_id"))
+    firsts = c.groupBy("c_nationkey", "entity_id").agg(F.min("node_id").alias("node_id"))
+    return G.same_identity(firsts, c, ["c_nationkey"]).select("c_nationkey", F.col("seed").alias("first"), "node_id")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def answered_anti(spark, d):
     return evaluation.unanswered(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
@@ -314,6 +323,14 @@ def spine_walk(spark, d):
     return G.spine_walk(o.where("node_id % 100 = 0"), e, 4)
 
 
+@query(ORACLES["spine_walk"].replace(" WHERE o_orderkey % 100 = 0", ""))
+def spine_walk_all(spark, d):
+    """As ``spine_walk``, from every order."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("node_id"), "o_orderdate")
+    e = W.chain(o, ["o_custkey"], ["o_orderdate", "node_id"], "PRECEDES").withColumn("eord", F.col("src"))
+    return G.spine_walk(o, e, 4)
+
+
 @query("""SELECT 'r' || n_regionkey AS root, 'n' || n_nationkey AS node_id, 1 AS level FROM nation UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey
  UNION ALL SELECT 'r' || n_regionkey, 'o' || o_orderkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def children_depth(spark, d):

@@ -53,3 +53,9 @@ def test_jaccard_of_all_parts(spark):
     got = {(r["p_partkey"], b) for r in rows for b in of_class[r["like_class"]] if r["p_partkey"] < b}
     want = {(a, b) for a, x in parts.items() for b, y in parts.items() if a < b and x | y and len(x & y) / len(x | y) >= 0.4}
     assert got == want and max(b for _, b in got) > 60
+
+
+def test_identity_and_spine_of_all_rows(spark):
+    customers, orders = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "orders"))
+    assert catalog.null_safe_identity_all(spark, SF).select("node_id").distinct().count() == customers
+    assert catalog.spine_walk_all(spark, SF).select("root").distinct().count() == orders
