@@ -133,6 +133,65 @@ def test_mix_targets_and_takings(spark, n):
             assert abs(taken[round(target, 6), sizes[s]] - target) <= largest[s]
 
 
+def brute_mix(drawn, targets_by_source):
+    """Copies of each row by the definition: levels by bisection, odds ratios ranked, words up to what is lacking."""
+    copies = {}
+    for source, target in targets_by_source.items():
+        rows = [r for r in drawn if r["rg_source"] == source]
+        total = sum(r["rg_size"] for r in rows)
+        expected = lambda level: sum(min(3.0, level * r["rg_merit"]) * r["rg_size"] for r in rows)
+        low, high = 0.0, 3.0
+        for _ in range(200):
+            low, high = (low, (low + high) / 2) if expected((low + high) / 2) >= target else ((low + high) / 2, high)
+        e = {id(r): min(3.0, high * r["rg_merit"]) if total else 0.0 for r in rows}
+        e = {k: float(round(v)) if abs(v - round(v)) < 1e-9 else v for k, v in e.items()}
+        lack = target - sum(int(e[id(r)]) * r["rg_size"] for r in rows)
+
+        def odds_ratio(r):
+            u, p = (r["rg_draw"] + 0.5) / 2**52, e[id(r)] % 1
+            return (u / (1 - u)) / (p / (1 - p))
+
+        taken = 0
+        for r in rows:
+            copies[r["rg_id"]] = int(e[id(r)])
+        for r in sorted((r for r in rows if e[id(r)] % 1 > 0), key=lambda r: (odds_ratio(r), r["rg_tie"])):
+            if abs(taken + r["rg_size"] - lack) >= abs(taken - lack) and taken + r["rg_size"] > lack:
+                break
+            taken += r["rg_size"]
+            copies[r["rg_id"]] += 1
+    return copies
+
+
+@pytest.mark.parametrize("seed, range_bits, broadcast", [(1, 14, 100_000), (2, 3, 100_000), (3, 14, 0)])
+def test_mix_takes_what_brute_force_takes(spark, monkeypatch, seed, range_bits, broadcast):
+    monkeypatch.setattr(source_mixing, "RANGE_BITS", range_bits)
+    monkeypatch.setattr(source_mixing, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(seed)
+    rows = [(i, "w " * int(rng.paretovariate(0.8) * 5 + rng.random()), rng.choice(["a", "a", "a", "b", "Z", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    drawn = source_mixing._drawn(df, "doc_id", "text", "source").withColumnRenamed("doc_id", "rg_id").collect()
+    sizes = defaultdict(int)
+    for r in drawn:
+        sizes[r["rg_source"]] += r["rg_size"]
+    got = source_mixing.mix_sizes(df).collect()
+    want = brute_mix(drawn, brute_targets(sizes))
+    assert {r["doc_id"]: r["copies"] for r in got} == want
+    shares = defaultdict(set)
+    for r in got:
+        shares[next(x["rg_source"] for x in drawn if x["rg_id"] == r["doc_id"])].add(r["copies"])
+    assert any(len(s) > 1 for s in shares.values())
+
+
+def test_mix_chances_differ_and_null_ids_are_told_apart(spark):
+    rows = [(None, "w " * (10 + i % 7) + str(i), "a") for i in range(400)] + [(i, "w " * 30, "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = source_mixing.mix_sizes(df).collect()
+    a = [r for r in got if r["doc_id"] is None]
+    assert abs(sum(r["taken"] for r in a) - a[0]["target"]) <= max(r["size"] for r in a)
+    table, _ = source_mixing.plan(source_mixing._drawn(df, "doc_id", "text", "source"))
+    assert len({r["rg_chance"] for r in table.where("rg_source = 'a'").collect()}) > 1
+
+
 def test_mix_documents_repeats_rows(spark, empty, docs):
     mixed = source_mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
