@@ -88,6 +88,17 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             start = end
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What an operator keeps in this worker from task to task; what other operators kept is dropped."""
+    for name, kept in _HELD.items():
+        if name != operator:
+            kept.clear()
+    return _HELD.setdefault(operator, {})
+
+
 def id_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_column, slices
+from .common import held, id_column, slices
 
 SPACE = 1 << 15
 LANDMARKS, PER_LANGUAGE, SAMPLE_ROWS = 64, 250, 4000
@@ -95,6 +95,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ids = ids.orderBy("place", "rg_lang").limit(sample_rows).select("rg_id", "rg_lang").distinct()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language id")
         for batch, texts in slices(batches):
             bits = [np.packbits(presence(t)).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array([has_letter(t) for t in texts])], ["id", "lang", "bits", "letters"])
@@ -112,6 +113,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SPACE x LANDMARKS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language id")
         m = shared.value
         for batch, texts in slices(batches, text_col):
             found: list[str] = []

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, slices
 
 #: Wordings of notices and bodies by license (fixed values; words in capitals and numbers identify it).
 TEMPLATES = {
@@ -208,6 +208,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] |
     known = dict(templates or TEMPLATES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("license scan")
         scanner = Scanner(known)
         for batch, texts in slices(batches, text_col):
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, slices
+from .common import held, id_column, slices
 
 SPACE = 1 << 18
 SAMPLE_ROWS = 6000
@@ -39,9 +39,8 @@ KEEP = 0.995
 _ENDS = b".,;:!?\"'()[]#*$%&|<>"
 
 
-#: Words whose bins a worker remembers.
-MOST_MET = 100_000
-_MET: dict[bytes, tuple[int, ...]] = {}
+#: Words whose bins a worker remembers, and bytes of a word that is remembered.
+MOST_MET, MET_BYTES = 50_000, 64
 
 
 def _bins(word: bytes) -> tuple[int, ...]:
@@ -63,14 +62,17 @@ def features(text: str) -> np.ndarray:
     if not words:
         return np.array([zlib.crc32(b"empty") % SPACE], np.int32)
     distinct = set(words)
-    if len(_MET) > MOST_MET:
-        _MET.clear()
-    get = _MET.get
+    met = held("quality classifier")
+    if len(met) > MOST_MET:
+        met.clear()
+    get = met.get
     found: set[int] = set()
     for w in distinct:
         b = get(w)
         if b is None:
-            b = _MET[w] = _bins(w)
+            b = _bins(w)
+            if len(w) <= MET_BYTES and len(met) <= MOST_MET:
+                met[w] = b
         found.update(b)
     step = int(8 * len(distinct) / len(words) ** 0.9)
     found.add(zlib.crc32(b"d%d" % step) % SPACE)

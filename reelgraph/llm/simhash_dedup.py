@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, materialize, slices
+from .common import held, id_column, materialize, slices
 from .components import connected_components
 
 THRESHOLD = 3
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprint of every row, as a signed 64-bit number ``fp``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for batch, texts in slices(batches, text_col):
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([id_column(batch, id_col), pa.array(fps)], ["doc_id", "fp"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import held, materialize
 
 SCALE = 64
 SAMPLE_ROWS, PIVOTS = 4096, 64
@@ -92,6 +92,7 @@ def _keyed(rows: DataFrame, space, query: bool) -> DataFrame:
     """Nearest pivot and distance of each vector."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("top-k search")
         for batch in batches:
             if batch.num_rows:
                 d = space.value.distances(_matrix(batch.column(1), batch.num_rows), query)
@@ -145,6 +146,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
     """Best candidates of each query of a block in one annulus; ``floors`` are scores to reach."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("top-k search")
         for batch in batches:
             for r in batch.to_pylist():
                 qi, q = _unpack(r["q_ids"], r["q_vectors"])
@@ -194,6 +196,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
             annuli = spark.sparkContext.broadcast(table)
 
             def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held("top-k search")
                 t = annuli.value
                 pivot, low, high, block = t["pivot"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(), t["block"].to_numpy()
                 for batch in batches:
@@ -219,8 +222,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
             found = asks.select("asking", "q_ids", "q_vectors", "known").mapInArrow(run, "asking bigint, block bigint, wanted binary, floors binary")
             out = found if out is None else out.union(found)
-        held = queries.select("asking", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        return out.join(held, "asking").join(index.select("block", "ids", "vectors"), "block")
+        asked_rows = queries.select("asking", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+        return out.join(asked_rows, "asking").join(index.select("block", "ids", "vectors"), "block")
 
     home = materialize(_search(paired(None, True), k), "home")
     ranked = _top(home, k)

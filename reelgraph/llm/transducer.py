@@ -7,9 +7,14 @@ What later symbols need of the past is finite: for each place at which a token t
 have begun, the token that ends there.  That is a state; a transition is annotated with the token that
 ends the prefix, and with the change of the number of tokens, which is negative where tokens merge.
 
-States are made when a text first reaches them, by any worker for itself, and stay in flat tables, so
-that many places of the text advance at once by table look-ups.  Above ``MOST_STATES`` the tables start
-anew, which bounds their memory.
+States are made when a text first reaches them, by any worker for itself.  Most have one transition,
+which stands beside the state; only states that branch have a row over all symbols.  When tables and
+keys take more than ``MOST_BYTES``, also in the middle of a text, all are dropped but the states that
+the text is in, so a worker's memory has a bound whatever it reads.
+
+Texts are cut into chunks, and chunks advance side by side.  A chunk inside a word has a state map: the
+exits and counts of the states it may be entered in, guessed by reading a few symbols before it.  Maps
+are composed pairwise in a tree; where an exit is no guessed entry, the map behind it is extended.
 """
 
 from __future__ import annotations
@@ -19,19 +24,26 @@ from collections.abc import Callable
 
 import numpy as np
 
-MOST_STATES = 250_000
+#: Estimated bytes of states and transitions that a worker keeps.
+MOST_BYTES = 64 << 20
 #: Tests of neighbouring tokens that are remembered.
-MOST_FITS = 100_000
-#: Places of a text that advance side by side, and symbols that each has at least.
-LANES, LANE = 1024, 128
+MOST_FITS = 50_000
+#: Symbols of a chunk.
+CHUNK = 1024
+#: Symbols before a chunk from which its entry states are guessed.
+WARM = (64, 16)
+STATE_BYTES, NONE = 220, -1
 
 
 def _pack(node: int, token: int, count: int) -> int:
     return node << 40 | (token + 1) << 12 | (count + 2048)
 
 
+START = array("q", (_pack(0, -1, 0),)).tobytes()
+
+
 class Transducer:
-    """Tables over (state, symbol); a symbol is the vocabulary's id of a single character or byte.
+    """States over symbols; a symbol is the vocabulary's id of a single character or byte.
 
     ``merge(a, b)`` gives the order and the result of joining two tokens, or None.  ``spelled`` maps a
     token to its symbols.  Symbols in ``final`` end a word: the next state is the start.
@@ -39,52 +51,58 @@ class Transducer:
 
     def __init__(self, merge: Callable[[int, int], tuple[int, int] | None], spelled: dict[int, tuple[int, ...]], final: frozenset[int] = frozenset()):
         self.merge, self.spelled, self.final = merge, spelled, final
-        self.children: dict[tuple[int, int], int] = {}
-        self.token_at: list[int] = [-1]
-        self.open = [False]
+        self.children: dict[int, int] = {}
+        token_at, is_open = array("i", (-1,)), bytearray(1)
         for token, symbols in spelled.items():
             node = 0
             for s in symbols:
-                self.open[node] = True
-                following = self.children.get((node, s))
+                is_open[node] = 1
+                key = node << 20 | s
+                following = self.children.get(key)
                 if following is None:
-                    following = self.children[node, s] = len(self.token_at)
-                    self.token_at.append(-1)
-                    self.open.append(False)
+                    following = self.children[key] = len(token_at)
+                    token_at.append(-1)
+                    is_open.append(0)
                 node = following
-            self.token_at[node] = token
+            token_at[node] = token
+        self.token_at, self.open = token_at, is_open
         self.column: dict[int, int] = {}
-        self.length = np.zeros(max(spelled) + 1, np.int32)
+        self.symbol_of: list[int] = []
+        size = max(spelled) + 1
+        self.length = np.zeros(size, np.int32)
         for token, symbols in spelled.items():
             self.length[token] = len(symbols)
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: The last join that builds a token from its symbols: parts and level; -2 if not looked at, -1 if none.
+        self.left, self.right = array("i", [-2]) * size, array("i", [-1]) * size
+        self.level = array("d", [0.0]) * size
+        self.fits: dict[int, bool] = {}
         self.columns = 64
+        self.filled = 0
         self._clear()
 
     def _clear(self) -> None:
-        # an open place: trie node, token that ends there, tokens up to there against those up to here
-        self.states: list[bytes] = [array("q", (_pack(0, -1, 0),)).tobytes()]
-        self.number = {self.states[0]: 0}
-        self._tables(1024)
-
-    def _tables(self, states: int) -> None:
-        self.next = np.full(states * self.columns, -1, np.int32)
-        self.change = np.zeros(states * self.columns, np.int8)
-        #: The token that ends a prefix in a state.
-        self.token = np.zeros(states, np.int32)
+        self.states: list[bytes | None] = [START]
+        self.number = {START: 0}
+        self.final_state: dict[int, int] = {}
+        self.first_symbol, self.first_value, self.row, self.token = (np.full(4096, v, np.int32) for v in (NONE, NONE, 0, 0))
+        self.rows, self.size = 1, 0
+        self.branches = np.full(64 * self.columns, NONE, np.int32)
 
     def columns_of(self, symbols: np.ndarray) -> np.ndarray:
-        """The table column of each of a few symbols; new ones are added."""
+        """The column of each of a few symbols in the rows of branching states; new ones are added."""
         for s in symbols.tolist():
             if s not in self.column:
-                self.column[s] = len(self.column)
-        if len(self.column) > self.columns:
-            self.columns = 2 * len(self.column)
-            self._clear()
-        self.symbol_of = {c: s for s, c in self.column.items()}
+                self.column[s] = len(self.symbol_of)
+                self.symbol_of.append(s)
+        if len(self.symbol_of) > self.columns:
+            was, self.columns = self.columns, len(self.symbol_of) + 32
+            wide = np.full((len(self.branches) // was, self.columns), NONE, np.int32)
+            wide[:, :was] = self.branches.reshape(-1, was)
+            self.branches = wide.reshape(-1)
+            self.size += 4 * self.rows * (self.columns - was)
         return np.array([self.column[s] for s in symbols.tolist()], np.int32)
 
-    def encode_symbols(self, symbols: tuple[int, ...]) -> list[int]:
+    def encode_symbols(self, symbols: tuple[int, ...], joins: list | None = None) -> list[int]:
         """Plain byte-pair encoding: the first of the best pairs is joined until none is left."""
         row = list(symbols)
         while True:
@@ -95,28 +113,81 @@ class Transducer:
                     best = found[0], i, found[1]
             if best is None:
                 return row
+            if joins is not None:
+                joins.append((best[0], row[best[1]], row[best[1] + 1], best[2]))
             row[best[1] : best[1] + 2] = [best[2]]
 
+    def _parts(self, token: int) -> bool:
+        """Find how a token is built; False if the encoder does not build it from its symbols."""
+        if self.left[token] == -2:
+            joins: list = []
+            whole = self.encode_symbols(self.spelled[token], joins) == [token]
+            self.left[token], self.level[token] = -1, -1.0 if whole else np.inf
+            if whole and joins:
+                order, self.left[token], self.right[token], _ = joins[-1]
+                self._parts(joins[-1][1]), self._parts(joins[-1][2])
+                self.level[token] = max(order, self.level[joins[-1][1]], self.level[joins[-1][2]])
+        return self.level[token] != np.inf
+
     def fit(self, a: int, b: int) -> bool:
+        """Are the two tokens the encoding of their text?
+
+        Both are taken apart from the last join to the first along their common edge; a join across the
+        edge that would come before the join that ends its two parts shows that they are not.
+        """
         if a < 0:
-            key = (-1, b)
-            if key not in self.fits:
-                self.fits[key] = self.encode_symbols(self.spelled[b]) == [b]
-            return self.fits[key]
-        key = (a, b)
+            return self._parts(b)
+        key = a << 20 | b
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > MOST_FITS:
                 self.fits.clear()
-            known = self.fits[key] = self.encode_symbols(self.spelled[a] + self.spelled[b]) == [a, b]
+            known = self.fits[key] = self._parts(b) and self._parts(a) and self._edge(a, b)
         return known
 
-    def _fill(self, k: int) -> None:
-        state, column = divmod(k, self.columns)
+    def _edge(self, a: int, b: int) -> bool:
+        x, y, until = a, b, np.inf
+        while True:
+            found = self.merge(x, y)
+            high_x, high_y = self.level[x], self.level[y]
+            if found:
+                comes = max(found[0], high_x, high_y)
+                if comes < until:
+                    return False
+                if comes == until:  # the place decides
+                    break
+            if high_x < 0 and high_y < 0:
+                return True
+            if high_x == high_y:
+                break
+            if high_x > high_y:
+                until, x = high_x, self.right[x]
+            else:
+                until, y = high_y, self.left[y]
+        return self.encode_symbols(self.spelled[a] + self.spelled[b]) == [a, b]
+
+    def _new_state(self, key: bytes | None, token: int) -> int:
+        number = len(self.states)
+        self.states.append(key)
+        self.size += STATE_BYTES + len(key or b"")
+        if number >= len(self.token):
+            for name, fill in (("first_symbol", NONE), ("first_value", NONE), ("row", 0), ("token", 0)):
+                was = getattr(self, name)
+                setattr(self, name, np.concatenate((was, np.full(len(was) // 2, fill, np.int32))))
+        self.token[number] = token
+        return number
+
+    def intern(self, key: bytes) -> int:
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = self._new_state(key, (array("q", key)[-1] >> 12 & 0xFFFFFFF) - 1)
+        return number
+
+    def _fill(self, state: int, column: int) -> None:
         symbol = self.symbol_of[column]
         found, moved = None, []
         for item in array("q", self.states[state]):
-            child = self.children.get((item >> 40, symbol))
+            child = self.children.get(item >> 40 << 20 | symbol)
             if child is None:
                 continue
             last, count = (item >> 12 & 0xFFFFFFF) - 1, (item & 0xFFF) - 2048
@@ -129,37 +200,54 @@ class Transducer:
             raise ValueError(f"no token ends at symbol {symbol}")
         token, change = found
         if symbol in self.final:  # nothing follows; the token alone tells such states apart
-            key = array("q", (-1 - token,)).tobytes()
+            number = self.final_state.get(token)
+            if number is None:
+                number = self.final_state[token] = self._new_state(None, token)
         else:
-            key = array("q", [*(_pack(n, t, c - change) for n, t, c in moved), _pack(0, token, 0)]).tobytes()
-        number = self.number.get(key, -1)
-        if number < 0:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
-            if number >= len(self.token):
-                old = self.next, self.change, self.token
-                self._tables(len(self.token) * 3 // 2)
-                for was, now in zip(old, (self.next, self.change, self.token)):
-                    now[: len(was)] = was
-            self.token[number] = token
-        self.change[k], self.next[k] = change, number
-
-    def reset_if_large(self) -> None:
-        if len(self.states) > MOST_STATES:
-            self._clear()
-
-    def sweep(self, columns: np.ndarray, word_end: np.ndarray, starts: np.ndarray, stops: np.ndarray, entry: np.ndarray, trace: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            number = self.intern(array("q", [*(_pack(n, t, c - change) for n, t, c in moved), _pack(0, token, 0)]).tobytes())
+        value = number << 8 | change + 128
+        self.filled += 1
+        if self.first_symbol[state] == NONE:
+            self.first_symbol[state], self.first_value[state] = column, value
+            return
+        if not self.row[state]:
+            if (self.rows + 1) * self.columns > len(self.branches):
+                self.branches = np.concatenate((self.branches, np.full((self.rows // 2 + 1) * self.columns, NONE, np.int32)))
+            self.row[state] = self.rows
+            self.rows += 1
+            self.size += 4 * self.columns
+        self.branches[int(self.row[state]) * self.columns + column] = value
+
+    def _renew(self, states: np.ndarray) -> np.ndarray:
+        """Drop everything but some states; their new numbers."""
+        distinct, place = np.unique(states, return_inverse=True)
+        keys = [self.states[s] for s in distinct.tolist()]
+        self._clear()
+        return np.array([self.intern(k) for k in keys], np.int32)[place]
+
+    def _values(self, states: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        value = self.first_value.take(states)
+        other = np.flatnonzero(self.first_symbol.take(states) != columns)
+        if len(other):
+            value[other] = self.branches.take(self.row.take(states[other]) * self.columns + columns[other])
+        return value
+
+    def keys(self, states: np.ndarray) -> list[bytes]:
+        """Names of states that stay valid when tables are dropped."""
+        return [self.states[s] for s in states.tolist()]
+
+    def sweep(self, columns: np.ndarray, word_end: np.ndarray, starts: np.ndarray, stops: np.ndarray, entry: list[bytes] | None = None, trace: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
         """Advance through segments of a text side by side; exit states and changes of the count.
 
-        ``trace`` gets the token that ends the prefix at each place.
+        Without entries all begin at the start.  ``trace`` gets the token that ends the prefix at each place.
         """
         n = len(starts)
-        exits, changes = entry.astype(np.int32), np.zeros(n, np.int64)
+        if not n:
+            return [], np.zeros(0, np.int64)
         order = np.argsort(starts - stops, kind="stable")  # the longest first: those that go on are a prefix
         begin, sizes = starts[order].tolist(), (stops - starts)[order]
-        longest = int(sizes[0]) if n else 0
-        if not longest:
-            return exits, changes
+        longest = int(sizes[0])
+        now = np.zeros(n, np.int32) if entry is None else np.array([self.intern(entry[i]) for i in order.tolist()], np.int32)
         # one row for each step, so that a step reads and writes neighbouring cells
         symbols, going = np.zeros((n, longest), columns.dtype), np.zeros((n, longest), bool)
         for row, (b, size) in enumerate(zip(begin, sizes.tolist())):
@@ -167,28 +255,103 @@ class Transducer:
             going[row, :size] = word_end[b : b + size]
         symbols, going = np.ascontiguousarray(symbols.T), np.ascontiguousarray(~going.T)
         passed = np.zeros((longest, n), np.int32) if trace is not None else None
-        now, sums, alive = exits[order], np.zeros(n, np.int64), n
-        lasting = np.searchsorted(-sizes, -np.arange(longest), "left")
-        for t, alive in enumerate(lasting.tolist()):
-            k = now[:alive] * np.int32(self.columns)
-            k += symbols[t, :alive]
-            to = self.next[k]
-            if to.min() < 0:
-                for missing in np.unique(k[to < 0]).tolist():
-                    self._fill(missing)
-                to = self.next[k]
+        sums = np.zeros(n, np.int64)
+        for t, alive in enumerate(np.searchsorted(-sizes, -np.arange(longest), "left").tolist()):
+            here, symbol, renewed = now[:alive], symbols[t, :alive], False
+            value = self._values(here, symbol)
+            while value.min() < 0:
+                if self.size > MOST_BYTES and not renewed:
+                    now, renewed = self._renew(now), True
+                    here = now[:alive]
+                else:
+                    missing = np.flatnonzero(value < 0)
+                    for k in np.unique(here[missing].astype(np.int64) << 20 | symbol[missing]).tolist():
+                        self._fill(k >> 20, k & 0xFFFFF)
+                value = self._values(here, symbol)
+            to = value >> 8
             if passed is not None:
-                passed[t, :alive] = to
+                passed[t, :alive] = self.token.take(to)
             else:
-                sums[:alive] += self.change[k]
-            np.multiply(to, going[t, :alive], out=now[:alive])
-        if trace is not None:
+                sums[:alive] += value & 255
+            np.multiply(to, going[t, :alive], out=here)
+        if passed is not None:
             across = np.ascontiguousarray(passed.T)
             for row, (b, size) in enumerate(zip(begin, sizes.tolist())):
                 trace[b : b + size] = across[row, :size]
-        exits[order], changes[order] = now, sums
+        changes, exits = np.empty(n, np.int64), [b""] * n
+        changes[order] = sums - 128 * sizes
+        for i, key in zip(order.tolist(), self.keys(now)):
+            exits[i] = key
         return exits, changes
 
+    def guesses(self, columns: np.ndarray, word_end: np.ndarray, lo: np.ndarray) -> list[list[bytes]]:
+        """States in which places may be entered: the start behind a word's end, else guessed from both lengths."""
+        first = np.concatenate(([0], np.flatnonzero(word_end) + 1))
+        word = first[np.searchsorted(first, lo, "right") - 1]
+        out: list[list[bytes]] = [[START] for _ in range(len(lo))]
+        for warm in WARM:
+            need = np.flatnonzero((lo > word) & ((warm == WARM[0]) | (lo - word > warm)))
+            found, _ = self.sweep(columns, word_end, np.maximum(word[need], lo[need] - warm), lo[need])
+            for i, key in zip(need.tolist(), found):
+                if warm == WARM[0]:
+                    out[i] = [key]
+                elif key not in out[i]:
+                    out[i].append(key)
+        return out
+
+    def counts(self, columns: np.ndarray, word_end: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Numbers of tokens of texts, by state maps of their chunks composed in a tree."""
+        pieces = np.maximum(1, -(-(stops - begins) // CHUNK))
+        text = np.repeat(np.arange(len(begins)), pieces)
+        within = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo = begins[text] + within * CHUNK
+        hi = np.minimum(lo + CHUNK, stops[text])
+        entries = self.guesses(columns, word_end, lo)
+        maps: list[dict[bytes, tuple[bytes, int]]] = [{} for _ in range(len(lo))]
+
+        def measure(asked: list[tuple[int, bytes]]) -> None:
+            at = np.array([i for i, _ in asked], np.int64)
+            exits, changes = self.sweep(columns, word_end, lo[at], hi[at], [e for _, e in asked])
+            for (i, e), x, c in zip(asked, exits, changes.tolist()):
+                maps[i][e] = x, c
+
+        measure([(i, e) for i, es in enumerate(entries) for e in es])
+
+        def extend(asked: list[tuple[int, int, bytes]]) -> list[tuple[bytes, int]]:
+            """Exits and changes of runs of chunks for states that their maps do not hold yet."""
+            place, state, total = [a for a, _, _ in asked], [e for _, _, e in asked], [0] * len(asked)
+            while True:
+                lacking: dict[tuple[int, bytes], None] = {}
+                for k, (_, end, _) in enumerate(asked):
+                    while place[k] < end and (got := maps[place[k]].get(state[k])):
+                        state[k], total[k], place[k] = got[0], total[k] + got[1], place[k] + 1
+                    if place[k] < end:
+                        lacking[place[k], state[k]] = None
+                if not lacking:
+                    return list(zip(state, total))
+                measure(list(lacking))
+
+        # nodes of the tree: text, first chunk, end, map of the run of chunks
+        nodes = [(t, i, i + 1, maps[i]) for i, t in enumerate(text.tolist())]
+        while len(nodes) > len(begins):
+            pairs, k, level = [], 0, []
+            while k < len(nodes):
+                if k + 1 < len(nodes) and nodes[k][0] == nodes[k + 1][0]:
+                    pairs.append((len(level), nodes[k], nodes[k + 1]))
+                    level.append(None)
+                    k += 2
+                else:
+                    level.append(nodes[k])
+                    k += 1
+            unknown = [(b, x) for _, a, b in pairs for x in {x for x, _ in a[3].values()} if x not in b[3]]
+            if unknown:
+                for (b, x), got in zip(unknown, extend([(b[1], b[2], x) for b, x in unknown])):
+                    b[3][x] = got
+            for slot, a, b in pairs:
+                level[slot] = a[0], a[1], b[2], {e: (b[3][x][0], c + b[3][x][1]) for e, (x, c) in a[3].items()}
+            nodes = level
+        return np.array([m[START][1] for _, _, _, m in nodes], np.int64)
+
     def tokens(self, columns: np.ndarray, word_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words of a text, and the place of each one's last symbol.
 
@@ -197,20 +360,40 @@ class Transducer:
         n = len(columns)
         if not n:
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        last = np.flatnonzero(word_end)
-        first = np.concatenate(([0], last[:-1] + 1))
-        lane = np.unique(np.searchsorted(first, np.arange(0, n, max(LANE, n // LANES))))
-        starts = first[lane[lane < len(first)]]
+        lo = np.arange(0, n, CHUNK)
+        hi = np.append(lo[1:], n)
         trace = np.empty(n, np.int32)
-        self.sweep(columns, word_end, starts, np.append(starts[1:], n), np.zeros(len(starts), np.int32), trace)
-        trace = self.token[trace]
+        entry = [e[0] for e in self.guesses(columns, word_end, lo)]
+        exits, _ = self.sweep(columns, word_end, lo, hi, entry, trace)
+        wrong = [i for i in range(1, len(lo)) if exits[i - 1] != entry[i]]
+        while wrong:  # chunks that were entered in another state than guessed
+            for i in wrong:
+                entry[i] = exits[i - 1]
+            at = np.array(wrong, np.int64)
+            for i, key in zip(wrong, self.sweep(columns, word_end, lo[at], hi[at], [entry[i] for i in wrong], trace)[0]):
+                exits[i] = key
+            wrong = [i + 1 for i in wrong if i + 1 < len(lo) and exits[i] != entry[i + 1]]
         width = self.length[trace]
         mark = np.zeros(n, bool)
-        at, begin = last, first
+        at = np.flatnonzero(word_end)
+        begin = np.concatenate(([0], at[:-1] + 1))
         while len(at):
             mark[at] = True
             at = at - width[at]
-            going = at >= begin
-            at, begin = at[going], begin[going]
+            on = at >= begin
+            at, begin = at[on], begin[on]
         places = np.flatnonzero(mark)
         return trace[places], places
+
+    def widens(self, columns: np.ndarray, lo: int, hi: int) -> bool:
+        """Does a stretch inside a word lead to another state at more than a quarter of its symbols?"""
+        key, met = START, set()
+        for column in columns[lo:hi].tolist():
+            state = self.intern(key)
+            value = int(self._values(np.array([state]), np.array([column]))[0])
+            if value < 0:
+                self._fill(state, column)
+                value = int(self._values(np.array([state]), np.array([column]))[0])
+            key = self.states[value >> 8]
+            met.add(key)
+        return 4 * len(met) > hi - lo

@@ -1,9 +1,11 @@
 """Byte-level BPE over lower-cased words, compiled from a tokenizer's JSON description.
 
 The description splits a text into words by the class of its characters; each word's UTF-8 bytes are
-merged, and the last symbol of a word carries a mark.  Texts in the first 256 code points, which the
-normaliser maps one to one, run through the compiled tables; any other text, and any text that may
-hold a special token, goes to the library as a whole, with the same result.
+merged, and the last symbol of a word carries a mark.  All of UTF-8 runs through the compiled tables:
+texts in the first 256 code points, which the normaliser maps one to one, as they are, others as the
+library's normaliser writes them; the class of each further character is asked of the library once.  A
+text that may hold a special token goes to the library as a whole, and so does one with a very long word
+that leads to new states all the time (random letters); the result is the same.
 """
 
 from __future__ import annotations
@@ -12,21 +14,21 @@ import json
 
 import numpy as np
 
-from .common import tokenizer_path
+from .common import held, tokenizer_path
 from .transducer import Transducer
 
 #: What the compiled tables cover (fixed values of the description's format).
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-BLANK, LETTER, DIGIT, OTHER = 0, 1, 2, 3
-#: Symbols of a chunk of a text whose state map is made on its own.
-CHUNK = 1024
+BLANK, LETTER, DIGIT, OTHER, UNKNOWN = 0, 1, 2, 3, 255
+#: Symbols of a word from which on it is tried whether its states recur, and symbols of the trial.
+LONG_WORD, TRIAL = 4096, 1024
 
 
 def _classes() -> np.ndarray:
     import unicodedata
 
-    out = np.full(256, OTHER, np.uint8)
+    out = np.full(0x110000, UNKNOWN, np.uint8)
     for c in range(256):
         kind = unicodedata.category(chr(c))[0]
         out[c] = BLANK if c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0) else LETTER if kind == "L" else DIGIT if kind == "N" else OTHER
@@ -86,18 +88,36 @@ class WordBpe:
     def covers(self, text: str) -> bool:
         return self.compiled and not any(s in text for s in self.specials)
 
+    def _normalized(self, text: str) -> str:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.lib.normalizer.normalize_str(text)
+        return text.lower()
+
+    def _learn(self, points: np.ndarray) -> None:
+        """Classes of characters that were not met before, as the library splits them."""
+        split = self.lib.pre_tokenizer.pre_tokenize_str
+        for p in np.unique(points).tolist():
+            c = chr(p)
+            self.kind[p] = BLANK if not split(c) else LETTER if len(split("a" + c)) == 1 else DIGIT if len(split(c + c)) == 2 else OTHER
+
     def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Table columns of all bytes of words, marks of words' last bytes, and where each text ends."""
-        joined = " ".join(texts).lower()
-        points = np.frombuffer(joined.encode("latin-1"), np.uint8)
+        texts = [self._normalized(t) for t in texts]
+        joined = " ".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         stops = np.cumsum([len(t) + 1 for t in texts])
         kind = self.kind[points]
+        if (kind == UNKNOWN).any():
+            self._learn(points[kind == UNKNOWN])
+            kind = self.kind[points]
         n = len(points)
         last = np.ones(n, bool)
         last[:-1] = (kind[:-1] != kind[1:]) | (kind[:-1] == DIGIT)
         quote = np.flatnonzero((points == 39) & (np.concatenate(([BLANK], kind[:-1])) != OTHER))
         if len(quote):
-            ahead = np.concatenate((points, np.zeros(2, np.uint8)))
+            ahead = np.concatenate((points, np.zeros(2, np.uint32)))
             one, two = ahead[quote + 1], ahead[quote + 2]
             short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
             pair = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
@@ -106,96 +126,60 @@ class WordBpe:
             last[quote[pair] + 1] = False
             last[quote[pair] + 2] = True
         word = kind != BLANK
-        points, last = points[word], last[word]
-        long = points >= 128
-        place = np.arange(len(points)) + np.cumsum(long)  # of a character's last byte
-        size = int(place[-1]) + 1 if len(place) else 0
-        data, ends = np.zeros(size, np.int32), np.zeros(size, bool)
-        data[place] = np.where(long, 128 | points & 63, points)
-        data[place[long] - 1] = 192 | points[long] >> 6
-        ends[place] = last
-        symbols = self.symbol[data + 256 * ends]
+        width = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int64)
+        data = np.frombuffer(joined.encode(), np.uint8)[np.repeat(word, width)]
+        ends = np.zeros(len(data), bool)
+        ends[np.cumsum(width[word])[last[word]] - 1] = True
+        symbols = self.symbol[data + 256 * ends.astype(np.int64)]
         present = np.flatnonzero(np.bincount(symbols, minlength=1))
         column = np.zeros(int(self.symbol.max()) + 1, np.int32)
         column[present] = self.machine.columns_of(present)
-        upto = np.cumsum(word)[np.minimum(stops, n) - 1] if n else np.zeros(len(texts), np.int64)
-        return column[symbols], ends, np.concatenate(([0], place + 1))[upto]
-
-    def _route(self, texts: list[str]) -> tuple[list[int], list[int]]:
-        fast, slow = [], []
-        for k, t in enumerate(texts):
-            try:
-                t.encode("latin-1")
-                (fast if self.covers(t) else slow).append(k)
-            except UnicodeEncodeError:
-                slow.append(k)
-        return fast, slow
+        upto = np.cumsum(width * word)[np.minimum(stops, n) - 1] if n else np.zeros(len(texts), np.int64)
+        return column[symbols], ends, upto
+
+    def _compiled(self, texts: list[str]) -> tuple[list[int], list[int], tuple]:
+        """Which texts run through the tables, which through the library, and the symbols of the first."""
+        fast = [k for k, t in enumerate(texts) if self.covers(t)]
+        if not fast:
+            return [], list(range(len(texts))), (np.empty(0, np.int32), np.empty(0, bool), np.empty(0, np.int64))
+        got = self._symbols([texts[k] for k in fast])
+        columns, ends, stops = got
+        last = np.flatnonzero(ends)
+        first = np.concatenate(([0], last + 1))[: len(last)]
+        odd = {int(np.searchsorted(stops, first[i], "right")) for i in np.flatnonzero(last - first >= LONG_WORD).tolist() if self.machine.widens(columns, int(first[i]), int(first[i]) + TRIAL)}
+        if odd:
+            fast = [k for i, k in enumerate(fast) if i not in odd]
+            got = self._symbols([texts[k] for k in fast]) if fast else (columns[:0], ends[:0], stops[:0])
+        chosen = set(fast)
+        return fast, [k for k in range(len(texts)) if k not in chosen], got
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens around it."""
         out: list = [None] * len(texts)
-        fast, slow = self._route(texts)
-        if fast:
-            columns, ends, stops = self._symbols([texts[k] for k in fast])
-            tokens, at = self.machine.tokens(columns, ends)
-            cut = np.searchsorted(at, stops).tolist()
-            for k, lo, hi in zip(fast, [0, *cut[:-1]], cut):
-                out[k] = tokens[lo:hi]
+        fast, slow, (columns, ends, stops) = self._compiled(texts)
+        tokens, at = self.machine.tokens(columns, ends)
+        cut = np.searchsorted(at, stops).tolist()
+        for k, lo, hi in zip(fast, [0, *cut[:-1]], cut):
+            out[k] = tokens[lo:hi]
         for k in slow:
             out[k] = np.array(self.lib.encode(texts[k], add_special_tokens=False).ids, np.int32)
         return out
 
     def count_batch(self, texts: list[str]) -> list[int]:
-        """Numbers of tokens: state maps of chunks, composed from left to right.
-
-        A chunk that holds a word's end has a constant map: behind that end every entry state has become
-        the start.  The exits of such chunks are computed at once; they are the entries of what stands
-        before the first end in the next chunk.  A chunk without an end, inside one very long word,
-        passes its entry on; a run of them is composed by as many rounds.
-        """
+        """Numbers of tokens, by composed state maps of chunks."""
         out = [0] * len(texts)
-        fast, slow = self._route(texts)
+        fast, slow, (columns, ends, stops) = self._compiled(texts)
         for k in slow:
             out[k] = len(self.lib.encode(texts[k], add_special_tokens=False).ids)
-        if not fast:
-            return out
-        columns, ends, stops = self._symbols([texts[k] for k in fast])
-        if not len(columns):
-            return out
-        machine = self.machine
-        machine.reset_if_large()
-        begins = np.concatenate(([0], stops[:-1]))
-        chunks = np.maximum(1, -(-(stops - begins) // CHUNK))
-        text_of = np.repeat(np.arange(len(fast)), chunks)
-        within = np.arange(len(text_of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        lo = begins[text_of] + within * CHUNK
-        hi = np.minimum(lo + CHUNK, stops[text_of])
-        word_ends = np.append(np.flatnonzero(ends), len(columns))
-        first = word_ends[np.searchsorted(word_ends, lo)] + 1  # behind the first end at or after a chunk's start
-        has_end = first <= hi
-        cut = np.where(within == 0, lo, np.minimum(first, hi))  # a text's first chunk enters at the start
-        constant = has_end | (within == 0)
-        exits, totals = machine.sweep(columns, ends, cut, hi, np.zeros(len(lo), np.int32))
-        waiting = np.flatnonzero((within > 0) & (cut > lo))
-        known = constant.copy()
-        while len(waiting):
-            ready = waiting[known[waiting - 1]]
-            out_state, change = machine.sweep(columns, ends, lo[ready], cut[ready], exits[ready - 1])
-            totals[ready] += change
-            passed = ~constant[ready]
-            exits[ready[passed]] = out_state[passed]
-            known[ready] = True
-            waiting = np.setdiff1d(waiting, ready, assume_unique=True)
-        for k, total in zip(fast, np.bincount(text_of, weights=totals, minlength=len(fast)).astype(np.int64).tolist()):
+        begins = np.concatenate(([0], stops))[: len(stops)]
+        for k, total in zip(fast, self.machine.counts(columns, ends, begins, stops).tolist()):
             out[k] = total
         return out
 
 
-_MODELS: dict[str, WordBpe] = {}
-
-
 def word_bpe(model: str) -> WordBpe:
     """The vocabulary of a worker, loaded once; a bare name is a public vocabulary."""
-    if model not in _MODELS:
-        _MODELS[model] = WordBpe(model if "/" in model else tokenizer_path(model))
-    return _MODELS[model]
+    models = held("word bpe")
+    if model not in models:
+        models[model] = WordBpe(model if "/" in model else tokenizer_path(model))
+    return models[model]

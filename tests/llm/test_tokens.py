@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.llm import sentencepiece_codec as S
 from reelgraph.llm import token_counts, token_output
-from reelgraph.llm.word_bpe import word_bpe
+from reelgraph.llm.word_bpe import WordBpe, word_bpe
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -124,3 +124,85 @@ def test_repeated_rows_and_null_ids(spark, words):
     got = token_output.round_trip(spark.createDataFrame(rows, "doc_id bigint, text string"), WORDS, 2).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 2, 5, 5, 5]
     assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+
+
+def test_states_keep_within_their_bound(words, monkeypatch):
+    """Tables are dropped in the middle of texts, on every path, without a change of the result."""
+    from reelgraph.llm import transducer
+
+    monkeypatch.setattr(transducer, "MOST_BYTES", 200_000)
+    rng = np.random.default_rng(4)
+    samples = ["".join(rng.choice(list("etaoinshrdlu" * 3 + " "), rng.integers(1, 3000))) for _ in range(40)]
+    w, c = WordBpe(public_tokenizers.path(WORDS)), S.Codec(public_tokenizers.path(PIECES))
+    for _ in range(2):
+        for t, ids, n, pieces in zip(samples, w.encode_batch(samples), w.count_batch(samples), c.encode_batch(samples)):
+            want = words.encode(t, add_special_tokens=False).ids
+            assert ids.tolist() == want and n == len(want) and pieces.tolist() == c.lib.encode(t)
+        step = transducer.CHUNK * 1000  # what one step of all lanes may add
+        assert w.machine.size < 200_000 + step and c.machine.size < 200_000 + step
+    assert w.machine.filled > 4 * len(w.machine.states) and c.machine.filled > 4 * len(c.machine.states)
+
+
+def test_all_of_utf8_runs_through_the_tables(words, monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = ["“quoted”", "don’t", "it's", "—", "naïve", "漢字", "ДОБРО", "ΣΑΣ", "İ", "ﬁne", "①", "٣", "🎉", "é", "​", "\xa0", " ", " ", " ", "word", "they're"]
+    samples = ["".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(300)] + ["".join(map(chr, rng.integers(1, 0xD7FF, 40))) for _ in range(300)]
+    want = [words.encode(t, add_special_tokens=False).ids for t in samples]
+    w = WordBpe(public_tokenizers.path(WORDS))
+    sentence = S.Codec(public_tokenizers.path(PIECES))
+    pieces = [sentence.lib.encode(t) for t in samples]
+
+    class Silent:
+        normalizer, pre_tokenizer = w.lib.normalizer, w.lib.pre_tokenizer
+
+        def encode(self, *_, **__):
+            raise AssertionError("a text went to the library")
+
+    monkeypatch.setattr(w, "lib", Silent())
+    monkeypatch.setattr(sentence, "lib", Silent())
+    assert [i.tolist() for i in w.encode_batch(samples)] == want
+    assert w.count_batch(samples) == [len(i) for i in want]
+    assert [i.tolist() for i in sentence.encode_batch(samples)] == pieces
+
+
+def test_state_maps_of_long_words(words, monkeypatch):
+    """Chunks inside words are entered in several states, and maps that lack one are extended."""
+    from reelgraph.llm import transducer
+
+    rng = np.random.default_rng(7)
+    samples = ["".join(rng.choice(["ing", "tion", "a", "aa", "er"], 4000)) for _ in range(3)] + ["a" * 9000, "x y", "", "ab" * 3000]
+    want = [len(words.encode(t, add_special_tokens=False).ids) for t in samples]
+    for chunk, warm in ((1024, (64, 16)), (64, (4, 1)), (16, (8, 2))):
+        monkeypatch.setattr(transducer, "CHUNK", chunk)
+        monkeypatch.setattr(transducer, "WARM", warm)
+        w = WordBpe(public_tokenizers.path(WORDS))
+        columns, ends, stops = w._symbols(samples)
+        several = [len(e) for e in w.machine.guesses(columns, ends, np.arange(0, len(columns), chunk))]
+        assert chunk > 64 or max(several) > 1
+        assert w.count_batch(samples) == want
+        assert [len(i) for i in w.encode_batch(samples)] == want
+
+
+def test_a_long_random_word_costs_about_what_the_library_takes(words):
+    import time
+
+    t = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz"), 300_000))
+    start = time.perf_counter()
+    n = len(words.encode(t, add_special_tokens=False).ids)
+    library, start = time.perf_counter() - start, time.perf_counter()
+    assert word_bpe(WORDS).count_batch([t]) == [n]
+    assert time.perf_counter() - start < 2 * library + 1
+
+
+def test_spans_follow_the_alignment(texts):
+    """Every piece's span, against a plain walk through the normalised text."""
+    c = S.codec(PIECES)
+    for t in filter(None, texts.values()):
+        e, at, out = c.encode(t), 0, []
+        source = [0, 0, 0] + [i for i, b in enumerate(t.encode()) for _ in range(3 if b == 32 else 1)] + [len(t.encode())]
+        for i in e.ids[:-1].tolist():
+            to = at + (1 if c.lib.is_byte(i) else len(c.lib.id_to_piece(i).encode()))
+            out.append((source[at], source[to]))
+            at = to
+        assert list(zip(e.starts.tolist(), e.ends.tolist())) == out
+        assert c.normalizer(t).source.tolist() == source == c.normalizer.alignment(t).tolist()
