@@ -8,8 +8,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no content, by use.
-WARRANT_STOP = "what when where which that this with from have does were they them their there about into after before during while would could should".split()
+# Words of four letters or more that carry no content, for warrants, for citation checks and for contexts.
+WARRANT_STOP = [
+    "what", "when", "where", "which", "this", "that", "with", "from", "have", "does", "into", "about", "type", "last", "first", "video", "they", "their",
+    "would", "could", "there", "after", "before", "during", "while",
+]
+CITATION_STOP = ["what", "when", "where", "which", "this", "that", "with", "from", "have", "does", "into", "about", "type", "last", "first", "video", "they", "their"]
+CONTEXT_STOP = ["what", "when", "where", "which", "this", "that", "with", "from", "have", "does", "into", "about", "type", "last", "first", "video"]
 KEYWORD = r"[\p{L}\p{N}_]{4,}"
 
 

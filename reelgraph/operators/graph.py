@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CAUSAL, FAMILIES
+from ..shared import shared_dir
 from .ranking import top_per_group
 
 
@@ -104,21 +105,19 @@ def reach(roots: DataFrame, edges: DataFrame, depth: int, relations: Sequence[st
     return seen.groupBy(*on, "node_id").agg(F.min("hop").alias("hop"))
 
 
-def reach_all(roots: DataFrame, edges: DataFrame, relations: Sequence[str] | None = None, on: Sequence[str] = (), most: int = 50) -> DataFrame:
-    """As ``reach`` until nothing is added; each round is checkpointed in the shared folder."""
-    context = roots.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(roots.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/reelgraph-shared"))
-    step = undirected(edges, relations, on).select(*on, "node", "neighbour").distinct()
+def reach_all(roots: DataFrame, edges: DataFrame, relations: Sequence[str] | None = None, on: Sequence[str] = ()) -> DataFrame:
+    """As ``reach`` until nothing is added, however many steps that takes; rounds are checkpointed in the shared folder."""
+    shared_dir(roots.sparkSession)
+    step = undirected(edges, relations, on).select(*on, "node", "neighbour").distinct().checkpoint()
     seen = roots.select(*on, "node_id").distinct().withColumn("hop", F.lit(0)).checkpoint()
-    ring = seen
-    for hop in range(1, most + 1):
+    ring, hop = seen, 0
+    while True:
+        hop += 1
         following = ring.select(*on, F.col("node_id").alias("node")).join(step, [*on, "node"]).select(*on, F.col("neighbour").alias("node_id")).distinct()
         ring = following.join(seen.select(*on, "node_id"), [*on, "node_id"], "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         if not ring.take(1):
-            break
+            return seen
         seen = seen.unionByName(ring).checkpoint()
-    return seen
 
 
 def spine_walk(roots: DataFrame, edges: DataFrame, hops: int, relation: str = "PRECEDES", on: Sequence[str] = (), directions: Sequence[str] = ("forward", "backward")) -> DataFrame:
@@ -171,24 +170,29 @@ def same_identity(seeds: DataFrame, characters: DataFrame, on: Sequence[str] = (
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Component of each node of a list of links (a, b): the smallest node reachable.
+    """Component of each node of a list of links (a, b): the smallest node reachable, as columns node, label.
 
-    Every node takes the smallest label around it, and then its label's label, until nothing changes.
+    Alternating stars: each round ties the larger neighbours of every node, then the smaller ones, to the
+    smallest neighbour, so the rounds grow with the logarithm of a component's size and links never more
+    than double.  The smallest neighbour is an aggregate that Spark forms before the shuffle; the joins on
+    nodes with very many links are skewed sort-merge joins, which Spark splits at run time.
     """
-    context = links.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/reelgraph-shared"))
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")).checkpoint()
+    shared_dir(links.sparkSession)
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    stars = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct().checkpoint()
+    before = None
     while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(around, labels["node"] == around["a"]).select("node", "label", F.least("label", "m").alias("to"))
-        up = lower.select(F.col("node").alias("rg_n"), F.col("to").alias("rg_l"))
-        following = lower.join(up, lower["to"] == up["rg_n"]).select("node", F.col("label").alias("was"), F.least("to", "rg_l").alias("label")).checkpoint()
-        changed = following.where("was <> label").take(1)
-        labels = following.select("node", "label")
-        if not changed:
-            return labels
+        around = stars.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(stars.select("lo", "hi"))
+        smallest = around.groupBy("node").agg(F.least(F.min("other"), F.min("node")).alias("least"))
+        large = around.where("other > node").join(smallest, "node").select(F.col("other").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
+        smallest = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        tied = large.join(smallest, "hi")
+        stars = tied.select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(tied.select("hi", "least")).where("hi <> lo").distinct().checkpoint()
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return nodes.join(stars.select(F.col("hi").alias("node"), F.col("lo").alias("rg_l")), "node", "left").select("node", F.coalesce("rg_l", "node").alias("label"))
 
 
 def scene_detail(nodes: DataFrame, edges: DataFrame, t0: float, t1: float, most: int = 30) -> DataFrame:

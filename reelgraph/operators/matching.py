@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import either_contains, jaccard, words
@@ -19,10 +19,33 @@ def by_substring(left: DataFrame, right: DataFrame, key: Sequence[str], on: Sequ
     return first_match(left.join(right, list(on)).where((F.length(needle) > 0) & F.contains(F.lower(F.col(label)), needle)), key, F.col(order))
 
 
+def _grams(text: str | Column) -> Column:
+    """The distinct stretches of one to three characters of a text."""
+    t = F.lower(F.trim(F.col(text) if isinstance(text, str) else text))
+    at = F.sequence(F.lit(1), F.length(t))
+    grams = F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(t, i, n))))
+    return F.when(F.length(t) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+
+def _likely(left: DataFrame, right: DataFrame, on: Sequence[str], text: str, label: str) -> DataFrame:
+    """Pairs of one group that may contain each other or share a word; a pair may come several times.
+
+    A text inside another begins with a stretch of characters of the other, so a containment joins on the
+    first three characters of one side and the stretches of the other; nothing is paired that shares nothing.
+    """
+    first = lambda c: F.left(F.lower(F.trim(F.col(c))), F.lit(3))
+    sides = ((F.array(first(text)), _grams(label)), (_grams(text), F.array(first(label))), (words(text, 1), words(label, 1)))
+    out = None
+    for a, b in sides:
+        found = left.withColumn("rg_g", F.explode(a)).join(right.withColumn("rg_g", F.explode(b)), [*on, "rg_g"]).drop("rg_g")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def by_description(left: DataFrame, right: DataFrame, key: Sequence[str], on: Sequence[str], text: str, label: str, order: str, least: float = SPEAKER_JACCARD, strict: bool = False, shortest: int = 1) -> DataFrame:
     """Best match by description inside a group: a substring either way wins, the first in order; else the
     highest token Jaccard of at least ``least`` (above it if ``strict``).  Empty texts match nothing."""
-    pairs = left.join(right, list(on))
+    pairs = _likely(left, right, on, text, label)
     sub = either_contains(text, label) & (F.length(F.trim(F.col(label))) >= shortest)
     score = jaccard(words(text), words(label))
     pairs = pairs.withColumns({"rg_sub": F.coalesce(sub, F.lit(False)), "match_score": score})
@@ -38,19 +61,22 @@ def event_by_description(left: DataFrame, events: DataFrame, key: Sequence[str],
 def by_shared_words(left: DataFrame, right: DataFrame, key: Sequence[str], on: Sequence[str], text: str, label: str, order: str, least: int = 2) -> DataFrame:
     """A substring either way, else the most shared words of four letters or more, two at least."""
     shared = F.size(F.array_intersect(words(text), words(label)))
-    pairs = left.join(right, list(on)).withColumns({"rg_sub": F.coalesce(either_contains(text, label), F.lit(False)), "shared": shared})
+    pairs = _likely(left, right, on, text, label).withColumns({"rg_sub": F.coalesce(either_contains(text, label), F.lit(False)), "shared": shared})
     return first_match(pairs.where(F.col("rg_sub") | (F.col("shared") >= least)), key, F.desc("rg_sub"), F.when(F.col("rg_sub"), F.col(order)), F.desc("shared"), F.col(order)).drop("rg_sub")
 
 
 def mentions(speech: DataFrame, entities: DataFrame, known: DataFrame | None = None, on: Sequence[str] = (), gap: float = MENTION_GAP) -> DataFrame:
     """Speech and entities that share a word of four letters or more, at most ``gap`` seconds apart.
 
-    An inverted index on both sides: rows are exploded to words and joined on them, so frequent words are
-    a skewed key that Spark can split; pairs already known are left out, and each pair comes once.
+    An inverted index on both sides: rows are exploded to words and joined on word and time, in buckets as
+    wide as the gap, so a frequent word only meets its own stretch of time; pairs already known are left
+    out, and each pair comes once.
     """
+    bucket = lambda t: F.floor(F.col(t) / F.lit(max(float(gap), 1e-3))).cast("bigint")
     a = speech.select(*on, F.col("node_id").alias("src"), F.col("t_start").alias("rg_ta"), F.explode(words("label")).alias("rg_w"))
-    b = entities.select(*on, F.col("node_id").alias("dst"), F.col("t_start").alias("rg_tb"), F.explode(words("label")).alias("rg_w"))
-    pairs = a.join(b, [*on, "rg_w"]).where(F.abs(F.col("rg_ta") - F.col("rg_tb")) <= gap).select(*on, "src", "dst").distinct()
+    a = a.withColumn("rg_k", F.explode(F.array(*(bucket("rg_ta") + i for i in (-1, 0, 1)))))
+    b = entities.select(*on, F.col("node_id").alias("dst"), F.col("t_start").alias("rg_tb"), F.explode(words("label")).alias("rg_w")).withColumn("rg_k", bucket("rg_tb"))
+    pairs = a.join(b, [*on, "rg_w", "rg_k"]).where(F.abs(F.col("rg_ta") - F.col("rg_tb")) <= gap).select(*on, "src", "dst").distinct()
     return pairs if known is None else pairs.join(known.select(*on, "src", "dst"), [*on, "src", "dst"], "left_anti")
 
 
@@ -87,6 +113,9 @@ def by_variant(mentions_: DataFrame, entities: DataFrame, on: Sequence[str] = ()
 
 def option_characters(options: DataFrame, characters: DataFrame, on: Sequence[str], all_matches: bool = False) -> DataFrame:
     """Characters whose label, description or id stands in an option, or the option in them."""
-    hit = either_contains("option_text", "label") | either_contains("option_text", F.coalesce("canonical_description", F.lit(""))) | either_contains("option_text", F.coalesce("entity_id", F.lit("")))
-    pairs = options.join(characters, list(on)).where(hit)
-    return pairs if all_matches else first_match(pairs, [*on, "letter"], F.col("ord"))
+    names = F.filter(F.array("label", F.coalesce("canonical_description", F.lit("")), F.coalesce("entity_id", F.lit(""))), lambda n: F.length(F.trim(n)) > 0)
+    named = characters.withColumn("rg_name", F.explode(F.array_distinct(names)))
+    pairs = _likely(options, named, on, "option_text", "rg_name").where(either_contains("option_text", "rg_name")).drop("rg_name")
+    keys = [c for c in ("qid", *on, "letter", "node_id") if c in pairs.columns]
+    pairs = pairs.dropDuplicates(keys)  # a character may be found by several names
+    return pairs if all_matches else first_match(pairs, [*[c for c in ("qid",) if c in pairs.columns], *on, "letter"], F.col("ord"))

@@ -16,9 +16,24 @@ def top_per_group(rows: DataFrame, on: Sequence[str], k: int | Column, *order: C
 
 
 def budget_prune(nodes: DataFrame, on: Sequence[str], is_seed: Column, most: int, confidence: str = "confidence", node: str = "node_id") -> DataFrame:
-    """All seeds, then the most confident others up to ``most`` rows of each group."""
-    order = Window.partitionBy(*on).orderBy(is_seed.cast("int").desc(), F.desc(confidence), node)
-    return nodes.withColumn("rg_seed", is_seed).withColumn("rg_n", F.row_number().over(order)).where((F.col("rg_n") <= most) | F.col("rg_seed")).drop("rg_n", "rg_seed")
+    """All seeds, then the most confident others up to ``most`` rows of each group.
+
+    Seeds are counted and the others ranked apart, so that Spark limits the others before the shuffle.
+    """
+    marked = nodes.withColumn("rg_seed", F.coalesce(is_seed, F.lit(False)))
+    seeds, others = marked.where("rg_seed"), marked.where("not rg_seed")
+    if on:
+        best = top_per_group(others, on, most, F.desc(confidence), F.col(node), rank="rg_n")
+        taken = seeds.groupBy(*[F.col(c).alias(f"rg_{c}") for c in on]).agg(F.count("*").alias("rg_taken"))
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"rg_{c}"))
+        best = best.join(taken, same, "left").drop(*[f"rg_{c}" for c in on])
+    else:  # one group: its best rows are found without sorting all of it in one task
+        best = others.orderBy(F.desc(confidence), node).limit(most).withColumn("rg_n", F.row_number().over(Window.orderBy(F.desc(confidence), node)))
+        best = best.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("rg_taken"))))  # one row
+    best = best.where(F.col("rg_n") + F.coalesce("rg_taken", F.lit(0)) <= most)
+    return seeds.drop("rg_seed").unionByName(best.drop("rg_seed", "rg_n", "rg_taken"))
 
 
 def ranked_then_by_time(rows: DataFrame, on: Sequence[str], most: int, *rank: Column, time: str = "t_start", tie: str = "node_id") -> DataFrame:

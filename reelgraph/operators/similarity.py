@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, normalized, similarity
 from .ranking import top_per_group
 
-#: Vectors of one block of the blocked self join.
-BLOCKS = 8
+#: Vectors of one block of the blocked self join, about; a task holds two blocks.
+BLOCK_ROWS = 1024
+#: What rounding to six digits may move.
+SLACK = 2e-6
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int, least: float, id_col: str = "node_id", vector_col: str = "embedding", metric: str = "cosine") -> DataFrame:
@@ -34,22 +38,47 @@ def zero_shot(vectors: DataFrame, labels: DataFrame, label: str, least: float =
     return pairs.withColumn("score", F.round(cosine(vector_col, "prototype"), 6)).where(F.col("score") >= least).select(id_col, label, "score")
 
 
-def similar_pairs(vectors: DataFrame, least: float, id_col: str = "node_id", vector_col: str = "embedding", on: Sequence[str] = (), blocks: int = BLOCKS) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, id_col: str = "node_id", vector_col: str = "embedding", on: Sequence[str] = (), best: int | None = None) -> DataFrame:
     """All ordered pairs of different rows at least so similar, by a blocked self join inside each group.
 
-    Rows are dealt to blocks by a hash; each pair of blocks is one task's work, so no task holds a group.
+    Rows are dealt by a hash to as many blocks as their group's size asks for; each pair of blocks is one
+    matrix product, so no task holds a group.  With ``best``, a block only passes on what may still be
+    among so many of a row.  Vectors of different lengths do not meet; null vectors take no part.
     """
-    v = vectors.select(*on, F.col(id_col).alias("rg_id"), normalized(vector_col).alias("rg_v"))
-    block = F.pmod(F.xxhash64("rg_id"), F.lit(blocks)).cast("int")
-    a = v.select(*on, F.col("rg_id").alias("src"), F.col("rg_v").alias("a"), block.alias("bi")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = v.select(*on, F.col("rg_id").alias("dst"), F.col("rg_v").alias("b"), block.alias("bj")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, [*on, "bi", "bj"]).where("src <> dst").withColumn("score", F.round(dot, 6)).where(F.col("score") >= least).select(*on, "src", "dst", "score")
+    v = vectors.select(*on, F.col(id_col).alias("rg_id"), normalized(vector_col).alias("rg_v")).where("rg_v is not null").withColumn("rg_n", F.size("rg_v"))
+    key = [*on, "rg_n"]
+    sizes = v.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("rg_blocks"))
+    v = v.join(sizes, key).withColumn("rg_b", F.pmod(F.xxhash64("rg_id", "rg_v"), F.col("rg_blocks")).cast("int"))
+    a = v.select(*key, "rg_id", "rg_v", F.col("rg_b").alias("bi"), F.explode(F.sequence("rg_b", F.col("rg_blocks") - 1)).alias("bj"))
+    b = v.select(*[F.col(c).alias(c) for c in (*key, "rg_id", "rg_v")], F.explode(F.sequence(F.lit(0), "rg_b")).alias("bi"), F.col("rg_b").alias("bj"))
+    kinds = {f.name: f.dataType.simpleString() for f in v.schema}
+
+    def product(of: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            ids, rows = zip(*((t.column("rg_id").combine_chunks(), np.asarray(t.column("rg_v").combine_chunks().flatten()).reshape(t.num_rows, -1)) for t in (left, right)))
+            score = rows[0] @ rows[1].T
+            sides = [(score, *ids)] if of[-2] == of[-1] else [(score, *ids), (score.T, ids[1], ids[0])]  # a block meets itself once
+            for s, own, other in sides:
+                hit = s >= least - SLACK
+                if best is not None and s.shape[1] > best + 1:  # one may be the row itself
+                    hit &= s >= np.partition(s, s.shape[1] - best - 1, axis=1)[:, s.shape[1] - best - 1, None] - SLACK
+                i, j = np.nonzero(hit)
+                found.append((own.take(pa.array(i)), other.take(pa.array(j)), s[i, j]))
+        kind = left.schema.field("rg_id").type
+        parts = [pa.concat_arrays([f[c] for f in found]) if found else pa.array([], kind) for c in (0, 1)]
+        scores = np.concatenate([f[2] for f in found]) if found else np.zeros(0)
+        same = [pa.array([x.as_py()] * len(scores), x.type) for x in of[: len(on)]]
+        return pa.table([*same, *parts, pa.array(scores)], [*on, "src", "dst", "score"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in on), f"src {kinds['rg_id']}", f"dst {kinds['rg_id']}", "score double"])
+    pairs = a.groupBy(*key, "bi", "bj").cogroup(b.groupBy(*key, "bi", "bj")).applyInArrow(product, schema)
+    return pairs.where("src <> dst").withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
 
 
 def knn_edges(vectors: DataFrame, k: int = 10, least: float = 0.78, id_col: str = "node_id", vector_col: str = "embedding", on: Sequence[str] = (), parents: DataFrame | None = None) -> DataFrame:
     """Directed edges to the ``k`` nearest rows at or above a similarity, without parents and children."""
-    pairs = similar_pairs(vectors, least, id_col, vector_col, on)
+    pairs = similar_pairs(vectors, least, id_col, vector_col, on, best=k)
     best = top_per_group(pairs, [*on, "src"], k, F.desc("score"), F.col("dst"), rank="rank")
     if parents is not None:  # columns node_id, parent_id
         for a, b in (("src", "dst"), ("dst", "src")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -97,31 +99,37 @@ def bucket_first(rows: DataFrame, on: Sequence[str], bucket: Column, order: Sequ
 
 
 def pick_keyframes(times: list[float], score: list[float], k: int, min_gap: float, max_gap: float) -> list[int]:
-    """Places of the rows picked: greedily by score with a least gap, then so that no gap is too wide."""
+    """Places of the rows picked: greedily by score with a least gap, then so that no gap is too wide; ``times`` ascend."""
     order = sorted(range(len(times)), key=lambda i: (-score[i], i))
-    taken: list[int] = []
+    chosen: list[float] = []  # times of the rows taken, sorted
+    taken: set[int] = set()
     for i in order:
         if len(taken) >= k:
             break
-        if all(abs(times[i] - times[j]) >= min_gap for j in taken):
-            taken.append(i)
-    taken.sort()
+        at = bisect_left(chosen, times[i])
+        if (at == 0 or times[i] - chosen[at - 1] >= min_gap) and (at == len(chosen) or chosen[at] - times[i] >= min_gap):
+            chosen.insert(at, times[i])
+            taken.add(i)
     if not times:
-        return taken
-    while len(taken) < len(times):
-        edges = [times[0], *(times[i] for i in taken), times[-1]]
-        wide = [(b - a, a, b) for a, b in zip(edges, edges[1:]) if b - a > max_gap]
-        free = [i for i in range(len(times)) if i not in set(taken)]
-        found = None
-        for _, a, b in sorted(wide, key=lambda x: (-x[0], x[1])):
-            inner = [i for i in free if a < times[i] < b]
-            if inner:
-                found = min(inner, key=lambda i: (abs(times[i] - (a + b) / 2), i))
-                break
-        if found is None:
-            break
-        taken = sorted([*taken, found])
-    return taken
+        return []
+    # the widest gap first; what lies between its ends is free, as the ends are neighbours among the taken
+    edges = [times[0], *chosen, times[-1]]
+    gaps = [(a - b, a, b) for a, b in zip(edges, edges[1:]) if b - a > max_gap]
+    heapq.heapify(gaps)
+    while gaps:
+        _, a, b = heapq.heappop(gaps)
+        lo, hi = bisect_right(times, a), bisect_left(times, b)
+        if lo >= hi:
+            continue
+        middle = (a + b) / 2
+        at = bisect_left(times, middle, lo, hi)
+        near = [i for i in (bisect_left(times, times[at - 1], lo, hi) if at > lo else None, at if at < hi else None) if i is not None]
+        found = min(near, key=lambda i: (abs(times[i] - middle), i))
+        taken.add(found)
+        for x, y in ((a, times[found]), (times[found], b)):
+            if y - x > max_gap:
+                heapq.heappush(gaps, (x - y, x, y))
+    return sorted(taken)
 
 
 def greedy_keyframes(frames: DataFrame, on: Sequence[str], time: str = "ts", score: str = "score", order: str = "ord", k: Column | int = 5, min_gap: float = 5.0, max_gap: float = 10.0) -> DataFrame:

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import list_literal, question_type, words
 from ..functions.vectors import cosine
-from ..operators.graph import children, first_neighbour, nodes_in_window, reach, spine_walk, undirected, with_parents
+from ..operators.graph import children, first_neighbour, nodes_in_window, reach, reach_all, spine_walk, undirected, with_parents
 from ..operators.ranking import budget_prune, nearest_in_time, top_per_group
-from ..schema import CAUSAL, INTENT_SIMILARITY, KEYWORD_INTENTS, LONG_SPAN, NODE_BUDGET, QUESTION_INTENTS, SEED_SIMILARITY, SPATIAL
+from ..schema import CAUSAL, INTENT_SIMILARITY, KEYWORD_INTENTS, LONG_SPAN, NO_CLIP, NODE_BUDGET, QUESTION_INTENTS, SEED_SIMILARITY
+
+#: Relations that the spatial intent follows (fixed values).
+SPATIAL_STEPS = ("LEFT_OF", "RIGHT_OF", "ABOVE", "BELOW", "IN_FRONT_OF", "BEHIND", "NEAR", "CONTAINS_SPATIAL")
 
 
 def by_question_type(types: Column) -> Column:
@@ -51,18 +54,52 @@ def classify_intent(questions: DataFrame, intents: DataFrame | None = None) -> D
     return q.withColumn("intents", out).drop("close")
 
 
-def activate_window(nodes: DataFrame, edges: DataFrame, t0: float, t1: float, hops: int = 0, relations: Sequence[str] | None = None, most: int = NODE_BUDGET) -> DataFrame:
-    """Nodes of a window (or the 20 nearest to its middle), their surroundings and parents, cut to a budget."""
-    seeds = nodes_in_window(nodes, t0, t1).select("node_id")
-    if not seeds.take(1):
-        seeds = nearest_in_time(nodes, t0, t1).select("node_id")
-    active = reach(seeds, edges, hops, relations).select("node_id") if hops else seeds
+def window_seeds(nodes: DataFrame, t0: float, t1: float, buffer: float = 30.0) -> DataFrame:
+    """Ids of a window's nodes; if there are none, of the 20 that begin nearest to its middle."""
+    seeds = nodes_in_window(nodes, t0, t1, buffer).select("node_id")
+    none = seeds.limit(1).agg(F.count("*").alias("rg_n"))  # one row
+    nearest = nearest_in_time(nodes, t0, t1).select("node_id").crossJoin(F.broadcast(none)).where("rg_n = 0").select("node_id")
+    return seeds.unionByName(nearest).distinct()
+
+
+def activate_window(
+    nodes: DataFrame, edges: DataFrame, t0: float, t1: float, hops: int = 0, relations: Sequence[str] | None = None, most: int = NODE_BUDGET, intents: Sequence[str] = (), buffer: float = 30.0
+) -> DataFrame:
+    """Nodes of a window (or the 20 nearest to its middle), what the intents add, and parents, cut to a budget.
+
+    CAUSAL follows causal edges three steps; IDENTITY and SEMANTIC add the nodes of the seeds' entities, their
+    SAME_ENTITY neighbours and, if an episode overlaps the window, all characters; SPATIAL adds spatial
+    neighbours, STATE the state changes inside the widened window.  ``hops`` adds what lies around the seeds.
+    """
+    seeds = window_seeds(nodes, t0, t1, buffer)
+    parts = [reach(seeds, edges, hops, relations).select("node_id") if hops else seeds]
+    if "CAUSAL" in intents:
+        parts.append(reach(seeds, edges, 3, CAUSAL).select("node_id"))
+    if "SPATIAL" in intents:
+        parts.append(reach(seeds, edges, 1, SPATIAL_STEPS).select("node_id"))
+    if "IDENTITY" in intents or "SEMANTIC" in intents:
+        named = nodes.where("entity_id is not null").select("node_id", "entity_id")
+        parts.append(named.join(named.join(seeds, "node_id").select("entity_id").distinct(), "entity_id", "left_semi").select("node_id"))
+        parts.append(reach(seeds, edges, 1, ("SAME_ENTITY",)).select("node_id"))
+        told = nodes.where((F.col("node_type") == "EpisodeNode") & (F.col("t_start") <= t1) & (F.col("t_end") >= t0)).limit(1).agg(F.count("*").alias("rg_n"))  # one row
+        parts.append(nodes.where("node_type = 'CharacterNode'").select("node_id").crossJoin(F.broadcast(told)).where("rg_n > 0").select("node_id"))
+    if "STATE" in intents:
+        parts.append(nodes.where((F.col("node_type") == "StateChangeNode") & (F.col("t_start") >= t0 - buffer) & (F.col("t_end") <= t1 + buffer)).select("node_id"))
+    active = parts[0]
+    for part in parts[1:]:
+        active = active.unionByName(part)
     if "parent_id" in nodes.columns:
-        active = with_parents(active, nodes)
-    marked = active.distinct().join(seeds.distinct().withColumn("is_seed", F.lit(True)), "node_id", "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
+        active = with_parents(active.distinct(), nodes)
+    marked = active.distinct().join(seeds.withColumn("is_seed", F.lit(True)), "node_id", "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
     return budget_prune(nodes.join(marked, "node_id"), [], F.col("is_seed"), most)
 
 
+def least_precision(active: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """The least temporal precision among active nodes, 999 where there is none; above a threshold the graph has a hole there."""
+    least = F.coalesce(F.min("temporal_precision"), F.lit(NO_CLIP)).alias("least_precision")
+    return active.groupBy(*on).agg(least) if on else active.agg(least)
+
+
 def seeds_by_similarity(questions: DataFrame, vectors: DataFrame, k: int = 20, least: float = SEED_SIMILARITY, on: Sequence[str] = ("video_id",)) -> DataFrame:
     """The k best nodes of each question's video at or above a similarity; the cut by k comes first."""
     pairs = questions.select("qid", *on, F.col("embedding").alias("rg_q")).join(vectors.select(*on, "node_id", "embedding"), list(on))
@@ -70,8 +107,8 @@ def seeds_by_similarity(questions: DataFrame, vectors: DataFrame, k: int = 20, l
     return top_per_group(scored, ["qid"], k, F.desc("score"), F.col("node_id")).where(F.col("score") >= least).select("qid", *on, "node_id", "score")
 
 
-#: Relations that an intent follows from the seeds, and how far.
-WALKS = {"CAUSAL": (CAUSAL, 3), "COUNTERFACT": (CAUSAL, 2), "INTENTIONAL": (("MOTIVATES",), 3), "SPATIAL": (SPATIAL, 1), "EMOTIONAL": (("EMOTION_SHIFT",), 3), "IDENTITY": (("SAME_ENTITY",), 1)}
+#: Relations that an intent follows from the seeds, and how far; emotional shifts are followed to their end.
+WALKS = {"CAUSAL": (CAUSAL, 3), "COUNTERFACT": (CAUSAL, 2), "INTENTIONAL": (("MOTIVATES",), 3), "SPATIAL": (SPATIAL_STEPS, 1), "IDENTITY": (("SAME_ENTITY",), 1)}
 
 
 def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, on: Sequence[str] = ("video_id",), most: int = NODE_BUDGET, follow_arc: bool = False) -> DataFrame:
@@ -117,18 +154,22 @@ def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
     places = first_neighbour(mine_edges, "TAKES_PLACE_IN", k).select(*k, F.col("node").alias("node_id"), "neighbour")
     out = out.unionByName(at("COUNTERFACT").join(places, [*k, "node_id"]).select(*k, F.col("neighbour").alias("node_id")))
 
-    for intent in ("EMOTIONAL", "INTENTIONAL"):
-        a = at(intent).join(nodes.select(*on, "node_id", F.col("t_start").alias("s0"), F.col("t_end").alias("s1")), [*on, "node_id"]).select(*k, "s0", "s1")
-        people = a.join(nodes.where("node_type = 'CharacterNode'").select(*on, "node_id", "t_start", "t_end"), list(on)).where("t_start <= s1 and t_end >= s0")
-        out = out.unionByName(people.select(*k, "node_id"))
-        if intent == "EMOTIONAL":
-            scenes = people.select(*k, F.col("t_start").alias("s0"), F.col("t_end").alias("s1")).distinct().join(nodes.where("node_type = 'SceneNode'").select(*on, "node_id", "t_start", "t_end"), list(on)).where("t_start <= s1 and t_end >= s0")
-            out = out.unionByName(scenes.select(*k, "node_id"))
+    spans = nodes.select(*on, "node_id", "node_type", F.col("t_start").alias("s0"), F.col("t_end").alias("s1"))
+    characters = nodes.where("node_type = 'CharacterNode'").select(*on, "node_id", "t_start", "t_end")
+    felt = at("EMOTIONAL").join(spans, [*on, "node_id"])
+    people = felt.select(*k, "s0", "s1").join(characters, list(on)).where("t_start <= s1 and t_end >= s0").select(*k, "node_id").distinct()
+    starts = people.unionByName(felt.where("node_type = 'CharacterNode'").select(*k, "node_id")).distinct()
+    moved = reach_all(starts, mine_edges, ("EMOTION_SHIFT",), k).select(*k, "node_id")
+    times = moved.join(spans.where("node_type = 'CharacterNode'"), [*on, "node_id"]).select(*k, "s0", "s1").distinct()
+    scenes = times.join(nodes.where("node_type = 'SceneNode'").select(*on, "node_id", "t_start", "t_end"), list(on)).where("t_start <= s1 and t_end >= s0")
+    out = out.unionByName(moved).unionByName(scenes.select(*k, "node_id"))
+    acting = at("INTENTIONAL").join(spans.where("node_type in ('ActionNode', 'SceneNode', 'ClipNode')"), [*on, "node_id"]).select(*k, "s0", "s1")
+    out = out.unionByName(acting.join(characters, list(on)).where("t_start <= s1 and t_end >= s0").select(*k, "node_id"))
 
     late = at("PROSPECTIVE").join(nodes.select(*on, "node_id", "t_start"), [*on, "node_id"])
     latest = top_per_group(late, k, 5, F.desc("t_start"), F.col("node_id"))
     out = out.unionByName(spine_walk(latest, mine_edges, 3, "PRECEDES", k, ("forward",)).select(*k, "node_id"))
-    edge = late.groupBy(*k).agg(F.max("t_start").alias("s1"))
+    edge = top_per_group(late.join(spans.select(*on, "node_id", "s1"), [*on, "node_id"]), k, 1, F.desc("t_start"), F.col("node_id")).select(*k, "s1")
     out = out.unionByName(top_per_group(edge.join(episodes.select(*on, "node_id", "t_start"), list(on)).where("t_start >= s1"), k, 1, F.col("t_start"), F.col("node_id")).select(*k, "node_id"))
 
     active = with_parents(out.distinct(), mine(nodes), k)

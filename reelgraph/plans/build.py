@@ -21,6 +21,7 @@ from ..operators import matching as M
 from ..operators import similarity as S
 from ..operators import windows as W
 from ..schema import CAUSAL, CAUSAL_CONFIDENCE, CAUSAL_LINK, EDGES, EPISODE_EVENTS, FAMILIES, MERGE_JACCARD, NODES, NODE_LEVELS, SCENE_JSON, SPATIAL
+from ..shared import shared_dir
 
 V = ["video_id"]
 NODE_COLUMNS = [c.split()[0] for c in NODES.replace("map<string,string>", "map").split(", ")]
@@ -391,9 +392,7 @@ def build(windows: DataFrame, segments: DataFrame, keyframes: DataFrame, speech:
 
     Stages are checkpointed in the shared folder, so that builders read tables and not each other's plans.
     """
-    context = windows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(windows.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/reelgraph-shared"))
+    shared_dir(windows.sparkSession)
     scenes = parsed_scenes(windows).checkpoint()
     appearances = resolve_characters(mentions_of_characters(scenes), entities).checkpoint()
     nodes = union([backbone(scenes, episodes(scenes, segments), keyframes), content_nodes(scenes), speech_nodes(speech, cues)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_hits, keywords
+from ..functions.text import CONTEXT_STOP, keyword_hits, keywords
 from ..operators.matching import option_characters
 from ..operators.ranking import majority, ranked_then_by_time, top_per_group
 from ..operators.windows import bucket_first, count_windows, gap_clusters, widened_clusters
@@ -13,8 +13,6 @@ from ..schema import CONTEXT_ROWS
 
 V = ["video_id"]
 ROWS_BESIDE_REFERENCE, ROWS_IN_RANGE, INTRO = 12, 30, (10.0, 30.0)
-# Words of questions that carry no content here.
-STOP = "what when where which that this with from have does were they".split()
 
 
 def reference_block(questions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,7 +41,7 @@ def assemble(questions: DataFrame, nodes: DataFrame, hits: DataFrame, windows: D
     inside = windows.select("qid", *V, "t0", "t1").join(nodes.select(*V, "node_id", "t_start", "t_end"), V).where("t_start <= t1 and t_end >= t0").select("qid", *V, "node_id")
     other = hits.select("qid", *V, "node_id").unionByName(inside).distinct().join(first.select("qid", "node_id"), ["qid", "node_id"], "left_anti")
     sizes = first.groupBy("qid").agg(F.count("*").alias("rg_f"))
-    asked = questions.select("qid", keywords("question", STOP).alias("rg_k"))
+    asked = questions.select("qid", keywords("question", CONTEXT_STOP).alias("rg_k"))
     ranked = other.join(nodes, [*V, "node_id"]).join(asked, "qid").join(sizes, "qid", "left")
     score = F.when(F.size("rg_k") > 0, keyword_hits(F.col("rg_k"), "label") / F.size("rg_k")).otherwise(F.lit(0.0))
     room = F.when(F.col("rg_f").isNull(), F.lit(most)).otherwise(F.least(F.greatest(F.lit(0), F.lit(most) - F.col("rg_f")), F.lit(ROWS_BESIDE_REFERENCE)))

@@ -17,6 +17,7 @@ from ..functions.vectors import cosine
 from ..operators.graph import expand
 from ..operators.ranking import top_per_group
 from ..schema import BUILD_DEFAULT, BUILD_MOST_FRAMES, BUILD_WINDOWS, FAMILIES, FRONTIER_K, HOPS, SEARCH_SIMILARITY, ZOOM_BUFFER
+from ..shared import shared_dir
 from .warrant import coverage, elasticity, facts, required_slots, satisfied
 
 V = ["video_id"]
@@ -35,9 +36,7 @@ class Walk:
 
 def held(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/reelgraph-shared"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

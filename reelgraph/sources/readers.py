@@ -14,10 +14,10 @@ from ..schema import EDGES, NODES
 
 SUBTITLE_SUFFIXES = (".srt", ".vtt", ".en.srt", ".en.vtt")
 # Capitalised words of questions that are no names.
-NO_NAMES = (
-    "What Which Who Whose Whom Where When Why How Does Did Are Was Were Has Have Had Can Could Will Would Should The This That These Those There Then They His Her Its Their After Before During "
-    "According And But For From With Into About Video Please Choose Select Based"
-).split()
+NO_NAMES = [
+    "What", "When", "Where", "Which", "While", "After", "Before", "During", "Does", "Both", "None", "Their", "There", "They", "Then", "That", "This",
+    "Show", "Video", "Following", "Mentioned", "According",
+]
 
 
 def subtitles(spark: SparkSession, path: str) -> DataFrame:
@@ -133,6 +133,12 @@ def audio_rms(samples: DataFrame) -> DataFrame:
     return rms_per_second(samples, ["video_id"], "t", "amplitude")
 
 
-def tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
-    """Graph tables that were written by ``writers.graph_tables``."""
-    return {n: spark.read.parquet(posixpath.join(path, n)) for n in names}
+def tables(spark: SparkSession, path: str, *names: str, videos: list[str] | None = None) -> dict[str, DataFrame]:
+    """Graph tables that were written by ``writers.graph_tables``; of given videos only their folders are read."""
+    from .writers import video_bucket
+
+    out = {n: spark.read.parquet(posixpath.join(path, n)) for n in names}
+    if videos is not None:
+        buckets = [r[0] for r in spark.createDataFrame([(v,) for v in videos], "video_id string").select(video_bucket()).distinct().collect()]  # of the given ids
+        out = {n: t.where(F.col("video_bucket").isin(*buckets) & F.col("video_id").isin(*videos)) for n, t in out.items()}
+    return {n: t.drop("video_bucket") for n, t in out.items()}

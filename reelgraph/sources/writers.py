@@ -11,15 +11,29 @@ from pyspark.sql import functions as F
 from ..operators.graph import deduplicated
 
 
+#: Folders of a graph table.
+VIDEO_BUCKETS = 256
+
+
+def video_bucket(video="video_id"):
+    return F.pmod(F.xxhash64(video), F.lit(VIDEO_BUCKETS)).cast("int")
+
+
 def graph_tables(nodes: DataFrame, edges: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
-    """Nodes and edges by video, sorted by time inside files so that windows skip row groups.
+    """Nodes and edges in ``VIDEO_BUCKETS`` folders by a hash of the video, sorted by video and time inside
+    files, so that the folders do not grow with the videos and windows skip row groups.
 
     Of edges with the same end points and type the first stays; shifts are told apart by their time.
     """
-    nodes.repartition("video_id").sortWithinPartitions("video_id", "t_start").write.partitionBy("video_id").mode("overwrite").parquet(posixpath.join(path, "nodes"))
-    deduplicated(edges, ["video_id"], disc=True).repartition("video_id").write.partitionBy("video_id").mode("overwrite").parquet(posixpath.join(path, "edges"))
+    def put(rows: DataFrame, name: str, *order: str) -> None:
+        # a long video is spread over several tasks by its rows' own hash; each task writes to few folders
+        keyed = rows.withColumn("video_bucket", video_bucket()).repartition("video_bucket", F.pmod(F.xxhash64(order[-1]), F.lit(8)))
+        keyed.sortWithinPartitions("video_bucket", *order).write.partitionBy("video_bucket").mode("overwrite").parquet(posixpath.join(path, name))
+
+    put(nodes, "nodes", "video_id", "t_start", "node_id")
+    put(deduplicated(edges, ["video_id"], disc=True), "edges", "video_id", "src", "dst")
     if vectors is not None:
-        vectors.repartition("video_id").write.partitionBy("video_id").mode("overwrite").parquet(posixpath.join(path, "embeddings"))
+        put(vectors, "embeddings", "video_id", "node_id")
 
 
 def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

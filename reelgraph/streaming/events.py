@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """Event files of a folder as a stream; the watermark bounds what a late event may still change."""
@@ -40,13 +42,24 @@ def grow_graph(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def windows_to_table(windows: DataFrame, path: str, checkpoint: str, key: str = "start") -> DataFrame:
+    """Write each micro-batch's windows as files, in update mode; the table holds the last state of each.
+
+    A batch run again replaces its own files, so the driver holds nothing and a restart changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(posixpath.join(path, f"batch={number}"))
+
+    done = windows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    done.awaitTermination()
+    written = windows.sparkSession.read.schema(windows.schema.add("batch", "bigint")).option("basePath", path).parquet(path)
+    return written.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in windows.columns if c != key])
+
+
 def run_once(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
     """Hourly windows of the event table, read as a stream until it is used up."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/reelgraph-shared"
-    name = f"stream_{uuid.uuid4().hex}"
-    checkpoint = posixpath.join(base, name)
+    base = posixpath.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
     # a single file stands for the folder that a stream would watch
     windows = rms_windows(read_events(spark, f"{sf_dir}/events*.parquet"), width)
-    done = windows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name)
+    return windows_to_table(windows, posixpath.join(base, "table"), posixpath.join(base, "checkpoint"))

