@@ -10,7 +10,7 @@ Documents are ranked by the odds of a random number over the odds of that probab
 ones are taken until the words that the source still lacks are reached: a sample of fixed size, in words,
 with unequal probabilities.  The random number is a hash of id and text, so reruns agree.
 
-The place in the ranking at which a source is full is found by sums over 16,384 ranges of the ranking,
+The place in the ranking at which a source is full is found by sums over 4,096 ranges of the ranking,
 and row by row only in the one range that holds the place: no task gets all rows of a source.
 
 Defined cases: a null text has no words and the merit of one word; rows without a source are a source of
@@ -32,7 +32,7 @@ MOST = 3
 SEED = 20
 #: Rows up to which the table of sources and merits is broadcast, and parts of each of its rows beyond.
 BROADCAST_ROWS, SALTS = 100_000, 64
-DRAW_BITS, RANGE_BITS = 52, 14
+DRAW_BITS, RANGE_BITS = 52, 12
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
