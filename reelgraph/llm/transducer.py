@@ -9,8 +9,8 @@ ends the prefix, and with the change of the number of tokens, which is negative
 
 States are made when a text first reaches them, by any worker for itself.  Most have one transition,
 which stands beside the state; only states that branch have a row over all symbols.  When tables and
-keys take more than ``MOST_BYTES``, also in the middle of a text, all are dropped but the states that
-the text is in, so a worker's memory has a bound whatever it reads.
+keys take more than ``MOST_BYTES``, also in the middle of a text, the states that were not used for the
+longest time are dropped, about half of all, so a worker's memory has a bound whatever it reads.
 
 Texts are cut into chunks, and chunks advance side by side.  A chunk inside a word has a state map: the
 exits and counts of the states it may be entered in, guessed by reading a few symbols before it.  Maps
@@ -25,7 +25,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Estimated bytes of states and transitions that a worker keeps.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 80 << 20
 #: Tests of neighbouring tokens that are remembered.
 MOST_FITS = 50_000
 #: Symbols of a chunk.
@@ -84,8 +84,8 @@ class Transducer:
         self.states: list[bytes | None] = [START]
         self.number = {START: 0}
         self.final_state: dict[int, int] = {}
-        self.first_symbol, self.first_value, self.row, self.token = (np.full(4096, v, np.int32) for v in (NONE, NONE, 0, 0))
-        self.rows, self.size = 1, 0
+        self.first_symbol, self.first_value, self.row, self.token, self.used = (np.full(4096, v, np.int32) for v in (NONE, NONE, 0, 0, 0))
+        self.rows, self.size, self.clock = 1, 0, 0
         self.branches = np.full(64 * self.columns, NONE, np.int32)
 
     def columns_of(self, symbols: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ class Transducer:
         edge that would come before the join that ends its two parts shows that they are not.
         """
         if a < 0:
-            return self._parts(b)
+            return self.level[b] != np.inf if self.left[b] != -2 else self._parts(b)
         key = a << 20 | b
         known = self.fits.get(key)
         if known is None:
@@ -171,10 +171,10 @@ class Transducer:
         self.states.append(key)
         self.size += STATE_BYTES + len(key or b"")
         if number >= len(self.token):
-            for name, fill in (("first_symbol", NONE), ("first_value", NONE), ("row", 0), ("token", 0)):
+            for name, fill in (("first_symbol", NONE), ("first_value", NONE), ("row", 0), ("token", 0), ("used", 0)):
                 was = getattr(self, name)
                 setattr(self, name, np.concatenate((was, np.full(len(was) // 2, fill, np.int32))))
-        self.token[number] = token
+        self.token[number], self.used[number] = token, self.clock
         return number
 
     def intern(self, key: bytes) -> int:
@@ -185,26 +185,29 @@ class Transducer:
 
     def _fill(self, state: int, column: int) -> None:
         symbol = self.symbol_of[column]
-        found, moved = None, []
+        children, token_at, is_open = self.children, self.token_at, self.open
+        token, change, moved = -1, 0, []
         for item in array("q", self.states[state]):
-            child = self.children.get(item >> 40 << 20 | symbol)
+            child = children.get(item >> 40 << 20 | symbol)
             if child is None:
                 continue
-            last, count = (item >> 12 & 0xFFFFFFF) - 1, (item & 0xFFF) - 2048
-            if self.open[child]:
-                moved.append((child, last, count))
-            token = self.token_at[child]
-            if found is None and token >= 0 and self.fit(last, token):
-                found = token, count + 1
-        if found is None:
+            if is_open[child]:
+                moved.append(child << 40 | item & 0xFFFFFFFFFF)
+            if token < 0 and (here := token_at[child]) >= 0 and self.fit((item >> 12 & 0xFFFFFFF) - 1, here):
+                token, change = here, (item & 0xFFF) - 2047
+        if token < 0:
             raise ValueError(f"no token ends at symbol {symbol}")
-        token, change = found
         if symbol in self.final:  # nothing follows; the token alone tells such states apart
             number = self.final_state.get(token)
             if number is None:
                 number = self.final_state[token] = self._new_state(None, token)
         else:
-            number = self.intern(array("q", [*(_pack(n, t, c - change) for n, t, c in moved), _pack(0, token, 0)]).tobytes())
+            moved = [m - change for m in moved]  # counts are relative to the last token's
+            moved.append(token + 1 << 12 | 2048)
+            key = array("q", moved).tobytes()
+            number = self.number.get(key)
+            if number is None:
+                number = self.number[key] = self._new_state(key, token)
         value = number << 8 | change + 128
         self.filled += 1
         if self.first_symbol[state] == NONE:
@@ -219,11 +222,36 @@ class Transducer:
         self.branches[int(self.row[state]) * self.columns + column] = value
 
     def _renew(self, states: np.ndarray) -> np.ndarray:
-        """Drop everything but some states; their new numbers."""
-        distinct, place = np.unique(states, return_inverse=True)
-        keys = [self.states[s] for s in distinct.tolist()]
-        self._clear()
-        return np.array([self.intern(k) for k in keys], np.int32)[place]
+        """Drop the states that were not used for the longest time, but not those given; the new numbers of these."""
+        n = len(self.states)
+        used = self.used[:n]
+        keep = used > np.partition(used, n // 2)[n // 2]
+        keep[0] = True
+        keep[states] = True
+        number = np.where(keep, np.cumsum(keep) - 1, NONE).astype(np.int32)
+        key, final = [], {v: k for k, v in self.final_state.items()}
+        for s in np.flatnonzero(keep).tolist():
+            key.append(self.states[s])
+        self.final_state = {t: int(number[s]) for s, t in final.items() if keep[s]}
+        self.states, self.number = key, {k: i for i, k in enumerate(key) if k is not None}
+
+        def moved(value: np.ndarray) -> np.ndarray:
+            to = np.where(value < 0, NONE, number[np.maximum(value, 0) >> 8])
+            return np.where(to < 0, NONE, to << 8 | value & 255).astype(np.int32)
+
+        row = self.row[:n][keep]
+        held = np.flatnonzero(row)
+        cells = moved(self.branches.reshape(-1, self.columns)[np.concatenate(([0], row[held]))].reshape(-1))
+        self.rows = len(held) + 1
+        self.branches = np.concatenate((cells, np.full((self.rows // 2 + 1) * self.columns, NONE, np.int32)))
+        row[held] = np.arange(1, self.rows)
+        value = moved(self.first_value[:n][keep])
+        symbol = np.where(value < 0, NONE, self.first_symbol[:n][keep]).astype(np.int32)
+        spare = max(4096, len(key) // 2)
+        for name, kept, fill in (("first_symbol", symbol, NONE), ("first_value", value, NONE), ("row", row, 0), ("token", self.token[:n][keep], 0), ("used", used[keep], 0)):
+            setattr(self, name, np.concatenate((kept, np.full(spare, fill, np.int32))))
+        self.size = sum(STATE_BYTES + len(k or b"") for k in key) + 4 * self.rows * self.columns
+        return number[states]
 
     def _values(self, states: np.ndarray, columns: np.ndarray) -> np.ndarray:
         value = self.first_value.take(states)
@@ -244,6 +272,7 @@ class Transducer:
         n = len(starts)
         if not n:
             return [], np.zeros(0, np.int64)
+        self.clock += 1
         order = np.argsort(starts - stops, kind="stable")  # the longest first: those that go on are a prefix
         begin, sizes = starts[order].tolist(), (stops - starts)[order]
         longest = int(sizes[0])
@@ -269,6 +298,7 @@ class Transducer:
                         self._fill(k >> 20, k & 0xFFFFF)
                 value = self._values(here, symbol)
             to = value >> 8
+            self.used[to] = self.clock
             if passed is not None:
                 passed[t, :alive] = self.token.take(to)
             else:

@@ -106,18 +106,21 @@ class WordBpe:
         """Table columns of all bytes of words, marks of words' last bytes, and where each text ends."""
         texts = [self._normalized(t) for t in texts]
         joined = " ".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         stops = np.cumsum([len(t) + 1 for t in texts])
-        kind = self.kind[points]
-        if (kind == UNKNOWN).any():
+        try:
+            points = np.frombuffer(joined.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.kind.take(points)
+        if points.dtype != np.uint8 and (kind == UNKNOWN).any():
             self._learn(points[kind == UNKNOWN])
-            kind = self.kind[points]
+            kind = self.kind.take(points)
         n = len(points)
         last = np.ones(n, bool)
         last[:-1] = (kind[:-1] != kind[1:]) | (kind[:-1] == DIGIT)
         quote = np.flatnonzero((points == 39) & (np.concatenate(([BLANK], kind[:-1])) != OTHER))
         if len(quote):
-            ahead = np.concatenate((points, np.zeros(2, np.uint32)))
+            ahead = np.concatenate((points, np.zeros(2, points.dtype)))
             one, two = ahead[quote + 1], ahead[quote + 2]
             short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
             pair = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
@@ -126,16 +129,21 @@ class WordBpe:
             last[quote[pair] + 1] = False
             last[quote[pair] + 2] = True
         word = kind != BLANK
-        width = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int64)
-        data = np.frombuffer(joined.encode(), np.uint8)[np.repeat(word, width)]
-        ends = np.zeros(len(data), bool)
-        ends[np.cumsum(width[word])[last[word]] - 1] = True
-        symbols = self.symbol[data + 256 * ends.astype(np.int64)]
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        if len(raw) == n:  # one byte a character
+            data, ends = raw[word], last[word]
+            upto = np.cumsum(word)
+        else:
+            width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000) if points.dtype != np.uint8 else 1 + (points >= 0x80).astype(np.int8)
+            data = raw[np.repeat(word, width)]
+            upto = np.cumsum(width * word, dtype=np.int64)
+            ends = np.zeros(len(data), bool)
+            ends[upto[word & last] - 1] = True
+        symbols = self.symbol.take(data + np.multiply(ends, 256, dtype=np.int32))
         present = np.flatnonzero(np.bincount(symbols, minlength=1))
         column = np.zeros(int(self.symbol.max()) + 1, np.int32)
         column[present] = self.machine.columns_of(present)
-        upto = np.cumsum(width * word)[np.minimum(stops, n) - 1] if n else np.zeros(len(texts), np.int64)
-        return column[symbols], ends, upto
+        return column.take(symbols), ends, upto[np.minimum(stops, n) - 1] if n else np.zeros(len(texts), np.int64)
 
     def _compiled(self, texts: list[str]) -> tuple[list[int], list[int], tuple]:
         """Which texts run through the tables, which through the library, and the symbols of the first."""
