@@ -70,7 +70,8 @@ def keyframes_of(duration) -> Column:
 def dense_sampling(span) -> Column:
     """Struct (fps, most) for the frames of a question's window."""
     s = _col(span)
-    return F.when(s <= 30, F.struct(F.lit(5.0).alias("fps"), F.lit(16).alias("most"))).when(s <= 300, F.struct(F.lit(2.0), F.lit(16))).otherwise(F.struct(F.lit(8.0) / F.greatest(s, F.lit(1.0)), F.lit(8)))
+    fps = F.when(s <= 30, 5.0).when(s <= 300, 2.0).otherwise(F.lit(8.0) / F.greatest(s, F.lit(1.0)))
+    return F.struct(fps.alias("fps"), F.when(s <= 300, 16).otherwise(8).alias("most"))
 
 
 def tail_extended(t0, t1) -> Column:

@@ -55,9 +55,14 @@ def deduplicated(edges: DataFrame, on: Sequence[str] = (), disc: bool = False) -
     return top_per_group(edges, key, 1, F.col("eord"))
 
 
+def _own(table: DataFrame, on: Sequence[str]) -> list[str]:
+    """Those of the dividing columns that a table has; edges of a video serve all questions about it."""
+    return [c for c in on if c in table.columns]
+
+
 def with_parents(chosen: DataFrame, nodes: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Chosen node ids and the parents of those that have one."""
-    up = chosen.join(nodes, [*on, "node_id"]).where("parent_id is not null").select(*on, F.col("parent_id").alias("node_id"))
+    up = chosen.join(nodes.select(*_own(nodes, on), "node_id", "parent_id"), [*_own(nodes, on), "node_id"]).where("parent_id is not null").select(*on, F.col("parent_id").alias("node_id"))
     return chosen.select(*on, "node_id").union(up).distinct()
 
 
@@ -91,16 +96,17 @@ def expand(frontier: DataFrame, nodes: DataFrame, edges: DataFrame, family: str,
 
 def reach(roots: DataFrame, edges: DataFrame, depth: int, relations: Sequence[str] | None = None, on: Sequence[str] = (), both_ways: bool = True) -> DataFrame:
     """Nodes within ``depth`` steps and the step at which each is first reached (0 for the roots)."""
+    own = _own(edges, on)
     if both_ways:
-        step = undirected(edges, relations, on).select(*on, "node", "neighbour")
+        step = undirected(edges, relations, own).select(*own, "node", "neighbour")
     else:
-        step = (edges if relations is None else edges.where(F.col("relation_type").isin(*relations))).select(*on, F.col("src").alias("node"), F.col("dst").alias("neighbour"))
+        step = (edges if relations is None else edges.where(F.col("relation_type").isin(*relations))).select(*own, F.col("src").alias("node"), F.col("dst").alias("neighbour"))
     step = step.distinct()
     ring = roots.select(*on, "node_id").distinct()
     seen = ring.withColumn("hop", F.lit(0))
     # a ring depends on the ring before alone, so the plan grows with the depth and not with its power
     for hop in range(1, depth + 1):
-        ring = ring.select(*on, F.col("node_id").alias("node")).join(step, [*on, "node"]).select(*on, F.col("neighbour").alias("node_id")).distinct()
+        ring = ring.select(*on, F.col("node_id").alias("node")).join(step, [*own, "node"]).select(*on, F.col("neighbour").alias("node_id")).distinct()
         seen = seen.unionByName(ring.withColumn("hop", F.lit(hop)))
     return seen.groupBy(*on, "node_id").agg(F.min("hop").alias("hop"))
 
@@ -108,12 +114,13 @@ def reach(roots: DataFrame, edges: DataFrame, depth: int, relations: Sequence[st
 def reach_all(roots: DataFrame, edges: DataFrame, relations: Sequence[str] | None = None, on: Sequence[str] = ()) -> DataFrame:
     """As ``reach`` until nothing is added, however many steps that takes; rounds are checkpointed in the shared folder."""
     shared_dir(roots.sparkSession)
-    step = undirected(edges, relations, on).select(*on, "node", "neighbour").distinct().checkpoint()
+    own = _own(edges, on)
+    step = undirected(edges, relations, own).select(*own, "node", "neighbour").distinct().checkpoint()
     seen = roots.select(*on, "node_id").distinct().withColumn("hop", F.lit(0)).checkpoint()
     ring, hop = seen, 0
     while True:
         hop += 1
-        following = ring.select(*on, F.col("node_id").alias("node")).join(step, [*on, "node"]).select(*on, F.col("neighbour").alias("node_id")).distinct()
+        following = ring.select(*on, F.col("node_id").alias("node")).join(step, [*own, "node"]).select(*on, F.col("neighbour").alias("node_id")).distinct()
         ring = following.join(seen.select(*on, "node_id"), [*on, "node_id"], "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         if not ring.take(1):
             return seen
@@ -125,21 +132,22 @@ def spine_walk(roots: DataFrame, edges: DataFrame, hops: int, relation: str = "P
     start = roots.select(*on, F.col("node_id").alias("root"), F.lit(0).alias("step"), "node_id").distinct()
     out = start
     for direction in directions:
-        following = first_neighbour(edges, relation, on, reverse=direction == "backward")
+        following = first_neighbour(edges, relation, _own(edges, on), reverse=direction == "backward")
         here = start
         for i in range(1, hops + 1):
-            here = here.select(*on, "root", F.col("node_id").alias("node")).join(following, [*on, "node"]).select(*on, "root", F.lit(i if direction == "forward" else -i).alias("step"), F.col("neighbour").alias("node_id"))
+            here = here.select(*on, "root", F.col("node_id").alias("node")).join(following, [*_own(edges, on), "node"]).select(*on, "root", F.lit(i if direction == "forward" else -i).alias("step"), F.col("neighbour").alias("node_id"))
             out = out.unionByName(here)
     return out
 
 
 def children(roots: DataFrame, edges: DataFrame, depth: int, on: Sequence[str] = (), relation: str = "CONTAINS") -> DataFrame:
     """Descendants down to a depth, with their level; a node reached by several ways has several rows."""
-    down = edges.where(F.col("relation_type") == relation).select(*on, F.col("src").alias("node"), F.col("dst").alias("child"))
+    own = _own(edges, on)
+    down = edges.where(F.col("relation_type") == relation).select(*own, F.col("src").alias("node"), F.col("dst").alias("child"))
     here = roots.select(*on, F.col("node_id").alias("root"), "node_id")
     out = None
     for level in range(1, depth + 1):
-        here = here.withColumnRenamed("node_id", "node").join(down, [*on, "node"]).select(*on, "root", F.col("child").alias("node_id"))
+        here = here.withColumnRenamed("node_id", "node").join(down, [*own, "node"]).select(*on, "root", F.col("child").alias("node_id"))
         ring = here.withColumn("level", F.lit(level))
         out = ring if out is None else out.unionByName(ring)
     return out

@@ -15,6 +15,7 @@ from ..functions.vectors import cosine
 from ..operators.graph import children, first_neighbour, nodes_in_window, reach, reach_all, spine_walk, undirected, with_parents
 from ..operators.ranking import budget_prune, nearest_in_time, top_per_group
 from ..schema import CAUSAL, INTENT_SIMILARITY, KEYWORD_INTENTS, LONG_SPAN, NO_CLIP, NODE_BUDGET, QUESTION_INTENTS, SEED_SIMILARITY
+from ..shared import shared_dir
 
 #: Relations that the spatial intent follows (fixed values).
 SPATIAL_STEPS = ("LEFT_OF", "RIGHT_OF", "ABOVE", "BELOW", "IN_FRONT_OF", "BEHIND", "NEAR", "CONTAINS_SPATIAL")
@@ -118,14 +119,13 @@ def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
     is_seed.
     """
     k = ["qid", *on]
-    seeds = seeds.select(*k, "node_id").distinct()
+    shared_dir(questions.sparkSession)
+    seeds = seeds.select(*k, "node_id").distinct().checkpoint()  # a dozen walks begin here
     at = lambda intent: seeds.join(questions.where(F.array_contains("intents", intent)).select("qid"), "qid", "left_semi")
-    mine = lambda df: questions.select("qid", *on).join(df, list(on))  # noqa: E731  the question's graph
     out = seeds
-    mine_edges = mine(edges)
 
     for intent, (relations, depth) in WALKS.items():
-        out = out.unionByName(reach(at(intent), mine_edges, depth, relations, k).select(*k, "node_id"))
+        out = out.unionByName(reach(at(intent), edges, depth, relations, k).select(*k, "node_id"))
 
     temporal = at("TEMPORAL")
     spans = temporal.join(nodes.select(*on, "node_id", "t_start", "t_end"), [*on, "node_id"]).groupBy(*k).agg(F.min("t_start").alias("lo"), F.max("t_end").alias("hi"))
@@ -134,9 +134,9 @@ def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
     inside = wide.join(episodes.select(*on, "node_id", "t_start", "t_end"), list(on)).where("t_start <= hi and t_end >= lo").select(*k, "node_id")
     out = out.unionByName(inside)
     if follow_arc:
-        out = out.unionByName(spine_walk(inside, mine_edges, 3, "NARRATIVE_ARC", k).select(*k, "node_id"))
+        out = out.unionByName(spine_walk(inside, edges, 3, "NARRATIVE_ARC", k).select(*k, "node_id"))
     narrow = temporal.join(wide.select(*k), k, "left_anti")
-    out = out.unionByName(spine_walk(narrow, mine_edges, 4, "PRECEDES", k).select(*k, "node_id"))
+    out = out.unionByName(spine_walk(narrow, edges, 4, "PRECEDES", k).select(*k, "node_id"))
 
     named = nodes.where("entity_id is not null").select(*on, "node_id", "entity_id")
     ids = at("IDENTITY").join(named, [*on, "node_id"]).select(*k, "entity_id").distinct()
@@ -149,17 +149,17 @@ def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
     out = out.unionByName(state.where(F.exists("rg_w", lambda w: F.contains("rg_t", w))).select(*k, "node_id"))
 
     whole = questions.where(F.array_contains("intents", "SUMMARY")).select(*k).join(episodes.select(*on, "node_id"), list(on)).select(*k, "node_id")
-    out = out.unionByName(whole).unionByName(children(whole, mine_edges, 1, k).select(*k, "node_id"))
+    out = out.unionByName(whole).unionByName(children(whole, edges, 1, k).select(*k, "node_id"))
 
-    places = first_neighbour(mine_edges, "TAKES_PLACE_IN", k).select(*k, F.col("node").alias("node_id"), "neighbour")
-    out = out.unionByName(at("COUNTERFACT").join(places, [*k, "node_id"]).select(*k, F.col("neighbour").alias("node_id")))
+    places = first_neighbour(edges, "TAKES_PLACE_IN", on).select(*on, F.col("node").alias("node_id"), "neighbour")
+    out = out.unionByName(at("COUNTERFACT").join(places, [*on, "node_id"]).select(*k, F.col("neighbour").alias("node_id")))
 
     spans = nodes.select(*on, "node_id", "node_type", F.col("t_start").alias("s0"), F.col("t_end").alias("s1"))
     characters = nodes.where("node_type = 'CharacterNode'").select(*on, "node_id", "t_start", "t_end")
     felt = at("EMOTIONAL").join(spans, [*on, "node_id"])
     people = felt.select(*k, "s0", "s1").join(characters, list(on)).where("t_start <= s1 and t_end >= s0").select(*k, "node_id").distinct()
     starts = people.unionByName(felt.where("node_type = 'CharacterNode'").select(*k, "node_id")).distinct()
-    moved = reach_all(starts, mine_edges, ("EMOTION_SHIFT",), k).select(*k, "node_id")
+    moved = reach_all(starts, edges, ("EMOTION_SHIFT",), k).select(*k, "node_id")
     times = moved.join(spans.where("node_type = 'CharacterNode'"), [*on, "node_id"]).select(*k, "s0", "s1").distinct()
     scenes = times.join(nodes.where("node_type = 'SceneNode'").select(*on, "node_id", "t_start", "t_end"), list(on)).where("t_start <= s1 and t_end >= s0")
     out = out.unionByName(moved).unionByName(scenes.select(*k, "node_id"))
@@ -168,11 +168,11 @@ def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
 
     late = at("PROSPECTIVE").join(nodes.select(*on, "node_id", "t_start"), [*on, "node_id"])
     latest = top_per_group(late, k, 5, F.desc("t_start"), F.col("node_id"))
-    out = out.unionByName(spine_walk(latest, mine_edges, 3, "PRECEDES", k, ("forward",)).select(*k, "node_id"))
+    out = out.unionByName(spine_walk(latest, edges, 3, "PRECEDES", k, ("forward",)).select(*k, "node_id"))
     edge = top_per_group(late.join(spans.select(*on, "node_id", "s1"), [*on, "node_id"]), k, 1, F.desc("t_start"), F.col("node_id")).select(*k, "s1")
     out = out.unionByName(top_per_group(edge.join(episodes.select(*on, "node_id", "t_start"), list(on)).where("t_start >= s1"), k, 1, F.col("t_start"), F.col("node_id")).select(*k, "node_id"))
 
-    active = with_parents(out.distinct(), mine(nodes), k)
+    active = with_parents(out.distinct(), nodes, k)
     marked = active.join(seeds.withColumn("is_seed", F.lit(True)), [*k, "node_id"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
     return budget_prune(marked.join(nodes, [*on, "node_id"]), ["qid"], F.col("is_seed"), most)
 

@@ -27,10 +27,15 @@ def subtitles(spark: SparkSession, path: str) -> DataFrame:
     ones, are left out.
     """
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.en)?\.(srt|vtt)$", 1).alias("video_id"), F.col("value"))
+    return subtitle_blocks(files)
+
+
+def subtitle_blocks(files: DataFrame) -> DataFrame:
+    """Cues of whole files (video_id, value)."""
     blocks = files.select("video_id", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n\s*\n")).alias("ord", "block"))
     lines = blocks.withColumn("lines", F.split("block", "\n"))
     at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit("-->"))), True)
-    timed = lines.withColumn("at", at.cast("int")).where("at > 0").withColumn("times", F.split(F.element_at("lines", F.col("at")), "-->"))
+    timed = lines.withColumn("at", at.cast("int")).where("at > 0").withColumn("times", F.split(F.get("lines", F.col("at") - 1), "-->"))
     text = clean_caption(F.array_join(F.slice("lines", F.col("at") + 1, F.size("lines")), " "))
     cues = timed.select("video_id", F.col("ord").cast("bigint").alias("ord"), cue_seconds(F.try_element_at("times", F.lit(1))).alias("start"), cue_seconds(F.try_element_at("times", F.lit(2))).alias("end"), text.alias("text"))
     return cues.where("start is not null and end is not null and end >= start and text <> ''")
@@ -44,11 +49,11 @@ def subtitle_of(listing: DataFrame, videos: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.min_by("subtitle", "rg_n").alias("subtitle"))
 
 
-def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of graph documents (one JSON object per file with ``nodes`` and ``edges``)."""
+def graph_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of graph documents with ``nodes`` and ``edges``: one JSON object per file, or per line."""
     fields = lambda ddl, drop: ", ".join(f"{c.split()[0]}:{c.split(' ', 1)[1]}" for c in _columns(ddl) if c.split()[0] not in drop)
     schema = f"video_id string, nodes array<struct<{fields(NODES, ('video_id', 'ord'))}>>, edges array<struct<{fields(EDGES, ('video_id', 'eord'))}>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     nodes = raw.select("video_id", F.posexplode("nodes").alias("ord", "n")).select("video_id", F.col("ord").cast("bigint"), "n.*")
     edges = raw.select("video_id", F.posexplode("edges").alias("eord", "e")).select("video_id", F.col("eord").cast("bigint"), "e.*")
     order = lambda ddl: [c.split()[0] for c in _columns(ddl)]

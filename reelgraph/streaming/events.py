@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..shared import shared_dir
 
@@ -53,7 +54,7 @@ def windows_to_table(windows: DataFrame, path: str, checkpoint: str, key: str =
 
     done = windows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     done.awaitTermination()
-    written = windows.sparkSession.read.schema(windows.schema.add("batch", "bigint")).option("basePath", path).parquet(path)
+    written = windows.sparkSession.read.schema(StructType([*windows.schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
     return written.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in windows.columns if c != key])
 
 
