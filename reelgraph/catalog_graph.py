@@ -436,7 +436,7 @@ def answered_log(spark, d):
     return readers.answered_ids(spark, path).select(F.col("uid").cast("bigint").alias("uid"))
 
 
-@query(f"WITH {ITEMS} SELECT video_id, count(*) AS nodes, sum(ord) AS ords, round(sum(t_start), 3) AS starts FROM it WHERE video_id IN ('v1', 'v4') GROUP BY 1")
+@query(f"WITH {ITEMS} SELECT video_id, count(*) AS nodes, sum(ord)::BIGINT AS ords, round(sum(t_start), 3) AS starts FROM it WHERE video_id IN ('v1', 'v4') GROUP BY 1")
 def graph_table_round_trip(spark, d):
     it = items(spark, d)
     path = _folder(spark, "graph")

@@ -107,7 +107,8 @@ def test_sequences(spark):
     fifteen = spark.range(15).select(F.lit("s").alias("s"), "id")
     drop, keep = ({r["window_idx"] for r in W.count_windows(fifteen, ["s"], ["id"], tail=t).collect()} for t in ("drop", "keep"))
     assert drop == {0} and keep == {0, 1}
-    assert W.pick_keyframes(list(map(float, range(60))), [1.0] + [0.0] * 58 + [1.0], 2, 5.0, 30.0) == [0, 29, 59] or len(W.pick_keyframes(list(map(float, range(60))), [1.0] + [0.0] * 58 + [1.0], 2, 5.0, 30.0)) > 2
+    assert W.pick_keyframes(list(map(float, range(60))), [1.0] + [0.0] * 58 + [1.0], 2, 5.0, 30.0) == [0, 29, 59]
+    assert W.pick_keyframes([], [], 3, 1.0, 1.0) == []
     assert len(W.pick_keyframes(list(map(float, range(30))), [float(i % 7) for i in range(30)], 5, 0.0, 100.0)) <= 10
     picks = W.pick_keyframes(list(map(float, range(20))), [float(i * 7 % 5) for i in range(20)], 5, 5.0, 10.0)
     assert picks == sorted(picks)
