@@ -3,18 +3,23 @@
 Every vector x gets one more component, sqrt(M^2 - |x|^2) with M the greatest length, and a query one
 more that is zero; then |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, and the nearest vectors are those of the
 highest inner product.  Vectors are keyed by their nearest pivot and their distance to it; the vectors
-of a pivot, sorted by distance, are cut into annuli of ``ANNULUS_ROWS`` rows at most (a large annulus
-of equal distances into several).  A query first searches the annuli around its own distance, which
-gives it a k-th best score; then the annuli that the triangle inequality does not exclude:
-|d(q,p) - d(x,p)| <= d(q,x).  Scores are exact integers, so the bound may only be widened by rounding.
+of a pivot, sorted by distance, are cut into annuli of about ``ANNULUS_ROWS`` rows (a large annulus
+of equal distances into several).
+
+A query's annuli are sorted by the least distance that the triangle inequality leaves to it,
+|d(q,p) - d(x,p)| <= d(q,x), and expanded in that order, in rounds: its own annulus, then the next 8, the
+next 64 and so on.  Each round raises the k-th best score, and the query stops at the first annulus that
+cannot reach it, so most are never read.  Scores are exact integers; the bound may only be widened by
+rounding.
 
 Pivots are drawn from a bounded sample, the ``SAMPLE_ROWS`` vectors that come first by a hash of their
 ids; every vector is indexed.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part, nor do
-those of another length than most (the shorter one on a tie) or without an id; ties go to the smaller id;
-repeated ids are rows of their own, and a query's own row is every row of its id; fewer candidates than
-k give fewer rows.
+those without an id; a vector shorter than the longest counts as continued by zeros; ties go to the
+smaller id; rows that repeat an id are rows of their own, as queries with a list each, and as candidates,
+also of each other; fewer candidates than k give fewer rows; other columns are ignored; no vectors give
+no rows.
 """
 
 from __future__ import annotations
@@ -32,23 +37,36 @@ from .common import held, materialize
 SCALE = 64
 SAMPLE_ROWS, PIVOTS = 4096, 64
 ANNULUS_ROWS, QUERY_ROWS = 4096, 1024
-#: Rows of annuli that one step of pruning sends to the workers.
-BROADCAST_ANNULI = 20_000
-_INDEX = "pivot int, rings int, place double, ids binary, vectors binary, low double, high double"
+#: Annuli at most: above, each holds more rows, so that their limits can be sent to all workers.
+MOST_ANNULI = 200_000
+#: How many times as many annuli a round expands as the one before; blocks of queries that meet an annulus at once.
+GROWTH, TOGETHER = 8, 8
+#: Distances of queries to annuli that a worker holds at once.
+CELLS = 4_000_000
+_INDEX = "pivot int, place double, row_ids binary, ids binary, vectors binary, low double, high double"
+_PAIRS = "asking bigint, block bigint, at binary, row_ids binary, ids binary, vectors binary, floors binary"
+_HITS = "asking bigint, at int, query_id bigint, vec_id bigint, vec_row bigint, score bigint"
+NOTHING = -(2**62)
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Columns id and v (array of long) of the vectors that take part."""
+    """Columns id, row (unique) and v (array of long) of the vectors that take part."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(finite)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
-
-
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, -1)
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column, continued by zeros."""
+    sizes = np.asarray(column.value_lengths()).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -88,159 +106,161 @@ class Space:
         return np.sqrt(self._squares(self.lift(x, query), self.pivots))
 
 
-def _keyed(rows: DataFrame, space, query: bool) -> DataFrame:
+def _keyed(rows: DataFrame, space, width: int, query: bool) -> DataFrame:
     """Nearest pivot and distance of each vector."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("top-k search")
         for batch in batches:
             if batch.num_rows:
-                d = space.value.distances(_matrix(batch.column(1), batch.num_rows), query)
+                d = space.value.distances(_matrix(batch.column(2), width), query)
                 own = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(d)), own])], ["id", "v", "pivot", "place"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(d)), own])], ["id", "row", "v", "pivot", "place"])
 
-    return rows.mapInArrow(run, "id bigint, v array<bigint>, pivot int, place double")
+    return rows.select("id", "row", "v").mapInArrow(run, "id bigint, row bigint, v array<bigint>, pivot int, place double")
 
 
-def _blocks(keyed: DataFrame, most: int) -> DataFrame:
-    """Sorted rings of each pivot, ``most`` rows at most, a row each."""
+def _blocks(keyed: DataFrame, most: int, width: int, kind: str) -> DataFrame:
+    """Sorted rings of each pivot, about ``most`` rows at most, a row each."""
     # ranges of the distance whose numbers of rows are known bound what one group holds
     wide = keyed.withColumn("cell", F.floor(F.col("place")).cast("long"))
     # small neighbouring cells share a ring: cells are numbered by the rows before them
     run = Window.partitionBy("pivot").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = wide.groupBy("pivot", "cell").count().withColumn("before", F.coalesce(F.sum("count").over(run), F.lit(0)))
     rings = sizes.select("pivot", "cell", F.when(F.col("count") > most // 2, -1 - F.col("cell")).otherwise(F.floor(F.col("before") / (most // 2))).alias("ring"), F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    joined = wide.join(rings, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    joined = wide.join(rings, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["place", "id"], kind="stable")
-        v = np.stack(frame["v"].to_numpy()).astype(np.int64)
-        place = frame["place"].to_numpy()
-        return pd.DataFrame({"pivot": [frame["pivot"].iloc[0]], "rings": [len(frame)], "place": [float(place.mean())], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "low": [float(place[0])], "high": [float(place[-1])]})
+    def pack(of: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("place", "ascending"), ("id", "ascending"), ("row", "ascending")]).combine_chunks()
+        place = rows["place"].to_numpy()
+        v = _matrix(rows["v"].combine_chunks(), width).astype(kind)
+        raw = [rows["row"].to_numpy().astype("<i8"), rows["id"].to_numpy().astype("<i8"), v]
+        return pa.table([pa.array([of[0].as_py()], pa.int32()), [float(place.mean())], *[pa.array([x.tobytes()], pa.binary()) for x in raw], [float(place[0])], [float(place[-1])]], ["pivot", "place", "row_ids", "ids", "vectors", "low", "high"])
 
-    return joined.select("id", "v", "pivot", "place", "ring", "part").groupBy("pivot", "ring", "part").applyInPandas(pack, _INDEX)
+    return joined.select("id", "row", "v", "pivot", "place", "ring", "part").groupBy("pivot", "ring", "part").applyInArrow(pack, _INDEX)
 
 
-def _unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.int64).reshape(len(i), -1)
+def _vectors(raw: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(n, -1).astype(np.int64)
 
 
-def _best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k best of each query, without itself, ties to the smaller id."""
+def _best(score: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of each query that reach its floor, without its own row, ties to the smaller id."""
     out = []
-    for row, mine in zip(score, own):
-        at = np.flatnonzero(ids != mine)
+    for row, mine, floor in zip(score, own, floors):
+        at = np.flatnonzero((row >= floor) & (rows != mine))
         if len(at) > k:
             edge = np.partition(row[at], len(at) - k)[len(at) - k]
             at = at[row[at] >= edge]
-        order = np.lexsort((ids[at], -row[at]))[:k]
-        out.append((ids[at][order], row[at][order]))
+        order = at[np.lexsort((rows[at], ids[at], -row[at]))[:k]]
+        out.append((ids[order], rows[order], row[order]))
     return out
 
 
-_HITS = "query_id bigint, vec_id bigint, score bigint"
+def _expanded(queries: DataFrame, space, annuli, first: int, last: int, kind: str) -> DataFrame:
+    """Places ``first`` to ``last`` of each query's sorted annuli, as far as they may reach its k-th best score.
 
-
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Best candidates of each query of a block in one annulus; ``floors`` are scores to reach."""
+    ``queries`` has the k-th best scores so far, ``known`` (at, kth).  One row per block of queries and annulus.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("top-k search")
+        pivot, low, high, block = (annuli.value[c] for c in ("pivot", "low", "high", "block"))
+        step = max(1, CELLS // max(1, len(block)))
         for batch in batches:
             for r in batch.to_pylist():
-                qi, q = _unpack(r["q_ids"], r["q_vectors"])
-                wanted = np.frombuffer(r["wanted"], np.int32)
-                floors = np.frombuffer(r["floors"], np.int64)
-                ids, x = _unpack(r["ids"], r["vectors"])
-                found = _best(scores(q[wanted], x), ids, qi[wanted], k)
-                sizes = [len(i) for i, _ in found]
-                if sum(sizes):
-                    hit_q, hit_i, hit_s = np.repeat(qi[wanted], sizes), np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found])
-                    keep = hit_s >= np.repeat(floors, sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(hit_q[keep]), pa.array(hit_i[keep]), pa.array(hit_s[keep])], ["query_id", "vec_id", "score"])
-
-    return pairs.select("q_ids", "q_vectors", "wanted", "floors", "ids", "vectors").mapInArrow(run, _HITS)
+                ids, rows = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["row_ids"], "<i8")
+                q = _vectors(r["vectors"], len(ids), kind)
+                floor = np.full(len(ids), NOTHING, np.int64)
+                for known in r["known"] or ():
+                    floor[known["at"]] = known["kth"]
+                chosen: list[tuple[np.ndarray, np.ndarray]] = []  # queries and annuli
+                for lo in range(0, len(ids), step):
+                    part = q[lo : lo + step]
+                    d = space.value.distances(part, True)
+                    gap = np.maximum(np.maximum(d[:, pivot] - high, low - d[:, pivot]), 0)
+                    own = pivot[None, :] == d.argmin(axis=1)[:, None]
+                    # own annuli come first among those as near
+                    order = np.argsort(np.where(own, gap * (1 - 1e-9) - 1e-9, gap), axis=1, kind="stable")[:, first:last]
+                    near = np.take_along_axis(gap, order, axis=1)
+                    # the greatest inner product that the triangle inequality leaves in an annulus
+                    size = (part.astype(np.float64) ** 2).sum(axis=1)[:, None]
+                    reach = (size + space.value.longest - np.maximum(near * (1 - 1e-9) - 1e-6, 0) ** 2) / 2
+                    row, column = np.nonzero(reach + np.abs(reach) * 1e-9 + 1 >= floor[lo : lo + step, None])
+                    chosen.append((row + lo, order[row, column]))
+                asks, wanted = (np.concatenate([c[i] for c in chosen]) for i in (0, 1))
+                by = np.argsort(wanted, kind="stable")
+                asks, wanted = asks[by], wanted[by]
+                edges = np.flatnonzero(np.concatenate(([True], wanted[1:] != wanted[:-1]))) if len(wanted) else []
+                for a, b in zip(edges, [*edges[1:], len(wanted)]):
+                    at = asks[a:b]
+                    cells = [at.astype("<i4"), rows[at], ids[at], q[at].astype(kind), floor[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["asking"]]), pa.array([int(block[wanted[a]])]), *[pa.array([x.tobytes()], pa.binary()) for x in cells]], ["asking", "block", "at", "row_ids", "ids", "vectors", "floors"])
+
+    return queries.select("asking", "row_ids", "ids", "vectors", "known").mapInArrow(run, _PAIRS)
+
+
+def _search(pairs: DataFrame, index: DataFrame, k: int, kind: str, parts: int) -> DataFrame:
+    """Best candidates of each query in the annuli it asks for; a group is an annulus and a few blocks of queries."""
+    asks = pairs.withColumn("part", F.pmod(F.xxhash64("asking"), F.lit(parts)).cast("int"))
+    wanted = asks.select("block", "part").distinct().join(index.select("block", F.col("row_ids").alias("x_rows"), F.col("ids").alias("x_ids"), F.col("vectors").alias("x")), "block")
+
+    def run(of: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for x in right.to_pylist():
+            ids, rows = np.frombuffer(x["x_ids"], "<i8"), np.frombuffer(x["x_rows"], "<i8")
+            v = _vectors(x["x"], len(ids), kind)
+            for r in left.to_pylist():
+                at, own, qi = np.frombuffer(r["at"], "<i4"), np.frombuffer(r["row_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
+                found = _best(scores(_vectors(r["vectors"], len(at), kind), v), ids, rows, own, np.frombuffer(r["floors"], "<i8"), k)
+                sizes = [len(i) for i, _, _ in found]
+                for c, cells in zip(columns, (np.full(sum(sizes), r["asking"]), np.repeat(at, sizes), np.repeat(qi, sizes), *(np.concatenate([f[i] for f in found]) for i in range(3)))):
+                    c.append(cells)
+        kinds = (np.int64, np.int32, np.int64, np.int64, np.int64, np.int64)
+        return pa.table([pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t)) for c, t in zip(columns, kinds)], ["asking", "at", "query_id", "vec_id", "vec_row", "score"])
+
+    right = wanted.select(F.col("block").alias("block"), F.col("part").alias("part"), "x_rows", "x_ids", "x")
+    return asks.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, _HITS)
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("asking", "at").orderBy(F.desc("score"), "vec_id", "vec_row")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best of all rows for each row whose id ``every`` divides: query_id, rank, vec_id, score."""
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", searched: list | None = None) -> DataFrame:
+    """The k best of all rows for each row whose id ``every`` divides: query_id, rank, vec_id, score.
+
+    ``searched`` gets the number of rows of vectors that each round compares.
+    """
     spark = vectors.sparkSession
     rows = materialize(integer_vectors(vectors, id_col, vector_col), "vectors")
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = rows.agg(F.max(squared)).first()[0]
+    n, longest, width, largest = rows.agg(F.count("*"), F.max(squared), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    if longest is None:
+    if not n:
         return empty
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
-    space = spark.sparkContext.broadcast(Space(np.stack(sample["v"].to_numpy()).astype(np.int64), longest))
-    index = materialize(_blocks(_keyed(rows, space, False), ANNULUS_ROWS).withColumn("block", F.monotonically_increasing_id()), "index", "none")
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"]) if every > 1 else rows
-    queries = materialize(_blocks(_keyed(asked, space, True), QUERY_ROWS).withColumn("asking", F.monotonically_increasing_id()), "queries", "none")
-    meta = materialize(index.select("block", "pivot", "low", "high", F.col("rings").alias("n")), "annuli")
-    n_blocks = meta.count()
-
-    def paired(floors: DataFrame | None, first: bool) -> DataFrame:
-        """Annuli to search, for each block of queries; the driver holds a bounded part of the annuli at once."""
-        asks = queries.select("asking", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        asks = asks.join(floors, "asking", "left") if floors is not None else asks.withColumn("known", F.lit(None).cast("binary"))
-        out = None
-        for lo in range(0, n_blocks, BROADCAST_ANNULI):
-            part = meta if n_blocks <= BROADCAST_ANNULI else meta.withColumn("rg_n", F.row_number().over(Window.orderBy("block"))).where(F.col("rg_n").between(lo + 1, lo + BROADCAST_ANNULI))
-            table = part.toPandas().sort_values(["pivot", "low", "block"], kind="stable")
-            annuli = spark.sparkContext.broadcast(table)
-
-            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                held("top-k search")
-                t = annuli.value
-                pivot, low, high, block = t["pivot"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(), t["block"].to_numpy()
-                for batch in batches:
-                    for r in batch.to_pylist():
-                        qi, q = _unpack(r["q_ids"], r["q_vectors"])
-                        d = space.value.distances(q, True)
-                        gap = np.maximum(np.maximum(d[:, pivot] - high, low - d[:, pivot]), 0)
-                        own = pivot[None, :] == d.argmin(axis=1)[:, None]
-                        start = np.where(own.any(axis=1), np.where(own, gap, np.inf).argmin(axis=1), gap.argmin(axis=1))
-                        home = np.zeros(gap.shape, bool)
-                        home[np.arange(len(qi)), start] = True
-                        floor = np.frombuffer(r["known"], np.int64) if r["known"] is not None else np.full(len(qi), -(2**62), np.int64)
-                        if first:
-                            take = home
-                        else:
-                            # the greatest inner product that the triangle inequality leaves in an annulus
-                            size = (q.astype(np.float64) ** 2).sum(axis=1)[:, None]
-                            reach = (size + space.value.longest - np.maximum(gap * (1 - 1e-9) - 1e-6, 0) ** 2) / 2
-                            take = (reach * (1 + 1e-9) + 1 >= floor[:, None]) & ~home
-                        for b in np.flatnonzero(take.any(axis=0)).tolist():
-                            wanted = np.flatnonzero(take[:, b]).astype(np.int32)
-                            yield pa.RecordBatch.from_arrays([pa.array([r["asking"]]), pa.array([block[b]]), pa.array([wanted.tobytes()], pa.binary()), pa.array([floor[wanted].tobytes()], pa.binary())], ["asking", "block", "wanted", "floors"])
-
-            found = asks.select("asking", "q_ids", "q_vectors", "known").mapInArrow(run, "asking bigint, block bigint, wanted binary, floors binary")
-            out = found if out is None else out.union(found)
-        asked_rows = queries.select("asking", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        return out.join(asked_rows, "asking").join(index.select("block", "ids", "vectors"), "block")
-
-    home = materialize(_search(paired(None, True), k), "home")
-    ranked = _top(home, k)
-    kth = ranked.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asking, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                qi = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qi), asking, np.int64)), pa.array(qi), pa.array(np.arange(len(qi), dtype=np.int32))], ["asking", "query_id", "at"])
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at")
-        return pd.DataFrame({"asking": [frame["asking"].iloc[0]], "known": [frame["kth"].to_numpy(np.int64).tobytes()]})
-
-    members = queries.select("asking", "ids").mapInArrow(spread, "asking bigint, query_id bigint, at int")
-    # QUERY_ROWS rows at most in a group
-    floors = members.join(kth, "query_id", "left").select("asking", "at", F.coalesce("kth", F.lit(-(2**62)).cast("bigint")).alias("kth")).groupBy("asking").applyInPandas(gather, "asking bigint, known binary")
-    rest = _search(paired(materialize(floors, "floors"), False), k)
-    return _top(home.union(rest), k).select("query_id", "rank", "vec_id", "score")
+    kind = "<i4" if largest < 2**31 else "<i8"
+    sample = rows.orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE_ROWS).select("v").toArrow().combine_chunks()
+    space = spark.sparkContext.broadcast(Space(_matrix(sample["v"].combine_chunks(), width), longest))
+    index = materialize(_blocks(_keyed(rows, space, width, False), max(ANNULUS_ROWS, -(-2 * n // MOST_ANNULI)), width, kind).withColumn("block", F.monotonically_increasing_id()), "index", "none")
+    asked = rows.where(F.col("id") % every == 0) if every > 1 else rows
+    queries = materialize(_blocks(_keyed(asked, space, width, True), QUERY_ROWS, width, kind).withColumn("asking", F.monotonically_increasing_id()), "queries", "none")
+    table = index.select("block", "pivot", "low", "high").toPandas().sort_values(["pivot", "low", "block"], kind="stable")  # MOST_ANNULI rows, about
+    annuli = spark.sparkContext.broadcast({c: table[c].to_numpy() for c in table})
+    parts = max(1, -(-queries.count() // TOGETHER))
+    best, first, size = None, 0, 1
+    while first < len(table):
+        known = spark.createDataFrame([], "asking bigint, known array<struct<at: int, kth: bigint>>")
+        if best is not None:
+            kth = best.groupBy("asking", "at").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+            known = kth.groupBy("asking").agg(F.collect_list(F.struct("at", "kth")).alias("known"))  # QUERY_ROWS at most
+        pairs = materialize(_expanded(queries.join(known, "asking", "left"), space, annuli, first, first + size, kind), "pairs", "none")
+        if searched is not None:
+            searched.append(pairs.select(F.sum(F.length("at") / 4)).first()[0] or 0)
+        if not pairs.take(1):
+            break
+        hits = _search(pairs, index, k, kind, parts)
+        best = materialize(_top(hits if best is None else best.drop("rank").unionByName(hits), k), "best")
+        first, size = first + size, size * GROWTH
+    return empty if best is None else best.select("query_id", "rank", "vec_id", "score")

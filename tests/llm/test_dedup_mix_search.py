@@ -208,13 +208,19 @@ def test_mix_plan_is_native(docs, capsys):
 
 def brute_topk(rows, k=20, every=20):
     ok = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    width = max({len(v) for _, v in ok}, key=lambda n: sum(len(v) == n for _, v in ok)) if ok else 0
-    ok = [(i, v) for i, v in ok if len(v) == width]
-    out = {}
-    for q, v in ok:
+    out = defaultdict(list)
+    for at, (q, v) in enumerate(ok):
         if q % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:k]
-            out[q] = [(i, -s) for s, i in found]
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(ok) if other != at)[:k]
+            out[q].append([(i, -s) for s, i in found])
+    return {q: sorted(lists) for q, lists in out.items()}
+
+
+def lists_of(found, k=20):
+    """Lists of each query, by rank; queries that share an id have several."""
+    out = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     return out
 
 
@@ -224,23 +230,29 @@ def test_topk_equals_brute_force(spark, monkeypatch, n, rows_a_ring):
     rng = np.random.default_rng(n)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(n)]
     rows += [(1000 + i, [0.5] * 6) for i in range(60)]  # one common vector, ties by id
+    rows += [(40, [0.25] * 6), (40, rows[40][1]), (2120, [1.0, -1.0, 0.5]), (2140, [0.5] * 8)]
     rows += [(2000, None), (2020, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2040, [float("nan")] * 6), (2060, [float("inf")] * 6), (2080, []), (2100, [1.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = defaultdict(list)
     rows32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    for r in topk_search.top_k(df).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert got == brute_topk(rows32)
+    got = lists_of(topk_search.top_k(df))
+    want = brute_topk(rows32)
+    assert set(got) == set(want)
+    for q, lists in want.items():
+        assert sorted(got[q]) == sorted((rank, i, s) for found in lists for rank, (i, s) in enumerate(found, 1))
 
 
-def test_topk_prunes(spark):
-    """Far clusters are excluded by the triangle inequality, with the same result."""
+def test_topk_prunes(spark, monkeypatch):
+    """Far clusters are excluded by the triangle inequality: few vectors are compared, with the same result."""
+    monkeypatch.setattr(topk_search, "ANNULUS_ROWS", 40)
+    monkeypatch.setattr(topk_search, "GROWTH", 2)
     rng = np.random.default_rng(1)
-    rows = [(i, (np.eye(8)[i % 8] * 3 + rng.normal(scale=0.01, size=8)).round(3).tolist()) for i in range(400)]
-    got = defaultdict(list)
-    for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert got == brute_topk(rows)
+    rows = [(i, (np.eye(8)[i % 8] * 3 + rng.normal(scale=0.01, size=8)).round(3).tolist()) for i in range(1600)]
+    searched = []
+    got = lists_of(topk_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), searched=searched))
+    want = brute_topk(rows)
+    assert {q: [(i, s) for _, i, s in found] for q, found in got.items()} == {q: lists[0] for q, lists in want.items()}
+    annuli = 1600 / 40
+    assert searched[0] == len(want) and sum(searched) < 0.6 * len(want) * annuli
 
 
 def test_topk_without_vectors(spark):
