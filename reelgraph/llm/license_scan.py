@@ -1,20 +1,26 @@
 """License scans by conditional compression.
 
-Words around a hint of licensing are cut, across line ends, into blocks of twice the words of the longest
-passage that can be confirmed; neighbouring blocks share one such length, so each passage lies whole in
-one of them.  Each block is compressed with each template as raw Zstandard dictionary; templates are
-ranked by how far they shrink it, against compression without a dictionary, and confirmed by their exact
-wording, also where they do not shrink it: with case, punctuation and blanks folded, the template's words
-must stand in the block in order, but for at most ``MOST_DIFFERENCES`` words that are put in, left out or
-replaced; a template's identifying words may not be among them.  SPDX tags are read as expressions.
+A template is confirmed by its exact wording: with case, punctuation and blanks folded, its words must stand
+in the text in order, but for at most ``MOST_DIFFERENCES`` words that are put in, left out or replaced; its
+identifying words may not be among them.  So every passage holds its template's first identifying word, and
+the words around each of these are all that needs to be looked at: no other gate leaves anything out.  They
+are cut, across line ends, into blocks of twice the words of the longest passage; neighbouring blocks share
+one such length, so each passage lies whole in one of them.
+
+A block is a candidate for the templates whose identifying words it holds, with all but so many of their
+other words.  It is compressed with each of them as raw Zstandard dictionary; they are ranked by how far
+they shrink it, against compression without a dictionary, and confirmed by their wording, also where they do
+not shrink it.  SPDX tags are read as expressions.
 
 Every confirmed license of a block is reported.  A passage gives way to one whose identifying words hold
 its own and more ("GNU Lesser General" to "GNU General"); the opening that the BSD licenses share counts
 for the one whose last clause follows within ``BODY_WORDS`` words, else for BSD-2-Clause.
 
-Defined cases: null and empty texts have no blocks and no rows; every block of a text is judged, and a
-license that stands in a text several times is reported once, with the number of its passages that do not
-overlap (column ``blocks``).  Words cut by a hyphen at a line's end are not joined.
+Defined cases: null and empty texts have no blocks and no rows, nor has an empty table; texts of any length
+are scanned whole; a license that stands in a text several times is reported once, with the number of its
+passages that do not overlap (column ``blocks``), and all licenses of a text are reported, in order of their
+names; equal reductions keep the templates' order; repeated rows are scanned each; other columns, whatever
+their names, are ignored.  Words cut by a hyphen at a line's end are not joined.
 """
 
 from __future__ import annotations
@@ -70,13 +76,13 @@ TEMPLATES = {
     },
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "CREATIVE COMMONS CC0 1.0 Universal"),
 }
-HINTS = r"licen[sc]e|\bCC[ -]?(?:BY|0)\b|public\s+domain|\b(?:hereby|redistribution|endorse|mozilla|unencumbered)\b|creative\s+commons"
-HINT = re.compile(HINTS, re.I)
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)", re.I)
 #: Licenses that share an opening, and the one whose own clause follows it.
 OPENINGS = {"BSD-3-Clause": "BSD-2-Clause"}
 BODY_WORDS = 300
 MOST_DIFFERENCES = 2
+#: Blocks that a worker remembers, and characters of a block that is remembered.
+MOST_MET, MET_CHARS = 10_000, 2000
 
 
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*")
@@ -92,6 +98,8 @@ class Scanner:
         self.names = [k for k, _ in wordings]
         self.words = [_words(t) for _, t in wordings]
         self.marks = [set(_words(" ".join(re.findall(r"[A-Z0-9][A-Z0-9.-]+|[0-9]", t)))) for _, t in wordings]
+        #: The first identifying word of each template; a passage cannot lack it.
+        self.anchors = {next(w for w in words if w in marks and w.isalpha()) for words, marks in zip(self.words, self.marks)}
         self.by_tag = {k.lower(): k for k in templates}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.primed = [self._primed(" ".join(w)) for w in self.words]
@@ -137,24 +145,27 @@ class Scanner:
     def block(self, block: str) -> list[tuple[int, int, int, int, float, frozenset]]:
         """Confirmed passages of a block: template, first word, end, differing words, reduction, identifying places."""
         if block not in self.met:
-            if len(self.met) > 50_000:
+            found = self._block(block)
+            if len(block) > MET_CHARS:
+                return found
+            if len(self.met) > MOST_MET:
                 self.met.clear()
-            self.met[block] = self._block(block)
+            self.met[block] = found
         return self.met[block]
 
     def _block(self, block: str) -> list[tuple[int, int, int, int, float, frozenset]]:
         words, data = block.split(), block.encode()
-        ranked = sorted(((self._gain(c, data), i) for i, c in enumerate(self.primed)), key=lambda x: (-x[0], x[1]))
+        held = set(words)
+        candidates = [i for i, wanted in enumerate(self.words) if self.marks[i] <= held and sum(w in held for w in wanted) >= len(wanted) - MOST_DIFFERENCES]
+        ranked = sorted(((self._gain(self.primed[i], data), i) for i in candidates), key=lambda x: (-x[0], x[1]))
         return [(i, a, b, n, gain, frozenset(p for p in range(a, b) if words[p] in self.marks[i])) for gain, i in ranked for a, b, n in self.passages(i, words)]
 
     def _found(self, text: str) -> set[tuple[int, int, int, int, float, frozenset]]:
         """Confirmed passages of a text's blocks, at their places in the text."""
         low = text.lower()
-        words = [(m.group(), m.end()) for m in _WORD.finditer(low)]
-        ends = [e for _, e in words]
+        words = _WORD.findall(low)
         spans: list[list[int]] = []
-        for m in HINT.finditer(low):
-            at = bisect_left(ends, m.start() + 1)
+        for at in (i for i, w in enumerate(words) if w in self.anchors):
             low_, high = max(0, at - self.reach), min(len(words), at + self.reach + 2)
             if spans and low_ <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], high)
@@ -163,15 +174,13 @@ class Scanner:
         out = set()
         for low_, high in spans:
             for start in range(low_, max(high - self.reach, low_ + 1), self.reach):
-                block = " ".join(w for w, _ in words[start : min(high, start + 2 * self.reach)])
+                block = " ".join(words[start : min(high, start + 2 * self.reach)])
                 out |= {(i, a + start, b + start, n, g, frozenset(p + start for p in marks)) for i, a, b, n, g, marks in self.block(block)}
         return out
 
     def text(self, text: str) -> dict[str, tuple[float, int, int]]:
         """By license: the best reduction, the fewest differing words, and the number of passages."""
         out: dict[str, tuple[float, int, int]] = {}
-        if not HINT.search(text):
-            return out
         found = self._found(text)
         places: dict[int, list[frozenset]] = {}
         for f in found:
@@ -207,6 +216,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] |
     """One row per document and license: blocks, differing words and size reduction."""
     known = dict(templates or TEMPLATES)
 
+    anchors = sorted(Scanner(known).anchors)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("license scan")
         scanner = Scanner(known)
@@ -217,5 +228,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] |
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (batch.schema.field(id_col).type, pa.string(), pa.int64(), pa.int64(), pa.float64()))], ["id", "license", "blocks", "differences", "reduction"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    hinted = docs.select(id_col, text_col).where(F.col(text_col).rlike(f"(?i){HINTS}"))
-    return hinted.mapInArrow(run, f"id {kind}, license string, blocks bigint, differences bigint, reduction double").withColumnRenamed("id", id_col)
+    # what holds no template's first identifying word, and no tag, has no passage
+    likely = docs.select(id_col, text_col).where(F.col(text_col).rlike(rf"(?i)(?<![a-z])(?:{'|'.join(anchors)})(?![a-z])|SPDX-License-Identifier:"))
+    return likely.mapInArrow(run, f"id {kind}, license string, blocks bigint, differences bigint, reduction double").withColumnRenamed("id", id_col)

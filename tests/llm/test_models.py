@@ -191,3 +191,63 @@ def test_forest_rejects_repeats_without_symbols(spark, graded):
         assert sum(got[i]["kept"] for i, _ in rows if first <= i < first + 100) <= 1
     clean = [got[i]["kept"] for i in range(900) if i % 10 not in (7, 8) and not got[i]["base_failed"]]
     assert sum(clean) >= 0.98 * len(clean)
+
+
+def brute_passages(scanner, text):
+    """Passages of all templates over all words of a text, by edit alignments, without blocks or gates."""
+    words, found = license_scan._words(text), set()
+    for t, (wanted, marks) in enumerate(zip(scanner.words, scanner.marks)):
+        n = len(wanted)
+        for start in range(len(words)):
+            # (template place, left out, put in): all ways on, from a word that matches
+            todo = [(j, j, 0) for j in range(min(license_scan.MOST_DIFFERENCES + 1, n)) if wanted[j] == words[start] and not set(wanted[:j]) & marks]
+            seen = set()
+            while todo:
+                j, left, more = todo.pop()
+                if (j, left, more) in seen:
+                    continue
+                seen.add((j, left, more))
+                if j == n:
+                    found.add((t, start, start + n - left + more, max(left, more)))
+                    continue
+                if left < license_scan.MOST_DIFFERENCES and wanted[j] not in marks:
+                    todo.append((j + 1, left + 1, more))
+                for extra in range(more, license_scan.MOST_DIFFERENCES + 1):
+                    at = start + j - left + extra
+                    if at < len(words) and words[at] == wanted[j]:
+                        todo.append((j + 1, left, extra))
+    return {p for p in found if scanner.marks[p[0]] <= set(words[p[1] : p[2]])}
+
+
+def test_no_passage_is_lost_by_blocks_or_gates():
+    rng = random.Random(17)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    wordings = [" ".join(w) for w in scanner.words]
+    for k in range(60):
+        words = prose(rng, rng.randint(0, 90)).split()
+        for _ in range(rng.randint(1, 3)):
+            notice = rng.choice(wordings).split()
+            for _ in range(rng.randint(0, 3)):  # words left out, replaced, put in
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randint(0, 1)] = [rng.choice(["x", "license", "the"])] * rng.randint(0, 1)
+            at = rng.randint(0, len(words))
+            words[at:at] = notice
+        text = " ".join(words)
+        got = {f[:4] for f in scanner._found(text)}
+        assert {(i, a, b) for i, a, b, _ in got} == {(i, a, b) for i, a, b, _ in brute_passages(scanner, text)}, text
+
+
+def test_ranking_is_by_size_reduction():
+    import zstandard
+
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    block = "released under the mit license licensed under the apache license version 2.0 and gnu general public license version 3 29 june 2007"
+    got = scanner._block(block)
+    plain = len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(block.encode()))
+    want = {}
+    for i, words in enumerate(scanner.words):
+        d = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        want[i] = 1 - len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False).compress(block.encode())) / plain
+    assert got and all(f[4] == want[f[0]] for f in got)
+    order = [f[0] for f in got]
+    assert order == sorted(order, key=lambda i: (-want[i], i)) and {scanner.names[i] for i in order} >= {"MIT", "Apache-2.0", "GPL-3.0"}
