@@ -7,7 +7,6 @@ one of ten videos, and an event's part gives the label.
 from __future__ import annotations
 
 import posixpath
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from .operators import ranking as R
 from .operators import windows as W
 from .plans import activation, build, context, evaluation, serialization, walking, warrant
 from .schema import NODES
-from .shared import shared_dir
+from .shared import scratch_path, shared_dir
 from .sources import readers, writers
 
 VIDEO = ["video_id"]
@@ -306,7 +305,7 @@ def stream_growth(spark, d):
     """Micro-batches appended to a table by batch number, read back."""
     from .streaming import events as stream
 
-    base = posixpath.join(shared_dir(spark), f"grow-{uuid.uuid4().hex}")
+    base = scratch_path(spark, "grow")
     stream.grow_graph(stream.read_events(spark, f"{d}/events*.parquet"), posixpath.join(base, "t"), posixpath.join(base, "c")).awaitTermination()
     e = spark.read.parquet(posixpath.join(base, "t"))
     return e.groupBy(F.unix_seconds(F.window("ts", "1 hour")["start"]).alias("start")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
@@ -327,7 +326,7 @@ def stream_unseen(spark, d):
     """Each key once out of a stream; the first one of one file, in its order."""
     from .streaming import events as stream
 
-    base = posixpath.join(shared_dir(spark), f"unseen-{uuid.uuid4().hex}")
+    base = scratch_path(spark, "unseen")
     raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "40 days")
     firsts = stream.unseen(raw, "event_type")
     stream.grow_graph(firsts.select("event_type"), posixpath.join(base, "t"), posixpath.join(base, "c")).awaitTermination()
@@ -403,7 +402,7 @@ def proper_nouns(spark, d):
 
 
 def _folder(spark, name: str) -> str:
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return scratch_path(spark, name)
 
 
 @query("SELECT 'v' || (event_id % 3) AS video_id, event_id % 24 * 3600 + event_id % 60 AS start, count(*) AS cues, min(event_type) AS first FROM events GROUP BY 1, 2")

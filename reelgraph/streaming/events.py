@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import posixpath
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..shared import shared_dir
+from ..shared import scratch_path
 
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -60,7 +59,7 @@ def windows_to_table(windows: DataFrame, path: str, checkpoint: str, key: str =
 
 def run_once(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
     """Hourly windows of the event table, read as a stream until it is used up."""
-    base = posixpath.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    base = scratch_path(spark, "stream")
     # a single file stands for the folder that a stream would watch
     windows = rms_windows(read_events(spark, f"{sf_dir}/events*.parquet"), width)
     return windows_to_table(windows, posixpath.join(base, "table"), posixpath.join(base, "checkpoint"))
