@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import posixpath
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_path, drop_scratch, scratch_path, shared_dir  # noqa: F401  for the operators
+
 #: Rows that a Python worker turns into Python objects at once.
 SLICE_ROWS = 1024
 #: Characters after which such a slice ends early, so that long texts do not add up.
@@ -40,34 +40,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file:///tmp/reelgraph-shared"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return posixpath.join(shared_dir(spark), f"reelgraph-{what}-{uuid.uuid4().hex}")
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def materialize(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage with a table in the shared folder; it survives the loss of executors."""
+    """Cut the lineage with a table in the shared folder; it survives the loss of executors.
+
+    The table stays until ``forget`` or ``drop_scratch``.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._rg_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop materialized tables that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t._rg_path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_column, materialize, slices
+from .common import forget, held, id_column, materialize, slices
 from .components import connected_components
 
 THRESHOLD = 3
@@ -211,9 +211,11 @@ def _compared(rows: DataFrame) -> DataFrame:
     return materialize(rows.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, _COMPARED), "links")
 
 
-def class_links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives of classes (columns rep, fp) that join all near ones."""
+def class_links(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between representatives of classes (columns rep, fp) that join all near ones, and the tables that hold them."""
+    tables = []
     found = _compared(classes.select("rep", "fp").mapInArrow(_replicate, "anchor bigint, fp bigint, rep bigint, home boolean"))
+    tables.append(found)
     links = found.where("b is not null").select("a", "b")
     late = found.where("b is null").select("anchor", "fp", F.col("a").alias("rep"), "home")
     while late.take(1):
@@ -222,16 +224,19 @@ def class_links(classes: DataFrame) -> DataFrame:
         spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         key = F.xxhash64("anchor", F.least("chunk", "other"), F.greatest("chunk", "other"))
         found = _compared(spread.select(key.alias("anchor"), "fp", "rep", "home"))
+        tables.append(found)
         links = links.union(found.where("b is not null").select("a", "b"))
         late = found.where("b is null").select("anchor", "fp", F.col("a").alias("rep"), "home")
-    return links
+    return links, tables
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and component of every row (columns doc_id, fp, component_id)."""
     marks = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = marks.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(class_links(classes))
+    links, tables = class_links(classes)
+    roots = connected_components(links)  # checkpointed
+    forget(*tables)
     resolved = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "rep").alias("root"))
     joined = marks.join(resolved, (marks["fp"] == resolved["class_fp"]) & marks["doc_id"].isNotNull(), "left")
     return joined.select("doc_id", "fp", F.col("root").alias("component_id"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import forget, materialize, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -126,7 +126,9 @@ def plan(drawn: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     ends = last.groupBy("rg_source").agg(F.max(F.when((F.col("upto") <= F.col("rg_lack")) | ((F.col("upto") - F.col("n") < F.col("rg_lack")) & near), place)).alias("rg_end"), F.min("rg_place").alias("rg_first"))
     nothing = F.struct((F.col("rg_first") - 1).alias("rg_place"), F.lit(0).cast("bigint").alias("rg_tie"))
     ends = ends.select(F.col("rg_source").alias("rg_of"), F.coalesce("rg_end", nothing).alias("rg_end"))
-    return materialize(table.join(ends, F.col("rg_source").eqNullSafe(F.col("rg_of")), "left").drop("rg_of", "rg_lack"), "mix"), small
+    out = materialize(table.join(ends, F.col("rg_source").eqNullSafe(F.col("rg_of")), "left").drop("rg_of", "rg_lack"), "mix")
+    forget(table, edge)
+    return out, small
 
 
 def _with_copies(drawn: DataFrame, table: DataFrame, small: bool) -> DataFrame:
@@ -152,5 +154,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     columns = docs.columns
     drawn = _drawn(docs, id_col, text_col, source_col)
     sizes = materialize(drawn.select("rg_source", "rg_size", "rg_merit", "rg_draw", "rg_tie"), "sizes")
-    d = _with_copies(drawn, *plan(sizes, weights, most)).where("rg_copies > 0")
+    table, small = plan(sizes, weights, most)
+    forget(sizes)
+    d = _with_copies(drawn, table, small).where("rg_copies > 0")
     return d.withColumn("rg_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rg_copies")))).select(*columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, materialize
+from .common import forget, held, materialize
 
 SCALE = 64
 SAMPLE_ROWS, PIVOTS = 4096, 64
@@ -239,6 +239,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     n, longest, width, largest = rows.agg(F.count("*"), F.max(squared), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not n:
+        forget(rows)
         return empty
     kind = "<i4" if largest < 2**31 else "<i8"
     sample = rows.orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE_ROWS).select("v").toArrow().combine_chunks()
@@ -259,8 +260,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
         if searched is not None:
             searched.append(pairs.select(F.sum(F.length("at") / 4)).first()[0] or 0)
         if not pairs.take(1):
+            forget(pairs)
             break
         hits = _search(pairs, index, k, kind, parts)
-        best = materialize(_top(hits if best is None else best.drop("rank").unionByName(hits), k), "best")
+        before, best = best, materialize(_top(hits if best is None else best.drop("rank").unionByName(hits), k), "best")
+        forget(pairs, *([before] if before is not None else []))
         first, size = first + size, size * GROWTH
+    forget(rows, queries, index)
     return empty if best is None else best.select("query_id", "rank", "vec_id", "score")

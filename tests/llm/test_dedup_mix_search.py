@@ -48,7 +48,7 @@ def test_links_equal_brute_force(spark, monkeypatch, run_rows):
         fps.add(rng.choice(sorted(fps)) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
     fps |= {rng.getrandbits(64) for _ in range(100)}
     rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(sorted(fps))]
-    links = simhash_dedup.class_links(spark.createDataFrame(rows, "rep bigint, fp bigint"))
+    links, _ = simhash_dedup.class_links(spark.createDataFrame(rows, "rep bigint, fp bigint"))
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
     up = {i: i for i, _ in rows}
 

@@ -34,3 +34,23 @@ def test_pipeline_on_an_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_scratch_tables_are_dropped(spark):
+    """After a run only the last stage's table is left, and nothing after ``drop_scratch``."""
+    import os
+
+    from reelgraph.llm import queries
+    from reelgraph.shared import drop_scratch, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    left = lambda: [n for n in os.listdir(folder) if n.startswith("reelgraph-")]
+    drop_scratch(spark)
+    assert not left()
+    got = corpus_pipeline.run(spark, SF)
+    assert len(left()) == 1 and got.count() > 0
+    for name in ("op5_simhash", "op6_topk", "op7_token_output", "op10_mixing"):
+        assert queries.QUERIES[name](spark, SF).count() > 0
+        assert len(left()) <= 6
+    drop_scratch(spark)
+    assert not left()
