@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelgraph.llm import quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing
-from reelgraph.llm.common import drop_path, read_table, scratch_path
+from reelgraph.llm.common import drop_scratch, read_table, scratch_path
 from reelgraph.llm.queries import PIECES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,14 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's rows are written, read again, and dropped when used."""
-    docs, before = read_table(spark, sf_dir, "documents"), None
+    """All stages on ``documents``; each stage's rows are written, read again, and dropped when used.
+
+    The last stage's table stays for the caller, until ``drop_scratch``.
+    """
+    docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = scratch_path(spark, f"stage{k}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-        if before:
-            drop_path(spark, before)
-        before = path
+        drop_scratch(spark, keep=[path])  # the stage before, and what this one needed
     return docs
