@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import list_literal, question_type, words
 from ..functions.vectors import cosine
 from ..operators.graph import children, first_neighbour, nodes_in_window, reach, reach_all, spine_walk, undirected, with_parents
+from ..operators.intervals import overlap_join
 from ..operators.ranking import budget_prune, nearest_in_time, top_per_group
 from ..schema import CAUSAL, INTENT_SIMILARITY, KEYWORD_INTENTS, LONG_SPAN, NO_CLIP, NODE_BUDGET, QUESTION_INTENTS, SEED_SIMILARITY
 from ..shared import shared_dir
@@ -95,6 +96,35 @@ def activate_window(
     return budget_prune(nodes.join(marked, "node_id"), [], F.col("is_seed"), most)
 
 
+def activate_references(questions: DataFrame, nodes: DataFrame, edges: DataFrame, on: Sequence[str] = ("video_id",), most: int = NODE_BUDGET, buffer: float = 30.0) -> DataFrame:
+    """As ``activate_window`` for all questions (qid, intents, ref_t0, ref_t1) at once: node rows with qid and is_seed."""
+    shared_dir(questions.sparkSession)
+    k = ["qid", *on]
+    ends = (F.least("ref_t0", "ref_t1"), F.greatest("ref_t0", "ref_t1"))
+    q = questions.where("ref_t0 is not null and ref_t1 is not null").select(*k, ends[0].alias("a_t0"), ends[1].alias("a_t1"), F.coalesce("intents", F.array().cast("array<string>")).alias("intents"))
+    spans = nodes.select(*on, "node_id", "node_type", F.col("t_start").alias("b_t0"), F.col("t_end").alias("b_t1"))
+    inside = overlap_join(q, spans, on, width=60.0, buffer=buffer).select(*k, "node_id")
+    bare = q.join(inside.select("qid").distinct(), "qid", "left_anti")
+    near = top_per_group(bare.join(spans, list(on)), ["qid"], 20, F.abs(F.col("b_t0") - (F.col("a_t0") + F.col("a_t1")) / 2), F.col("node_id"))
+    seeds = inside.unionByName(near.select(*k, "node_id")).distinct().checkpoint()
+    at = lambda *names: seeds.join(q.where(F.arrays_overlap("intents", F.array(*map(F.lit, names)))).select("qid"), "qid", "left_semi")
+    who = at("IDENTITY", "SEMANTIC")
+    named = nodes.where("entity_id is not null").select(*on, "node_id", "entity_id")
+    ids = who.join(named, [*on, "node_id"]).select(*k, "entity_id").distinct()
+    told = overlap_join(q.where(F.arrays_overlap("intents", F.array(F.lit("IDENTITY"), F.lit("SEMANTIC")))), spans.where("node_type = 'EpisodeNode'"), on, width=600.0).select(*k).distinct()
+    states = q.where(F.array_contains("intents", "STATE")).join(spans.where("node_type = 'StateChangeNode'"), list(on)).where((F.col("b_t0") >= F.col("a_t0") - buffer) & (F.col("b_t1") <= F.col("a_t1") + buffer))
+    parts = [
+        reach(at("CAUSAL"), edges, 3, CAUSAL, k), reach(at("SPATIAL"), edges, 1, SPATIAL_STEPS, k), reach(who, edges, 1, ("SAME_ENTITY",), k),
+        ids.join(named, [*on, "entity_id"]), told.join(nodes.where("node_type = 'CharacterNode'").select(*on, "node_id"), list(on)), states,
+    ]
+    active = seeds
+    for part in parts:
+        active = active.unionByName(part.select(*k, "node_id"))
+    active = with_parents(active.distinct(), nodes, k)
+    marked = active.join(seeds.withColumn("is_seed", F.lit(True)), [*k, "node_id"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
+    return budget_prune(marked.join(nodes, [*on, "node_id"]), ["qid"], F.col("is_seed"), most)
+
+
 def least_precision(active: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """The least temporal precision among active nodes, 999 where there is none; above a threshold the graph has a hole there."""
     least = F.coalesce(F.min("temporal_precision"), F.lit(NO_CLIP)).alias("least_precision")

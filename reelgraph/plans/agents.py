@@ -60,22 +60,35 @@ def search_graph(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return _lines(best, _line(), "t_start", "node_id")
 
 
-def tools(nodes: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    return {"list_episodes": lambda c: list_episodes(c, nodes), "search_graph": lambda c: search_graph(c, nodes), "get_scene_detail": lambda c: scene_detail(c, nodes)}
+def extract_frames(calls: DataFrame, frames: DataFrame, most: int = 8) -> DataFrame:
+    """Times and ids of the frames of each call's window (arguments t_start, t_end, max_frames), at even places."""
+    from .answering import live_frames
+
+    at = lambda k: seconds(F.try_element_at("args", F.lit(k)))
+    key = F.concat_ws("/", "qid", "call")
+    asked = calls.select(key.alias("rg_key"), "qid", "call", *V, F.least(at("t_start"), at("t_end")).alias("t0"), F.greatest(at("t_start"), at("t_end")).alias("t1"), F.least(F.lit(most), F.coalesce(F.try_element_at("args", F.lit("max_frames")).try_cast("int"), F.lit(most))).alias("wanted"))
+    found = live_frames(asked.select(F.col("rg_key").alias("qid"), *V, "t0", "t1", "wanted", F.lit(False).alias("motion_rank")), frames, F.col("wanted")).withColumnRenamed("qid", "rg_key")
+    rows = found.join(asked.select("rg_key", "qid", "call"), "rg_key")
+    return _lines(rows, F.concat(F.lit("[t="), F.format_string("%.1f", "ts"), F.lit("s] frame "), "frame_id"), "ts", "frame_id")
+
+
+def tools(nodes: DataFrame, frames: DataFrame | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    served = {"list_episodes": lambda c: list_episodes(c, nodes), "search_graph": lambda c: search_graph(c, nodes), "get_scene_detail": lambda c: scene_detail(c, nodes)}
+    return served if frames is None else {**served, "extract_frames": lambda c: extract_frames(c, frames)}
 
 
 def calls_of(said: DataFrame, style: str) -> DataFrame:
     """Calls (qid, call, name, args) of what the model said; ReAct arguments are named by the tool's own order."""
     if style == "tools":
         return said.select("qid", F.posexplode(tool_calls("text")).alias("call", "x")).select("qid", "call", "x.name", "x.args")
-    order = F.when(F.col("x.name") == "get_scene_detail", F.array(F.lit("t_start"), F.lit("t_end"))).otherwise(F.array(F.lit("query")))
+    order = F.when(F.col("x.name").isin("get_scene_detail", "extract_frames"), F.array(F.lit("t_start"), F.lit("t_end"))).otherwise(F.array(F.lit("query")))
     given = F.slice("x.args", 1, F.size(order))
     return said.select("qid", F.lit(0).alias("call"), react_action("text").alias("x")).where("x is not null").select("qid", "call", "x.name", F.map_from_arrays(F.slice(order, 1, F.size(given)), given).alias("args"))
 
 
-def run(questions: DataFrame, nodes: DataFrame, chat: Callable[[DataFrame], DataFrame], style: str = "tools", turns: int | None = None) -> DataFrame:
-    """Answer questions (qid, video_id, question): qid, letter, turn."""
-    served = tools(nodes)
+def run(questions: DataFrame, nodes: DataFrame, chat: Callable[[DataFrame], DataFrame], style: str = "tools", turns: int | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """Answer questions (qid, video_id, question): qid, letter, turn; with ``frames``, frames can be asked for."""
+    served = tools(nodes, frames)
     talk = held(questions.select("qid", F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")))
     live, done = questions.select("qid", *V), None
     limit = turns or (AGENT_TURNS if style == "tools" else REACT_TURNS)

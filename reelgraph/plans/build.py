@@ -266,6 +266,24 @@ def speaker_edges(scenes: DataFrame, nodes: DataFrame) -> DataFrame:
     return G.deduplicated(as_edges(said, "SPOKEN_BY", "node_id", "speaker", sure), V)
 
 
+def attributed_speech(nodes: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """SPOKEN_BY edges by time alone: the character that shares the most time with a speech; where none does, the
+    first character of the scene that the speech describes (``seen``: video_id, scene, node_id), else the one
+    whose middle is nearest, a minute away at most."""
+    people = nodes.where("node_type = 'CharacterNode'").select("video_id", F.col("node_id").alias("who"), F.col("ord").alias("who_ord"), F.col("t_start").alias("b_t0"), F.col("t_end").alias("b_t1"))
+    speech = nodes.where("node_type = 'SpeechNode'").select("video_id", "node_id", F.col("t_start").alias("a_t0"), F.col("t_end").alias("a_t1"))
+    key = ["video_id", "node_id"]
+    shared = I.longest_overlap(speech, people, key, "who_ord", V).select(*key, "who").withColumn("sure", F.lit(0.8))
+    rest = speech.join(shared.select(*key), key, "left_anti")
+    cast = I.first_match(seen.withColumnRenamed("node_id", "who").join(people.select("video_id", "who", "who_ord"), ["video_id", "who"]), ["video_id", "scene"], F.col("who_ord")).select("video_id", "scene", "who")
+    told = edges.where("relation_type = 'DESCRIBES'").groupBy("video_id", F.col("src").alias("node_id")).agg(F.max_by("dst", "eord").alias("scene"))
+    by_scene = rest.select(*key).join(told, key).join(cast, ["video_id", "scene"]).select(*key, "who").withColumn("sure", F.lit(0.6))
+    lone = rest.join(by_scene.select(*key), key, "left_anti").select(*key, ((F.col("a_t0") + F.col("a_t1")) / 2).alias("a_t"))
+    mids = people.select("video_id", "who", "who_ord", ((F.col("b_t0") + F.col("b_t1")) / 2).alias("b_t"))
+    near = I.first_match(I.band_join(lone, mids, 60.0, V), key, F.abs(F.col("a_t") - F.col("b_t")), F.col("who_ord")).select(*key, "who").withColumn("sure", F.lit(0.6))
+    return as_edges(union([shared, by_scene, near]), "SPOKEN_BY", "node_id", "who", F.col("sure"), source=F.lit("temporal_heuristic"))
+
+
 def text_meaning_edges(scenes: DataFrame, nodes: DataFrame) -> DataFrame:
     """On-screen text labels what its meaning refers to inside the scene."""
     m = scenes.select("video_id", F.col("win_id").alias("parent_id"), F.posexplode("ocr_semantics").alias("pos", "x")).select("video_id", "parent_id", "pos", F.trim("x.text").alias("text"), F.col("x.refers_to").alias("description"))
@@ -387,14 +405,22 @@ def precision(nodes: DataFrame) -> DataFrame:
     return n.withColumn("temporal_precision", F.when(F.col("node_type") == "ClipNode", 0.0).otherwise(F.col("temporal_precision"))).select(*NODE_COLUMNS)
 
 
-def build(windows: DataFrame, segments: DataFrame, keyframes: DataFrame, speech: DataFrame, cues: DataFrame, entities: DataFrame, rms: DataFrame, links: DataFrame | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build(windows: DataFrame, segments: DataFrame, keyframes: DataFrame, speech: DataFrame, cues: DataFrame, entities: DataFrame, rms: DataFrame, links: DataFrame | None = None, vectors: DataFrame | None = None, mention_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The whole graph of all videos: node and edge tables.
 
+    ``entities`` are what a model names; in videos for which it names none, characters are linked by
+    ``mention_vectors`` (video_id, ord, embedding), if given.
+
     Stages are checkpointed in the shared folder, so that builders read tables and not each other's plans.
     """
     shared_dir(windows.sparkSession)
     scenes = parsed_scenes(windows).checkpoint()
-    appearances = resolve_characters(mentions_of_characters(scenes), entities).checkpoint()
+    seen = mentions_of_characters(scenes)
+    if mention_vectors is not None:
+        bare = seen.join(entities.select("video_id").distinct(), "video_id", "left_anti").checkpoint()
+        linked = linked_appearances(bare, mention_vectors)
+        entities = entities.select(*linked.columns).unionByName(linked).checkpoint()
+    appearances = resolve_characters(seen, entities).checkpoint()
     nodes = union([backbone(scenes, episodes(scenes, segments), keyframes), content_nodes(scenes), speech_nodes(speech, cues)])
     nodes = replace_characters(nodes, character_nodes(appearances, entities)).unionByName(narrator(scenes)).checkpoint()
     places, place_edges = locations(scenes)
@@ -415,6 +441,20 @@ def build(windows: DataFrame, segments: DataFrame, keyframes: DataFrame, speech:
     return nodes, G.deduplicated(every, V, disc=True).select(*EDGE_COLUMNS)
 
 
+def linked_appearances(mentions: DataFrame, vectors: DataFrame, eps: float = 0.35) -> DataFrame:
+    """Entities of mentions where no model names them: mentions (ord unique) whose vectors lie close are one, and
+    clusters are joined whose descriptions share enough words.  Columns of the entity records."""
+    v = vectors.select("video_id", F.col("ord").alias("num"), "embedding")
+    labels = clustered(v, eps, drop_single=False)
+    m = mentions.join(labels.withColumnRenamed("num", "ord"), "ord").checkpoint()
+    longest = A.entity_extent(m, ["video_id", "label"])
+    merged = merged_by_description(longest.select("video_id", "label", F.col("canonical_description").alias("description")))
+    j = m.join(merged, "label")
+    packed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "description"))), lambda x: x["description"]))
+    e = A.entity_extent(j, ["video_id", "merged"]).join(j.groupBy("video_id", "merged").agg(packed.alias("description_variants")), ["video_id", "merged"])
+    return e.select("video_id", F.concat(F.lit("entity_"), "merged").alias("canonical_id"), F.lit(None).cast("string").alias("canonical_name"), "canonical_description", "description_variants", F.lit("person").alias("entity_type"))
+
+
 def object_texts(nodes: DataFrame) -> DataFrame:
     """What objects are clustered by."""
     o = nodes.where("node_type = 'ObjectNode'")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..operators.graph import expand
 from ..operators.ranking import top_per_group
-from ..schema import BUILD_DEFAULT, BUILD_MOST_FRAMES, BUILD_WINDOWS, FAMILIES, FRONTIER_K, HOPS, SEARCH_SIMILARITY, ZOOM_BUFFER
+from ..schema import BUILD_DEFAULT, BUILD_MOST_FRAMES, BUILD_WINDOWS, FAMILIES, FRONTIER_K, HOPS, SCENE_JSON, SEARCH_SIMILARITY, WINDOW_BUFFER, ZOOM_BUFFER
 from ..shared import shared_dir
 from .warrant import coverage, elasticity, facts, required_slots, satisfied
 
@@ -120,15 +120,89 @@ def warranted(walk: Walk, nodes: DataFrame, edges: DataFrame, full: DataFrame, a
     return j.withColumn("satisfied", satisfied(theta)).drop("rg_a")
 
 
-def run(walk: Walk, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, choose: Callable[[DataFrame, DataFrame], DataFrame], answer: Callable[[DataFrame, DataFrame], DataFrame], hops: int = HOPS, theta: float = 1.0) -> DataFrame:
+def frame_texts(frames: DataFrame, nodes: DataFrame, around: float = 3.0, buffer: float = WINDOW_BUFFER) -> DataFrame:
+    """What stands in for an archived frame (qid, video_id, ts): labels and descriptions around it, each once, 600 characters."""
+    j = frames.select("qid", *V, "ts").join(nodes, V).where((F.col("t_start") <= F.col("ts") + around + buffer) & (F.col("t_end") >= F.col("ts") - around - buffer))
+    said = F.array_compact(F.array(F.when(F.length("label") > 3, F.col("label")), F.left(F.expr("nullif(canonical_description, '')"), F.lit(200))))
+    each = j.select("qid", *V, "ts", "t_start", "ord", F.posexplode(said).alias("pos", "text"))
+    first = each.groupBy("qid", *V, "ts", "text").agg(F.min(F.struct("t_start", "ord", "pos")).alias("at"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    texts = first.groupBy("qid", *V, "ts").agg(F.left(F.array_join(packed, " | "), F.lit(600)).alias("text"))
+    return frames.select("qid", *V, "ts").distinct().join(texts, ["qid", *V, "ts"], "left").withColumn("text", F.coalesce("text", F.lit("(no caption)")))
+
+
+def minted(perceived: DataFrame, hop: int) -> DataFrame:
+    """New nodes out of scene records (qid, video_id, t0, t1, raw_json) of windows that were looked at anew."""
+    r = perceived.withColumn("s", F.from_json("raw_json", SCENE_JSON)).withColumn("mid", (F.col("t0") + F.col("t1")) / 2)
+    when = lambda x: F.when(x["approx_timestamp"] != 0, x["approx_timestamp"])
+
+    def of(kind: str, column: str, label, at=None, **meta):
+        rows = r.select("qid", *V, "mid", F.posexplode(f"s.{column}").alias("pos", "x"))
+        x = F.col("x")
+        t = F.coalesce(at(x), F.col("mid")) if at else F.col("mid")
+        more = F.create_map(*[F.lit(v) for v in ("source", "build_perceive", "build_hop", str(hop))], *[c for k, v in meta.items() for c in (F.lit(k), F.coalesce(x[v], F.lit("")))])
+        return rows.select("qid", *V, F.concat_ws("_", F.lit(f"build_h{hop}"), "qid", F.lit(kind), "pos").alias("node_id"), F.lit(kind).alias("node_type"), F.left(F.trim(label(x)), F.lit(200)).alias("label"), t.alias("t_start"), t.alias("t_end"), more.alias("meta_extra")).where("label <> ''")
+
+    parts = [
+        of("OCRNode", "ocr_text", lambda x: x["text"]), of("CharacterNode", "characters", lambda x: x["description"], emotion="emotion"), of("ActionNode", "actions", lambda x: x["description"], when, actor="actor"),
+        of("StateChangeNode", "state_changes", lambda x: F.concat(F.coalesce(x["entity"], F.lit("")), F.lit(": "), F.coalesce(x["from_state"], F.lit("")), F.lit("→"), F.coalesce(x["to_state"], F.lit(""))), when),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@dataclass
+class Builder:
+    """What BUILD looks with: the frame table, and functions from prompts to what a model sees.
+
+    ``perceive(prompts)`` gives qid and raw_json, the scene record of a window; ``infer(prompts)`` gives
+    video_id, qid, pos, cause, effect, relation_type, confidence among the walk's nodes.
+    """
+
+    frames: DataFrame
+    perceive: Callable[[DataFrame], DataFrame]
+    infer: Callable[[DataFrame], DataFrame]
+
+
+def built(builder: Builder, asked: DataFrame, walk: Walk, nodes: DataFrame, edges: DataFrame, times: DataFrame, hop: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New nodes, new edges and the frames seen, for walks (qid, video_id, gap) that build; ``times``: qid, times."""
+    from .answering import live_frames
+    from .build import online_causal_edges
+
+    q = walk.questions.join(asked.select("qid", "gap"), "qid")
+    for c in ("ref_t0", "ref_t1"):
+        if c not in q.columns:
+            q = q.withColumn(c, F.lit(None).cast("double"))
+    frontier = walk.nodes.join(walk.nodes.groupBy("qid").agg(F.max("hop").alias("hop")), ["qid", "hop"])
+    hits = walk.nodes.select("qid", *V, "node_id").where("false").withColumn("score", F.lit(0.0))
+    at = anchors(q, hits, frontier, nodes).join(q.select("qid", "gap"), "qid").join(times, "qid", "left")
+    w = build_window(F.col("gap"), F.coalesce("times", F.lit(0)))
+    windows = held(at.select("qid", *V, "gap", F.greatest(F.lit(0.0), F.col("anchor") - w["radius"]).alias("t0"), (F.col("anchor") + w["radius"]).alias("t1"), w["frames"].alias("rg_frames")))
+    seen = held(live_frames(windows.withColumn("motion_rank", F.lit(True)), builder.frames, F.col("rg_frames")))
+    shown = windows.drop("rg_frames").join(seen.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_id"))).alias("frames")), "qid", "left")
+    looks = F.col("gap").isin("entity_or_frame", "mcq_option_coverage")
+    records = builder.perceive(shown.where(looks & F.col("frames").isNotNull()))
+    fresh = held(minted(shown.select("qid", *V, "t0", "t1").join(records.select("qid", "raw_json"), "qid"), hop))
+    events = walk.nodes.select("qid", *V, "node_id").join(nodes, [*V, "node_id"])
+    inside = events.join(shown.where(~looks).select("qid", "t0", "t1"), "qid").where("t_start <= t1 and t_end >= t0")
+    links = builder.infer(shown.where(~looks))
+    return fresh, held(online_causal_edges(links, inside, edges)), seen
+
+
+def run(walk: Walk, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, choose: Callable[[DataFrame, DataFrame], DataFrame], answer: Callable[[DataFrame, DataFrame], DataFrame], hops: int = HOPS, theta: float = 1.0, builder: Builder | None = None, log: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Walk all questions; returns qid, letter, hop, coverage and whether it was warranted.
 
+    BUILD looks at the video anew with a ``builder``: what it sees becomes nodes, what it infers edges; without
+    one it recalls.  ``log`` gets each hop's record: verdict, gaps, action and the number of nodes.
+
     ``choose(questions, nodes)`` gives qid, video_id, action, relation, node_id, option, embedding.
     ``answer(questions, nodes)`` gives qid, letter.  A walk whose action is ANSWER or STOP is turned to the
     action that its first gap asks for, as an unsatisfied walk may not end.
     """
     done = None
-    live = walk
+    live, times = walk, walk.questions.select("qid", F.lit(0).alias("times"))
     for hop in range(hops + 1):
         full = held(answer(live.questions, live.nodes))
         last = live.nodes.groupBy("qid").agg(F.max("hop").alias("rg_h"))
@@ -147,8 +221,20 @@ def run(walk: Walk, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, choo
         a = choose(live.questions, live.nodes).join(open_.select("qid", "gaps", "missing_options"), "qid")
         ends = F.col("action").isin("ANSWER", "STOP")
         a = held(a.withColumns({"relation": F.when(ends, detail).otherwise(F.col("relation")), "option": F.when(ends, detail).otherwise(F.col("option")), "action": F.when(ends, forced).otherwise(F.col("action"))}))
+        if log is not None:
+            log(verdict.join(a.select("qid", "action", "relation", "option"), "qid", "left").join(live.nodes.groupBy("qid").agg(F.count("*").alias("n_nodes")), "qid", "left"))
         frontier = live.nodes.join(live.nodes.groupBy("qid").agg(F.max("hop").alias("hop")), ["qid", "hop"])
-        parts = [zoomed(a, nodes), recalled(a.where("action in ('RECALL', 'BUILD') and embedding is not null"), vectors), discriminated(a, nodes, vectors)]
+        recalls = ("RECALL",) if builder else ("RECALL", "BUILD")
+        parts = [zoomed(a, nodes), recalled(a.where(F.col("action").isin(*recalls) & F.col("embedding").isNotNull()), vectors), discriminated(a, nodes, vectors)]
+        if builder:
+            asked = held(a.where("action = 'BUILD'").select("qid", F.coalesce(F.try_element_at("gaps", F.lit(1)), F.lit("any_evidence")).alias("gap")))
+            fresh, links, seen = built(builder, asked, live, nodes, edges, times, hop + 1)
+            nodes = held(nodes.unionByName(fresh.drop("qid"), allowMissingColumns=True))
+            edges = held(edges.unionByName(links, allowMissingColumns=True))
+            times = held(times.join(asked.select("qid", F.lit(1).alias("rg_1")), "qid", "left").select("qid", (F.col("times") + F.coalesce("rg_1", F.lit(0))).alias("times")))
+            looked = seen.select("qid").distinct().withColumn("rg_seen", F.lit(True))
+            live = Walk(held(live.questions.join(looked, "qid", "left").withColumn("has_frames", F.coalesce("has_frames", F.lit(False)) | F.coalesce("rg_seen", F.lit(False))).drop("rg_seen")), live.nodes)
+            parts.append(fresh.select("qid", *V, "node_id"))
         mine = live.questions.select("qid", *V)
         for family in FAMILIES:
             of = frontier.join(a.where((F.col("action") == "EXPAND") & (F.col("relation") == family)).select("qid"), "qid", "left_semi")

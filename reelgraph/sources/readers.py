@@ -108,6 +108,18 @@ def frame(frames: DataFrame, *ids: str) -> DataFrame:
     return frames.where(F.col("frame_id").isin(*ids))
 
 
+def frame_keys(frames: DataFrame, contains: str | None = None) -> DataFrame:
+    """Ids of the stored frames, those that hold a text if one is given; images are not read."""
+    keys = frames.select("video_id", "frame_id")
+    return (keys if contains is None else keys.where(F.contains("frame_id", F.lit(contains)))).orderBy("video_id", "frame_id")
+
+
+def has_frame(ids: DataFrame, frames: DataFrame) -> DataFrame:
+    """Which of the ids (video_id, frame_id) are stored."""
+    stored = frames.select("video_id", "frame_id").distinct().withColumn("stored", F.lit(True))
+    return ids.join(stored, ["video_id", "frame_id"], "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 def data_uri(jpeg: str | Column = "jpeg") -> Column:
     return F.concat(F.lit("data:image/jpeg;base64,"), F.base64(jpeg))
 
