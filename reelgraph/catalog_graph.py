@@ -702,3 +702,117 @@ def merged_descriptions(spark, d):
 def clustered_vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.lit("v").alias("video_id"), F.col("vec_id").alias("num"), "embedding")
     return build.clustered(e, 0.58, False)
+
+
+# answering
+
+
+_REFS = "rf AS (SELECT n_nationkey AS qid, 'v' || n_nationkey % 10 AS video_id, n_nationkey % 10 * 5200.0 AS lo, n_nationkey % 10 * 5200.0 + 600 * (1 + n_nationkey % 5) AS hi, ['CAUSAL', 'IDENTITY', 'STATE', 'SPATIAL', 'SUMMARY'][n_nationkey % 5 + 1] AS intent FROM nation)"
+
+
+def referenced(spark, d) -> DataFrame:
+    n = table(spark, d, "nation")
+    intent = F.element_at(F.array(*map(F.lit, ("CAUSAL", "IDENTITY", "STATE", "SPATIAL", "SUMMARY"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return n.select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("v"), F.col("n_nationkey") % 10).alias("video_id"), (F.col("n_nationkey") % 10 * 5200.0).alias("ref_t0"), (F.col("n_nationkey") % 10 * 5200.0 + 600 * (1 + F.col("n_nationkey") % 5)).alias("ref_t1"), F.array(intent).alias("intents"))
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, {_LINKS}, {_REFS}, st AS (SELECT video_id, node_id, t_start, t_end, CASE WHEN ord % 7 = 0 THEN 'StateChangeNode' ELSE node_type END AS kind FROM it),
+ ins AS (SELECT qid, rf.video_id, node_id FROM rf JOIN it USING (video_id) WHERE t_start <= hi + 30 AND t_end >= lo - 30), nr AS (SELECT qid, rf.video_id, node_id, row_number() OVER (PARTITION BY qid ORDER BY abs(t_start - (lo + hi) / 2), node_id) AS rn FROM rf JOIN it USING (video_id) WHERE qid NOT IN (SELECT qid FROM ins)),
+ sd AS (SELECT * FROM ins UNION ALL SELECT qid, video_id, node_id FROM nr WHERE rn <= 20), wk AS (SELECT sd.*, 0 AS hop FROM sd JOIN rf USING (qid) WHERE intent = 'CAUSAL' UNION SELECT w.qid, w.video_id, dst, hop + 1 FROM wk w JOIN cu ON cu.video_id = w.video_id AND cu.src = w.node_id WHERE hop < 3),
+ act AS (SELECT qid, node_id FROM sd UNION SELECT qid, node_id FROM wk UNION SELECT sd.qid, i.node_id FROM sd JOIN rf USING (qid) JOIN it a ON a.node_id = sd.node_id JOIN it i ON i.video_id = a.video_id AND i.entity_id = a.entity_id WHERE intent = 'IDENTITY'
+  UNION SELECT qid, node_id FROM rf JOIN st USING (video_id) WHERE intent = 'STATE' AND kind = 'StateChangeNode' AND t_start >= lo - 30 AND t_end <= hi + 30)
+ SELECT qid, node_id, (qid, node_id) IN (SELECT (qid, node_id) FROM sd) AS is_seed FROM act""")
+def activate_references(spark, d):
+    """The windows of all questions at once; the budget is wide enough not to cut."""
+    it = items(spark, d).withColumn("win_id", F.lit(None).cast("string")).withColumn("node_type", F.when(F.col("ord") % 7 == 0, "StateChangeNode").otherwise(F.col("node_type")))
+    links = causal_links(items(spark, d))
+    return activation.activate_references(referenced(spark, d), graph_nodes(it), links, most=10**9).select("qid", "node_id", "is_seed")
+
+
+def keyframed(it: DataFrame) -> DataFrame:
+    key = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("f"), "ord")).when(F.col("ord") % 11 == 0, F.concat(F.lit("qs_"), "ord"))
+    return it.withColumn("keyframe_id", key)
+
+
+_KEYED = "kf AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 'f' || ord WHEN ord % 11 = 0 THEN 'qs_' || ord END AS keyframe_id FROM it)"
+
+
+@query(f"""WITH {ITEMS}, {_KEYED} SELECT video_id, node_id, row_number() OVER (PARTITION BY video_id ORDER BY (NOT starts_with(keyframe_id, 'qs_'))::INT, confidence DESC, ord) AS shown FROM kf WHERE keyframe_id IS NOT NULL QUALIFY shown <= 20""")
+def visual_order(spark, d):
+    from .plans import answering
+
+    return answering.visual_order(keyframed(items(spark, d)), VIDEO, 20).select("video_id", "node_id", "shown")
+
+
+@query(f"""WITH {ITEMS}, {_KEYED}, s AS (SELECT *, least(7, floor(t_start / 12500))::INT AS slot FROM kf WHERE keyframe_id IS NOT NULL AND t_start < 100000), b AS (SELECT video_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY confidence DESC, ord) AS rn FROM s) WHERE rn = 1),
+ n AS (SELECT video_id, count(*) AS n FROM b GROUP BY 1), q AS (SELECT video_id, node_id, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS rn FROM kf WHERE starts_with(keyframe_id, 'qs_') AND node_id NOT IN (SELECT node_id FROM b)) SELECT * FROM b UNION ALL SELECT q.video_id, node_id FROM q LEFT JOIN n USING (video_id) WHERE rn + CASE WHEN n IS NULL THEN 0 ELSE n END <= 8""")
+def strip_with_top_up(spark, d):
+    from .plans import answering
+
+    return answering.strip_with_top_up(keyframed(items(spark, d)), VIDEO, F.lit(0.0), F.lit(100000.0), 8).select("video_id", "node_id")
+
+
+@query(f"""WITH {ITEMS}, {_KEYED}, {_LINKS}, e AS (SELECT video_id, count(*) AS n_edges FROM cz GROUP BY 1) SELECT video_id, count(*) AS n_nodes, count(DISTINCT keyframe_id) AS n_keyframes, 0::BIGINT AS n_scenes, any_value(n_edges) AS n_edges FROM kf JOIN e USING (video_id) GROUP BY 1""")
+def graph_counts(spark, d):
+    from .plans import answering
+
+    it = keyframed(items(spark, d))
+    return answering.graph_counts(it, causal_links(it).where("relation_type = 'CAUSES'"))
+
+
+@query(f"""WITH {ITEMS}, {_REFS}, j AS (SELECT qid, node_id, it.t_start, row_number() OVER (PARTITION BY qid ORDER BY it.t_start, node_id) - 1 AS i, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, it.t_start, node_id) AS m FROM rf JOIN it USING (video_id) WHERE it.t_start BETWEEN lo AND lo + 20000)
+ SELECT qid, node_id AS frame_id FROM j WHERE CASE WHEN qid % 2 = 0 THEN m <= 8 ELSE n <= 8 OR ceil(i * 8 / n) < ceil((i + 1) * 8 / n) END""")
+def live_frames(spark, d):
+    from .plans import answering
+
+    f = items(spark, d).select("video_id", F.col("node_id").alias("frame_id"), F.col("t_start").alias("ts"), F.col("confidence").alias("motion"))
+    w = referenced(spark, d).select("qid", "video_id", F.col("ref_t0").alias("t0"), (F.col("ref_t0") + 20000).alias("t1"), (F.col("qid") % 2 == 0).alias("motion_rank"))
+    return answering.live_frames(w, f, F.lit(8)).select("qid", "frame_id")
+
+
+@query(f"""WITH {ITEMS}, sp AS (SELECT * FROM it WHERE node_type = 'SpeechNode'), ch AS (SELECT * FROM it WHERE node_type = 'CharacterNode'),
+ o AS (SELECT s.node_id AS src, c.node_id AS dst, row_number() OVER (PARTITION BY s.node_id ORDER BY least(s.t_end, c.t_end) - greatest(s.t_start, c.t_start) DESC, c.ord) AS rn FROM sp s JOIN ch c ON s.video_id = c.video_id AND least(s.t_end, c.t_end) - greatest(s.t_start, c.t_start) > 0),
+ w AS (SELECT s.node_id AS src, arg_min(c.node_id, c.ord) AS dst FROM sp s JOIN ch c USING (win_id) WHERE s.k % 2 = 0 AND s.node_id NOT IN (SELECT src FROM o) GROUP BY 1),
+ m AS (SELECT s.node_id AS src, c.node_id AS dst, row_number() OVER (PARTITION BY s.node_id ORDER BY abs((s.t_start + s.t_end) / 2 - (c.t_start + c.t_end) / 2), c.ord) AS rn FROM sp s JOIN ch c ON s.video_id = c.video_id AND abs((s.t_start + s.t_end) / 2 - (c.t_start + c.t_end) / 2) <= 60 WHERE s.node_id NOT IN (SELECT src FROM o) AND s.node_id NOT IN (SELECT src FROM w))
+ SELECT src, dst, 0.8::DOUBLE AS confidence FROM o WHERE rn = 1 UNION ALL SELECT src, dst, 0.6 FROM w UNION ALL SELECT src, dst, 0.6 FROM m WHERE rn = 1""")
+def attributed_speech(spark, d):
+    it = items(spark, d)
+    described = it.where("node_type = 'SpeechNode' and k % 2 = 0").select("video_id", F.col("node_id").alias("src"), F.col("win_id").alias("dst"), F.lit("DESCRIBES").alias("relation_type"), F.lit(0).alias("eord"))
+    seen = it.where("node_type = 'CharacterNode'").select("video_id", F.col("win_id").alias("scene"), "node_id")
+    return build.attributed_speech(graph_nodes(it), described, seen).select("src", "dst", "confidence")
+
+
+@query(f"""WITH {ITEMS}, f AS (SELECT video_id, t_start + 1 AS ts FROM it WHERE node_type = 'OCRNode'), t AS (SELECT f.video_id, f.ts, label, min((it.t_start, it.ord)) AS o FROM f JOIN it ON f.video_id = it.video_id AND it.t_start <= f.ts + 33 AND it.t_end >= f.ts - 33 GROUP BY 1, 2, 3)
+ SELECT video_id, ts, left(string_agg(label, ' | ' ORDER BY o), 600) AS text FROM t GROUP BY 1, 2""")
+def frame_texts(spark, d):
+    it = items(spark, d)
+    f = it.where("node_type = 'OCRNode'").select(F.lit(0).alias("qid"), "video_id", (F.col("t_start") + 1).alias("ts"))
+    return walking.frame_texts(f, graph_nodes(it)).select("video_id", "ts", "text")
+
+
+@query("""SELECT n_nationkey AS qid, CASE n_nationkey % 3 WHEN 0 THEN 'look|' || n_name WHEN 1 THEN left('Who is in ' || n_name || ', and where does that lead to in the end of all things?', 60) ELSE '' END AS queries, n_nationkey % 3 = 0 AS needs_frames, CASE n_nationkey % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS windows FROM nation""")
+def parsed_plans(spark, d):
+    from .plans import answering
+
+    n = table(spark, d, "nation")
+    q = n.select(F.col("n_nationkey").alias("qid"), F.lit("v").alias("video_id"), F.concat(F.lit("Who is in "), "n_name", F.lit(", and where does that lead to in the end of all things?")).alias("question"))
+    good = F.concat(F.lit('{"windows": [{"t_start": 1, "t_end": 2}], "search_queries": ["look", "'), "n_name", F.lit('"], "needs_frames": true}'))
+    said = F.when(F.col("n_nationkey") % 3 == 0, good).when(F.col("n_nationkey") % 3 == 1, "I would look around").otherwise('{"windows": [{"t_start": 1, "t_end": 2}, {"t_start": 5, "t_end": 9.5}], "search_queries": []}')
+    return answering.plans(n.select(F.col("n_nationkey").alias("qid"), said.alias("text")), q).select("qid", F.array_join("search_queries", "|").alias("queries"), "needs_frames", F.size("windows").alias("windows"))
+
+
+@query(f"""WITH {ITEMS}, {_DAYS}, q AS (SELECT n_nationkey AS qid, 'v' || n_nationkey % 10 AS video_id, n_name FROM nation), e AS (SELECT video_id, string_agg(printf('[%.0fs–%.0fs] Episode: day', day * 86400.0, day * 86400.0 + 86399.999999), chr(10) ORDER BY day) AS t FROM ep GROUP BY 1)
+ SELECT qid, t || chr(10) || chr(10) || '[Question type: reasoning, other]' || chr(10) || '[Time reference: 01:00-02:30 (= 60s–150s from the start)]' || chr(10) || 'Question: ' || n_name AS prompt FROM q JOIN e USING (video_id)""")
+def planner_prompts(spark, d):
+    from .plans import answering
+
+    it = items(spark, d)
+    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("v"), F.col("n_nationkey") % 10).alias("video_id"), F.col("n_name").alias("question"), F.lit("['reasoning', 'other']").alias("question_type"), F.lit("01:00-02:30").alias("time_reference"))
+    return answering.planner_prompts(q, graph_nodes(it, day_rows(it))).select("qid", F.col("user").alias("prompt"))
+
+
+@query("""SELECT d % 3 AS video, count(*) AS frames FROM (SELECT DISTINCT event_id % 300 AS d FROM events WHERE (event_id % 300)::VARCHAR LIKE '%7%') GROUP BY 1""")
+def frame_listing(spark, d):
+    f = table(spark, d, "events").select((F.col("event_id") % 300 % 3).cast("string").alias("video_id"), (F.col("event_id") % 300).cast("string").alias("frame_id")).distinct()
+    keys = readers.frame_keys(f, "7")
+    return readers.has_frame(keys, f).where("stored").groupBy(F.col("video_id").cast("bigint").alias("video")).agg(F.count("*").alias("frames"))
