@@ -39,8 +39,8 @@ SAMPLE_ROWS, PIVOTS = 4096, 64
 ANNULUS_ROWS, QUERY_ROWS = 4096, 1024
 #: Annuli at most: above, each holds more rows, so that their limits can be sent to all workers.
 MOST_ANNULI = 200_000
-#: How many times as many annuli a round expands as the one before; blocks of queries that meet an annulus at once.
-GROWTH, TOGETHER = 8, 8
+#: How many times as many annuli a round expands as the one before; queries that meet an annulus at once, about.
+GROWTH, TOGETHER = 8, 8192
 #: Distances of queries to annuli that a worker holds at once.
 CELLS = 4_000_000
 _INDEX = "pivot int, place double, row_ids binary, ids binary, vectors binary, low double, high double"
@@ -241,7 +241,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     if not n:
         forget(rows)
         return empty
-    kind = "<i4" if largest < 2**31 else "<i8"
+    kind = next(f"<i{b}" for b in (1, 2, 4, 8) if largest < 2 ** (8 * b - 1))
     sample = rows.orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE_ROWS).select("v").toArrow().combine_chunks()
     space = spark.sparkContext.broadcast(Space(_matrix(sample["v"].combine_chunks(), width), longest))
     index = materialize(_blocks(_keyed(rows, space, width, False), max(ANNULUS_ROWS, -(-2 * n // MOST_ANNULI)), width, kind).withColumn("block", F.monotonically_increasing_id()), "index", "none")
@@ -249,7 +249,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     queries = materialize(_blocks(_keyed(asked, space, width, True), QUERY_ROWS, width, kind).withColumn("asking", F.monotonically_increasing_id()), "queries", "none")
     table = index.select("block", "pivot", "low", "high").toPandas().sort_values(["pivot", "low", "block"], kind="stable")  # MOST_ANNULI rows, about
     annuli = spark.sparkContext.broadcast({c: table[c].to_numpy() for c in table})
-    parts = max(1, -(-queries.count() // TOGETHER))
+    parts = max(1, -(-asked.count() // TOGETHER))
     best, first, size = None, 0, 1
     while first < len(table):
         known = spark.createDataFrame([], "asking bigint, known array<struct<at: int, kth: bigint>>")
