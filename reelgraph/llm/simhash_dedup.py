@@ -12,9 +12,11 @@ reported only as far as they join what was not joined yet, so a large group of n
 give all its pairs; components stay the same.  An anchor with more than ``RUN_ROWS`` fingerprints is
 put off and compared in pairs of chunks.
 
-Defined cases: a text without words, null or empty, has fingerprint zero and links like any other; a
-repeated id counts as rows of one document; rows without an id have a fingerprint, no component, and
-take no part in linking.
+Defined cases: a text without words, null or empty, has fingerprint zero and links like any other; texts of
+any length count whole; a repeated id counts as rows of one document; rows without an id have a
+fingerprint, no component, and take no part in linking; a bit that exactly half of the shingles set is 0;
+other columns, whatever their names, are kept by ``keep_one_each`` and ignored otherwise; no rows give no
+rows.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .components import connected_components
 
 THRESHOLD = 3
 SHINGLE, HASH_SEED = 3, 42
-#: Fingerprints of one anchor that a task holds (nine bytes each).
-RUN_ROWS = 200_000
+#: Fingerprints of one anchor that are compared at once; more are compared in pairs of chunks, by several tasks.
+RUN_ROWS = 20_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -109,37 +111,30 @@ def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(rep[row]), pa.array(column == 0)], ["anchor", "fp", "rep", "home"])
 
 
-class _Sets:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (p := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(p, p)
-            x = p
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after joining pairs of places; a label is the smallest place that links lead to."""
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
 
 
 def _links_of_run(fp: np.ndarray, rep: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join all that is linked in one anchor's run."""
-    sets, out = _Sets(), []
+    """Links that join all that is linked in one anchor's run: each class to the first of its component."""
     bits, at = fp.view(np.uint64), np.flatnonzero(home)
+    label = np.arange(len(fp))
     block = max(1, 2_000_000 // max(len(fp), 1))
     for lo in range(0, len(at), block):
         mine = at[lo : lo + block]
-        near = np.bitwise_count(bits[mine][:, None] ^ bits[None, :]) <= THRESHOLD
-        for row, column in zip(*np.nonzero(near)):
-            a, b = int(rep[mine[row]]), int(rep[column])
-            if a != b and sets.join(a, b):
-                out.append((a, b))
-    return out
+        row, column = np.nonzero(np.bitwise_count(bits[mine][:, None] ^ bits[None, :]) <= THRESHOLD)
+        label = _joined(label, mine[row], column)
+    tied = np.flatnonzero(rep[label] != rep)
+    return [(int(x), int(y)) for x, y in zip(rep[tied], rep[label[tied]])]
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
