@@ -1,19 +1,22 @@
 """Token ids in a compact binary format: range asymmetric numeral systems with shared static tables.
 
 Format (version 1).  A data set is a folder with two Parquet tables.  ``tables`` has one row per token
-that occurs: its id and its share of 2^20 slots.  ``blocks`` has one row per block: ``part`` and
-``first`` (the block's place: ids before it inside its part), the ids and lengths of its documents, and
-the payload.  A payload is
+that occurs: its id and its share of 2^20 slots.  ``blocks`` has one row per block, in ascending order of
+documents from file to file: ``part`` and ``first`` (the block's place: ids before it inside its part),
+the ids and lengths of its documents, and the payload.  A payload is
 
     magic 'RANS' | version u16 | lanes u16 | tokens u64 | steps per checkpoint u32 | checkpoints u32
     words u64 | crc32 of the rest u32 | word offset u64 of each checkpoint
     lane states u64 of each checkpoint | words u32
 
 Token i belongs to lane i mod lanes.  Every checkpoint holds all lane states, so decoding may begin at
-any of them; blocks share nothing but the tables, so they are encoded and decoded in parallel.
+any of them (``read_span`` reads no more than the stretches between checkpoints that it needs); blocks
+share nothing but the tables, so they are encoded and decoded in parallel.
 
-Defined cases: a null text counts as empty; an empty text is one end id; rows are ordered by id, nulls
-first, and repeated ids by a hash of their texts; no rows make an empty data set.
+Defined cases: a null text counts as empty; an empty text is one end id; a text of any length is one
+document, in a block of its own if it is longer than a block; rows are ordered by id, nulls first, and
+repeated ids by a hash of their texts; other columns, whatever their names, are ignored; no rows make an
+empty data set.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ MAGIC, VERSION, HEAD = b"RANS", 1, "<4sHHQIIQI"
 SLOT_BITS = 20
 LOW = np.uint64(1 << 31)
 LANES, BLOCK_TOKENS, CHECKPOINT_STEPS = 1024, 262_144, 128
+#: Documents of a part at most, about.
+PART_ROWS = 200_000
 
 
 def normalized_shares(counts: np.ndarray) -> np.ndarray:
@@ -96,8 +101,8 @@ def encode_block(ids: np.ndarray, tables: Tables) -> bytes:
     return struct.pack(HEAD, MAGIC, VERSION, lanes, n, CHECKPOINT_STEPS, len(marks), int(sum(counts)), zlib.crc32(body)) + body
 
 
-def decode_block(payload: bytes, tables: Tables, checkpoint: int | None = None) -> np.ndarray:
-    """All ids of a block, or those from one checkpoint to the next."""
+def decode_block(payload: bytes, tables: Tables, checkpoint: int | None = None, span: tuple[int, int] | None = None) -> np.ndarray:
+    """All ids of a block, those from one checkpoint to the next, or those of a span."""
     magic, version, lanes, n, every, marks, n_words, crc = struct.unpack_from(HEAD, payload)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a block of this format")
@@ -109,7 +114,10 @@ def decode_block(payload: bytes, tables: Tables, checkpoint: int | None = None)
     words = np.frombuffer(payload, "<u4", n_words, at + 8 * marks * (1 + lanes)).astype(np.uint64)
     mask, bits, low32 = np.uint64((1 << SLOT_BITS) - 1), np.uint64(SLOT_BITS), np.uint64(32)
     out = np.empty(n, np.uint32)
+    wide = every * lanes
     chosen = range(marks) if checkpoint is None else (checkpoint,)
+    if span is not None:
+        chosen = range(span[0] // wide, min(marks, -(-span[1] // wide)))
     for mark in chosen:
         x, w = states[mark].astype(np.uint64), int(upto[mark])
         for step in range(mark * every, min((mark + 1) * every, -(-n // lanes))):
@@ -124,7 +132,9 @@ def decode_block(payload: bytes, tables: Tables, checkpoint: int | None = None)
                 y[low] = (y[low] << low32) | words[w : w + len(low)]
                 w += len(low)
             x[: b - a] = y
-    return out if checkpoint is None else out[checkpoint * every * lanes : min(n, (checkpoint + 1) * every * lanes)]
+    if span is not None:
+        return out[span[0] : min(n, span[1])]
+    return out if checkpoint is None else out[checkpoint * wide : min(n, (checkpoint + 1) * wide)]
 
 
 def tokenize(docs: DataFrame, model: str, end_id: int, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -144,7 +154,9 @@ def tokenize(docs: DataFrame, model: str, end_id: int, id_col: str, text_col: st
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    ordered = docs.select(id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
+    # rows that repeat an id, or have none, are told apart by a hash of their texts, so that no range holds them all
+    order = [F.col(id_col), F.xxhash64(text_col)]
+    ordered = docs.select(id_col, text_col).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, f"part int, first bigint, doc_id {kind}, ids binary, n_tokens bigint")
 
 
@@ -169,7 +181,7 @@ def count_ids(ids: DataFrame, n_ids: int) -> np.ndarray:
     return out
 
 
-def write_blocks(ids: DataFrame, share: np.ndarray, path: str) -> None:
+def write_blocks(ids: DataFrame, share: np.ndarray, path: str, parts: int) -> None:
     """Blocks of whole documents, in order, about ``BLOCK_TOKENS`` ids each; written with Spark's commit."""
     spark, n_ids = ids.sparkSession, len(share)
     shared = spark.sparkContext.broadcast(share.astype(np.int32))  # one entry per id of the vocabulary
@@ -206,6 +218,8 @@ def write_blocks(ids: DataFrame, share: np.ndarray, path: str) -> None:
 
     kind = ids.schema["doc_id"].dataType.simpleString()
     blocks = ids.select("part", "first", "doc_id", "ids", "n_tokens").mapInArrow(run, f"part int, first bigint, doc_ids array<{kind}>, sizes array<bigint>, payload binary")
+    # file by file in the order of the parts
+    blocks = blocks.repartitionById(parts, "part").sortWithinPartitions("first")
     blocks.write.option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/blocks")
     seen = np.flatnonzero(share)
     spark.createDataFrame([(int(t), int(share[t])) for t in seen], "token int, share int").coalesce(1).write.parquet(f"{path}/tables")
@@ -241,26 +255,50 @@ def read_documents(spark, path: str, id_type: str = "bigint", with_ids: bool = F
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     docs = blocks.mapInArrow(run, f"part int, first bigint, doc_id {id_type}, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
-    # one row per part: as many as the writer had tasks
+    base = _bases(spark, blocks)
+    return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+def _bases(spark, blocks: DataFrame) -> DataFrame:
+    """Ids before each part; one row per part: as many as the writer had tasks."""
     sums = blocks.select("part", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     bases, before = [], 0
     for r in sums:
         bases.append((r["part"], before))
         before += r["n"]
-    base = spark.createDataFrame(bases, "part int, base bigint")
-    return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return spark.createDataFrame(bases, "part int, base bigint")
+
+
+def read_span(spark, path: str, start: int, stop: int) -> DataFrame:
+    """Ids from place ``start`` to ``stop`` of the whole set (columns start, ids), a row per block that holds some.
+
+    Each task decodes from the checkpoint before its first id to the one behind its last.
+    """
+    shared = spark.sparkContext.broadcast(read_tables(spark, path).astype(np.int32))
+    blocks = spark.read.parquet(f"{path}/blocks").select("part", "first", "sizes", "payload")
+    at = blocks.join(F.broadcast(_bases(spark, blocks)), "part").withColumn("begin", F.col("base") + F.col("first")).withColumn("end", F.col("begin") + F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(shared.value)
+        for batch in batches:
+            for begin, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lo = max(0, start - begin)
+                ids = decode_block(payload, tables, span=(lo, stop - begin)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([begin + lo]), pa.array([ids], pa.list_(pa.int64()))], ["start", "ids"])
+
+    return at.where((F.col("begin") < stop) & (F.col("end") > start)).select("begin", "payload").mapInArrow(run, "start bigint, ids array<bigint>")
 
 
 def write_documents(docs: DataFrame, model: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize all documents and write them as a data set at ``path``."""
     spark = docs.sparkSession
     n_ids = max(word_bpe(model).vocabulary, end_id + 1)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
     held = scratch_path(spark, "ids")
     table = tokenize(docs, model, end_id, id_col, text_col, parts)
     table.write.option("compression", "zstd").parquet(held)
     ids = spark.read.schema(table.schema).parquet(held)
-    write_blocks(ids, normalized_shares(count_ids(ids, n_ids)), path)
+    write_blocks(ids, normalized_shares(count_ids(ids, n_ids)), path, parts)
     drop_path(spark, held)
 
 

@@ -206,3 +206,24 @@ def test_spans_follow_the_alignment(texts):
             at = to
         assert list(zip(e.starts.tolist(), e.ends.tolist())) == out
         assert c.normalizer(t).source.tolist() == source == c.normalizer.alignment(t).tolist()
+
+
+def test_blocks_are_in_order_and_spans_are_read_by_checkpoints(spark, docs, texts, words, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_output, "BLOCK_TOKENS", 4000)
+    path = f"file://{tmp_path}/set"
+    token_output.write_documents(docs, WORDS, 2, path)
+    met = [i for f in sorted(glob.glob(f"{tmp_path}/set/blocks/part-*")) for row in pq.read_table(f, columns=["doc_ids"]).column(0).to_pylist() for i in row]
+    assert met == sorted(texts)
+    ids = [x for i in sorted(texts) for x in (*words.encode(texts[i] or "", add_special_tokens=False).ids, 2)]
+    for start, stop in ((0, 10), (100, 9000), (len(ids) - 3, len(ids) + 50), (5, 5)):
+        got = [x for r in token_output.read_span(spark, path, start, stop).orderBy("start").collect() for x in r["ids"]]
+        assert got == ids[start:stop], (start, stop)
+    long = (np.random.default_rng(1).zipf(1.4, 400_000) % 5000).astype(np.uint32)
+    tables = token_output.Tables(token_output.normalized_shares(np.bincount(long, minlength=5000)))
+    payload = token_output.encode_block(long, tables)
+    for a, b in ((0, 1), (131_071, 131_073), (250_000, 399_999), (399_990, 500_000)):
+        assert (token_output.decode_block(payload, tables, span=(a, b)) == long[a:b]).all()
