@@ -11,7 +11,9 @@ hash of their ids, ``SAMPLE_ROWS`` rows at most, without the rows held out.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is everything if no
 labelled row can be learned from; a row without an id is not held out and not learned from; texts of any
-length count whole.
+length count whole; an id that is repeated is learned from once for each of its languages and its rows are
+predicted each; of equal scores the language that comes first is taken; other columns, whatever their
+names, are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -101,10 +103,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array([has_letter(t) for t in texts])], ["id", "lang", "bits", "letters"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = learn.join(F.broadcast(ids), ["rg_id", "rg_lang"]).select("rg_id", "rg_lang", "text").mapInArrow(run, f"id {kind}, lang string, bits binary, letters boolean").where("letters").toPandas()
+    sample = learn.join(F.broadcast(ids), ["rg_id", "rg_lang"]).select("rg_id", "rg_lang", "text").mapInArrow(run, f"id {kind}, lang string, bits binary, letters boolean").where("letters")
+    # one row for each sampled id and language, however often it is repeated
+    sample = sample.groupBy("id", "lang").agg(F.min("bits").alias("bits")).toPandas()
     if not len(sample):
         return None
-    sample = sample.sort_values(["id", "lang", "bits"], kind="stable").head(2 * sample_rows)
+    sample = sample.sort_values(["id", "lang"], kind="stable")
     return train(np.unpackbits(np.frombuffer(b"".join(sample["bits"]), np.uint8).reshape(len(sample), -1), axis=1), sample["lang"].tolist())
 
 

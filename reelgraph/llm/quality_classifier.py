@@ -12,9 +12,15 @@ zero, so the length of a text alone does not move its score.  The model is fitte
 labelled rows, ``SAMPLE_ROWS`` at most, drawn by a hash of their ids; every fifth of them calibrates the
 selection.
 
-Defined cases: a null or empty text has the single feature of an empty text; without graded rows of at
-least two grades every document is selected, with expected grade and probability null; repeated rows are
-judged each; a null ``toxic`` counts as 0, rows with a null ``quality`` are not learned from.
+A bin needs ``LEAST_ROWS`` sampled rows and a deviation of ``LEAST_Z``, fixed numbers: with few labels,
+below some hundreds of rows, rare words get no weight, and what only they show passes.
+
+Defined cases: a null or empty text has the single feature of an empty text; texts of any length count
+whole; without graded rows of at least two grades, or without documents, every document is selected, with
+expected grade and probability null; an id that is repeated is learned from once, by its least features
+and grade, and its rows are judged each; ties at the threshold are kept; a null ``toxic`` counts as 0, rows
+with a null ``quality`` are not learned from; other columns are kept by ``filter_documents`` and ignored
+otherwise; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -151,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([np.sort(features(t)).tobytes() for t in texts], pa.binary())], ["id", "grade", "bins"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, grade int, bins binary").toPandas().sort_values(["id", "bins"], kind="stable").head(2 * sample_rows)
+    found = rows.mapInArrow(run, f"id {kind}, grade int, bins binary")
+    # one row for each sampled id, however often it is repeated
+    got = found.groupBy("id").agg(F.min(F.struct("bins", "grade")).alias("x")).select("id", "x.grade", "x.bins").toPandas().sort_values("id", kind="stable")
     if not len(got):
         return None
     sample = [np.frombuffer(b, np.int32) for b in got["bins"]]

@@ -2,9 +2,11 @@
 
 The vocabulary is compiled into a deterministic transducer whose transitions carry the change of the
 number of tokens; texts are cut into chunks, each chunk's state map is computed on its own, and the
-maps are composed (``word_bpe.WordBpe.count_batch``).  SentencePiece models are counted by the codec.
+maps are composed in a tree (``transducer.Transducer.counts``).  SentencePiece models are counted by the codec.
 
-Defined cases: a null text counts as empty and has no tokens; a text of any length is counted whole.
+Defined cases: a null text counts as empty and has no tokens; a text of any length is counted whole; rows
+that repeat an id are counted each, and ids may be null; a count equal to the limit is not over it; other
+columns, whatever their names, are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
