@@ -280,7 +280,12 @@ def bucket_dedup(spark, d):
     return W.bucket_first(event_nodes(spark, d), ["user_id"], F.floor(F.col("t_start") / 3600), ["ord"]).select("user_id", "bucket", "node_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, i) AS p FROM (SELECT floor(t_start / 86400)::BIGINT AS day, node_id, t_start AS ts, confidence AS score, row_number() OVER (PARTITION BY floor(t_start / 86400) ORDER BY t_start, ord) AS i FROM nodes)),
+ b AS (SELECT day, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY 1),
+ s AS (SELECT day, 0::BIGINT AS p, []::DOUBLE[] AS times, []::BIGINT[] AS idx FROM b UNION ALL SELECT s.day, r.p, CASE WHEN len(idx) < 8 AND len(list_filter(times, lambda t: abs(t - ts) < 3600)) = 0 THEN list_append(times, ts) ELSE times END, CASE WHEN len(idx) < 8 AND len(list_filter(times, lambda t: abs(t - ts) < 3600)) = 0 THEN list_append(idx, i) ELSE idx END FROM s JOIN r ON r.day = s.day AND r.p = s.p + 1),
+ g AS (SELECT s.day, list_sort(list_concat([first, last], times)) AS edges, idx FROM s JOIN b ON b.day = s.day AND s.p = n
+  UNION ALL SELECT day, list_sort(list_append(edges, ts)), list_append(idx, i) FROM (SELECT x.day, edges, idx, ts, i, row_number() OVER (PARTITION BY x.day ORDER BY hi - lo DESC, lo, abs(ts - (lo + hi) / 2), i) AS rn FROM (SELECT day, edges, idx, unnest(edges[:-2]) AS lo, unnest(edges[2:]) AS hi FROM g) x JOIN r ON r.day = x.day AND ts > lo AND ts < hi WHERE hi - lo > 14400) WHERE rn = 1),
+ f AS (SELECT day, unnest(arg_max(idx, len(idx))) AS i FROM g GROUP BY 1) SELECT f.day, node_id, ts FROM f JOIN r USING (day, i)""")
 def greedy_keyframes(spark, d):
     n = event_nodes(spark, d).withColumn("day", F.floor(F.col("t_start") / 86400)).select("day", "node_id", "ord", F.col("t_start").alias("ts"), F.col("confidence").alias("score"))
     return W.greedy_keyframes(n, ["day"], k=8, min_gap=3600.0, max_gap=14400.0).select("day", "node_id", "ts")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, normalized, similarity
+from ..functions.vectors import normalized, similarity
 from .ranking import top_per_group
 
 #: Vectors of one block of the blocked self join, about; a task holds two blocks.
@@ -33,9 +33,43 @@ def prototypes(vectors: DataFrame, label: str, vector_col: str = "embedding") ->
 
 
 def zero_shot(vectors: DataFrame, labels: DataFrame, label: str, least: float = 0.25, id_col: str = "node_id", vector_col: str = "embedding") -> DataFrame:
-    """Labels of each row whose prototype is similar enough; prototypes are a vocabulary, so broadcast."""
-    pairs = vectors.select(id_col, vector_col).crossJoin(F.broadcast(labels))
-    return pairs.withColumn("score", F.round(cosine(vector_col, "prototype"), 6)).where(F.col("score") >= least).select(id_col, label, "score")
+    """Labels of each row whose prototype is similar enough: blocks of rows times blocks of prototypes.
+
+    The vocabulary of labels may be of any size; each row is sent once for each block of it.
+    """
+    v = vectors.select(F.col(id_col).alias("rg_id"), normalized(vector_col).alias("rg_v")).where("rg_v is not null").withColumn("rg_n", F.size("rg_v"))
+    p = labels.select(F.col(label).alias("rg_id"), normalized("prototype").alias("rg_v")).where("rg_v is not null").withColumn("rg_n", F.size("rg_v"))
+    deal = lambda rows, n: rows.join(rows.groupBy("rg_n").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(n)), "rg_n")
+    block = lambda n: F.pmod(F.xxhash64("rg_id", "rg_v"), F.col(n)).cast("int")
+    p = deal(p, "rg_p").withColumn("bj", block("rg_p"))
+    sizes = p.select("rg_n", "rg_p").distinct()
+    v = deal(v, "rg_b").join(sizes, "rg_n").withColumn("bi", block("rg_b")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("rg_p") - 1)))
+    p = p.join(v.select("rg_n", "rg_b").distinct(), "rg_n").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("rg_b") - 1)))
+    key = ["rg_n", "bi", "bj"]
+    kinds = [t.schema["rg_id"].dataType.simpleString() for t in (v, p)]
+    right = p.select(*[F.col(c).alias(c) for c in (*key, "rg_id", "rg_v")])
+    pairs = v.select(*key, "rg_id", "rg_v").groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda of, left, found: _product(of, left, found, 0, least, None, False), f"src {kinds[0]}, dst {kinds[1]}, score double")
+    return pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= least).select(F.col("src").alias(id_col), F.col("dst").alias(label), "score")
+
+
+def _product(of: tuple, left: pa.Table, right: pa.Table, on: int, least: float, best: int | None, mirrored: bool) -> pa.Table:
+    """Pairs of two blocks at least so similar, as a matrix product; both ways where the blocks are of one table."""
+    found: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+    if left.num_rows and right.num_rows:
+        ids, rows = zip(*((t.column("rg_id").combine_chunks(), np.asarray(t.column("rg_v").combine_chunks().flatten()).reshape(t.num_rows, -1)) for t in (left, right)))
+        score = rows[0] @ rows[1].T
+        sides = [(score, *ids)] if not mirrored or of[-2] == of[-1] else [(score, *ids), (score.T, ids[1], ids[0])]  # a block meets itself once
+        for s, own, other in sides:
+            hit = s >= least - SLACK
+            if best is not None and s.shape[1] > best + 1:  # one may be the row itself
+                hit &= s >= np.partition(s, s.shape[1] - best - 1, axis=1)[:, s.shape[1] - best - 1, None] - SLACK
+            i, j = np.nonzero(hit)
+            found.append((own.take(pa.array(i)), other.take(pa.array(j)), s[i, j]))
+    kinds = [t.schema.field("rg_id").type for t in (left, right)]
+    parts = [pa.concat_arrays([f[c] for f in found]) if found else pa.array([], kinds[c]) for c in (0, 1)]
+    scores = np.concatenate([f[2] for f in found]) if found else np.zeros(0)
+    same = [pa.array([x.as_py()] * len(scores), x.type) for x in of[:on]]
+    return pa.table([*same, *parts, pa.array(scores)], [*[f"on{i}" for i in range(on)], "src", "dst", "score"])
 
 
 def similar_pairs(vectors: DataFrame, least: float, id_col: str = "node_id", vector_col: str = "embedding", on: Sequence[str] = (), best: int | None = None) -> DataFrame:
@@ -53,26 +87,9 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "node_id", vec
     b = v.select(*[F.col(c).alias(c) for c in (*key, "rg_id", "rg_v")], F.explode(F.sequence(F.lit(0), "rg_b")).alias("bi"), F.col("rg_b").alias("bj"))
     kinds = {f.name: f.dataType.simpleString() for f in v.schema}
 
-    def product(of: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            ids, rows = zip(*((t.column("rg_id").combine_chunks(), np.asarray(t.column("rg_v").combine_chunks().flatten()).reshape(t.num_rows, -1)) for t in (left, right)))
-            score = rows[0] @ rows[1].T
-            sides = [(score, *ids)] if of[-2] == of[-1] else [(score, *ids), (score.T, ids[1], ids[0])]  # a block meets itself once
-            for s, own, other in sides:
-                hit = s >= least - SLACK
-                if best is not None and s.shape[1] > best + 1:  # one may be the row itself
-                    hit &= s >= np.partition(s, s.shape[1] - best - 1, axis=1)[:, s.shape[1] - best - 1, None] - SLACK
-                i, j = np.nonzero(hit)
-                found.append((own.take(pa.array(i)), other.take(pa.array(j)), s[i, j]))
-        kind = left.schema.field("rg_id").type
-        parts = [pa.concat_arrays([f[c] for f in found]) if found else pa.array([], kind) for c in (0, 1)]
-        scores = np.concatenate([f[2] for f in found]) if found else np.zeros(0)
-        same = [pa.array([x.as_py()] * len(scores), x.type) for x in of[: len(on)]]
-        return pa.table([*same, *parts, pa.array(scores)], [*on, "src", "dst", "score"])
-
+    n_on, names = len(on), [*on, "src", "dst", "score"]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in on), f"src {kinds['rg_id']}", f"dst {kinds['rg_id']}", "score double"])
-    pairs = a.groupBy(*key, "bi", "bj").cogroup(b.groupBy(*key, "bi", "bj")).applyInArrow(product, schema)
+    pairs = a.groupBy(*key, "bi", "bj").cogroup(b.groupBy(*key, "bi", "bj")).applyInArrow(lambda of, left, right: _product(of, left, right, n_on, least, best, True).rename_columns(names), schema)
     return pairs.where("src <> dst").withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
 
 

@@ -15,6 +15,7 @@ from ..functions.vectors import cosine
 from ..operators.graph import children, first_neighbour, nodes_in_window, reach, reach_all, spine_walk, undirected, with_parents
 from ..operators.intervals import overlap_join
 from ..operators.ranking import budget_prune, nearest_in_time, top_per_group
+from ..operators.similarity import zero_shot
 from ..schema import CAUSAL, INTENT_SIMILARITY, KEYWORD_INTENTS, LONG_SPAN, NO_CLIP, NODE_BUDGET, QUESTION_INTENTS, SEED_SIMILARITY
 from ..shared import shared_dir
 
@@ -36,7 +37,7 @@ def by_keyword(question: Column) -> Column:
 
 def by_prototype(questions: DataFrame, intents: DataFrame) -> DataFrame:
     """Intents whose prototype is similar to the question's embedding, best first (qid, close)."""
-    pairs = questions.select("qid", "embedding").crossJoin(F.broadcast(intents)).withColumn("score", F.round(cosine("embedding", "prototype"), 6)).where(F.col("score") >= INTENT_SIMILARITY)
+    pairs = zero_shot(questions.select("qid", "embedding"), intents, "intent", INTENT_SIMILARITY, "qid")
     packed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "intent")))
     return pairs.groupBy("qid").agg(F.transform(packed, lambda x: x["intent"]).alias("close"))
 
