@@ -29,7 +29,7 @@ MOST_BYTES = 80 << 20
 #: Tests of neighbouring tokens that are remembered.
 MOST_FITS = 50_000
 #: Symbols of a chunk.
-CHUNK = 1024
+CHUNK = 512
 #: Symbols before a chunk from which its entry states are guessed.
 WARM = (64, 16)
 STATE_BYTES, NONE = 220, -1
@@ -46,11 +46,12 @@ class Transducer:
     """States over symbols; a symbol is the vocabulary's id of a single character or byte.
 
     ``merge(a, b)`` gives the order and the result of joining two tokens, or None.  ``spelled`` maps a
-    token to its symbols.  Symbols in ``final`` end a word: the next state is the start.
+    token to its symbols.  Symbols in ``final`` end a word: the next state is the start.  ``built`` has the
+    order and parts of tokens that only one join can build.
     """
 
-    def __init__(self, merge: Callable[[int, int], tuple[int, int] | None], spelled: dict[int, tuple[int, ...]], final: frozenset[int] = frozenset()):
-        self.merge, self.spelled, self.final = merge, spelled, final
+    def __init__(self, merge: Callable[[int, int], tuple[int, int] | None], spelled: dict[int, tuple[int, ...]], final: frozenset[int] = frozenset(), built: dict[int, tuple[float, int, int]] | None = None):
+        self.merge, self.spelled, self.final, self.built = merge, spelled, final, built or {}
         self.children: dict[int, int] = {}
         token_at, is_open = array("i", (-1,)), bytearray(1)
         for token, symbols in spelled.items():
@@ -120,6 +121,13 @@ class Transducer:
     def _parts(self, token: int) -> bool:
         """Find how a token is built; False if the encoder does not build it from its symbols."""
         if self.left[token] == -2:
+            once = self.built.get(token)
+            if once and (fits := self._parts(once[1]) and self._parts(once[2]) and self._edge(once[1], once[2], True)) is not None:
+                self.left[token], self.level[token] = -1, np.inf
+                if fits:
+                    order, self.left[token], self.right[token] = once
+                    self.level[token] = max(order, self.level[once[1]], self.level[once[2]])
+                return fits
             joins: list = []
             whole = self.encode_symbols(self.spelled[token], joins) == [token]
             self.left[token], self.level[token] = -1, -1.0 if whole else np.inf
@@ -142,29 +150,33 @@ class Transducer:
         if known is None:
             if len(self.fits) > MOST_FITS:
                 self.fits.clear()
-            known = self.fits[key] = self._parts(b) and self._parts(a) and self._edge(a, b)
+            known = self._parts(b) and self._parts(a) and self._edge(a, b)
+            if known is None:
+                known = self.encode_symbols(self.spelled[a] + self.spelled[b]) == [a, b]
+            self.fits[key] = known
         return known
 
-    def _edge(self, a: int, b: int) -> bool:
-        x, y, until = a, b, np.inf
+    def _edge(self, a: int, b: int, joining: bool = False) -> bool | None:
+        """No join across the edge comes too early; but for the two tokens' own if they are ``joining``.  None: undecided."""
+        x, y, until, merge, level = a, b, np.inf, self.merge, self.level
         while True:
-            found = self.merge(x, y)
-            high_x, high_y = self.level[x], self.level[y]
+            found = None if joining else merge(x, y)
+            joining = False
+            high_x, high_y = level[x], level[y]
             if found:
                 comes = max(found[0], high_x, high_y)
                 if comes < until:
                     return False
                 if comes == until:  # the place decides
-                    break
+                    return None
             if high_x < 0 and high_y < 0:
                 return True
             if high_x == high_y:
-                break
+                return None
             if high_x > high_y:
                 until, x = high_x, self.right[x]
             else:
                 until, y = high_y, self.left[y]
-        return self.encode_symbols(self.spelled[a] + self.spelled[b]) == [a, b]
 
     def _new_state(self, key: bytes | None, token: int) -> int:
         number = len(self.states)

@@ -80,9 +80,12 @@ class WordBpe:
         for order, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             joins.setdefault((vocab[a], vocab[b]), (order, vocab[a + b]))
+        by_token: dict[int, list] = {}
+        for (a, b), (order, i) in joins.items():
+            by_token.setdefault(i, []).append((order, a, b))
         # a token that merges never build is no token for the encoder
         built = {i for _, i in joins.values()} | set(inner) | set(ending)
-        self.machine = Transducer(lambda a, b: joins.get((a, b)), {i: s for i, s in spelled.items() if i in built}, frozenset(ending))
+        self.machine = Transducer(lambda a, b: joins.get((a, b)), {i: s for i, s in spelled.items() if i in built}, frozenset(ending), {i: x[0] for i, x in by_token.items() if len(x) == 1})
         self.kind = _classes()
 
     def covers(self, text: str) -> bool:
