@@ -816,3 +816,86 @@ def frame_listing(spark, d):
     f = table(spark, d, "events").select((F.col("event_id") % 300 % 3).cast("string").alias("video_id"), (F.col("event_id") % 300).cast("string").alias("frame_id")).distinct()
     keys = readers.frame_keys(f, "7")
     return readers.has_frame(keys, f).where("stored").groupBy(F.col("video_id").cast("bigint").alias("video")).agg(F.count("*").alias("frames"))
+
+
+# slices, prompts and the vector table
+
+
+@query(f"WITH {ITEMS} SELECT video_id, node_id, row_number() OVER (PARTITION BY video_id ORDER BY t_start, node_id) AS position FROM it WHERE node_type = 'SpeechNode'")
+def speech_in_order(spark, d):
+    it = items(spark, d)
+    return G.slices(graph_nodes(it), causal_links(it), VIDEO)["speech"].select("video_id", "node_id", "position")
+
+
+@query(f"WITH {ITEMS}, {_DAYS} SELECT video_id, episode AS node_id, row_number() OVER (PARTITION BY video_id ORDER BY day) AS position FROM ep")
+def episodes_in_order(spark, d):
+    it = items(spark, d)
+    return G.episodes(graph_nodes(it, day_rows(it)), VIDEO).select("video_id", "node_id", "position")
+
+
+@query(f"WITH {ITEMS}, {_LINKS} SELECT video_id, dst AS node, src AS neighbour, 'CAUSES' AS relation_type FROM cz")
+def causal_parents(spark, d):
+    it = items(spark, d)
+    return G.causal_neighbours(it, causal_links(it), VIDEO, parents=True)
+
+
+@query("SELECT label::VARCHAR AS video_id, count(*) AS n, min(vec_id) AS first FROM embeddings WHERE label IN (1, 3) GROUP BY 1")
+def vector_table_round_trip(spark, d):
+    path = _folder(spark, "vectors")
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("video_id"), F.col("vec_id").cast("string").alias("node_id"), "embedding")
+    writers.vector_table(e, posixpath.join(path, "embeddings"))
+    back = readers.tables(spark, path, "embeddings", videos=["1", "3"])["embeddings"]
+    return back.groupBy("video_id").agg(F.count("*").alias("n"), F.min(F.col("node_id").cast("bigint")).alias("first"))
+
+
+@query(f"""WITH {ITEMS}, {_DAYS}, e AS (SELECT it.*, episode, row_number() OVER (PARTITION BY it.video_id, episode ORDER BY t_start, node_id) AS rn FROM it JOIN ep ON it.video_id = ep.video_id AND floor(t_start / 86400) = day WHERE node_type = 'ActionNode')
+ SELECT video_id, episode, 'Episode: day' || chr(10) || string_agg(printf('[%.1fs] Action: %s', t_start, label), chr(10) ORDER BY rn) AS prompt, count(*) AS n_events FROM e WHERE rn <= 300 GROUP BY 1, 2""")
+def causal_requests(spark, d):
+    from .plans import prompts
+
+    it = items(spark, d).withColumn("episode", F.concat(F.lit("ep"), F.floor(F.col("t_start") / 86400)))
+    eps = it.select("video_id", "episode").distinct().withColumn("label", F.lit("day"))
+    return prompts.causal_requests(eps, it.where("node_type = 'ActionNode'")).select("video_id", "episode", F.col("user").alias("prompt"), "n_events")
+
+
+@query(f"""WITH {ITEMS} SELECT sc.video_id, sc.win_id, printf('Frames from %.1fs to %.1fs.', sc.t_start, sc.t_end) || chr(10) || 'Said: ' || any_value(scene_label) AS prompt, count(*) AS frames FROM sc JOIN it ON it.video_id = sc.video_id AND it.t_start BETWEEN sc.t_start AND sc.t_end GROUP BY sc.video_id, sc.win_id, sc.t_start, sc.t_end""")
+def scene_requests(spark, d):
+    from .plans import prompts
+
+    it = items(spark, d)
+    sc = scenes(spark, d, it)
+    f = it.select("video_id", F.col("node_id").alias("frame_id"), F.col("t_start").alias("ts"))
+    r = prompts.scene_requests(sc, f, sc.select("video_id", "win_id", F.col("scene_label").alias("said")))
+    return r.select("video_id", "win_id", F.col("user").alias("prompt"), F.size("frames").cast("bigint").alias("frames"))
+
+
+@query(f"""WITH {ITEMS}, {_ASKED}, g AS (SELECT DISTINCT qid, node_id, node_type, label, t_start, t_end, confidence FROM seed WHERE node_type IN ('ActionNode', 'ObjectNode')), m AS (SELECT qid, min((NOT node_type = 'ActionNode')::INT) AS ring FROM g GROUP BY 1),
+ f AS (SELECT g.*, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, node_id) AS rn FROM g WHERE node_type = 'ActionNode'), r AS (SELECT qid, string_agg(node_id || ' Action: ' || left(label, 80), chr(10) ORDER BY t_start, node_id) AS frontier FROM f WHERE rn <= 20 GROUP BY 1)
+ SELECT qid, '## Walk' || chr(10) || 'hop 2, coverage 0.50' || chr(10) || 'lacking: causal_edge' || chr(10) || chr(10) || '## Frontier' || chr(10) || frontier AS state FROM r""")
+def controller_states(spark, d):
+    from .plans import prompts
+
+    it = items(spark, d)
+    q = asked(spark, d).withColumns({"intents": F.array(F.lit("SEMANTIC")), "types": F.array(F.lit("other")), "ref_t0": F.lit(None).cast("double"), "ref_t1": F.lit(None).cast("double"), "visual_provided": F.lit(False)})
+    chosen = question_seeds(spark, d, it, q).join(graph_nodes(it), ["video_id", "node_id"]).where("node_type in ('ActionNode', 'ObjectNode')").withColumn("hop", (F.col("node_type") == "ActionNode").cast("int"))
+    both = chosen.where("hop = 1").select("qid").distinct()
+    edges = spark.createDataFrame([], "video_id string, src string, dst string, relation_type string, confidence double, eord bigint, disc double, reasoning string, meta_extra map<string,string>")
+    verdicts = q.select("qid", F.lit(2).alias("hop"), F.lit(0.5).alias("coverage"), F.array(F.lit("causal_edge")).alias("gaps"))
+    p = prompts.controller_prompts(q, chosen, edges, verdicts).join(both, "qid", "left_semi")
+    return p.select("qid", F.concat(F.lit("## Walk"), F.element_at(F.split("user", "## Walk"), -1)).alias("state"))
+
+
+@query("SELECT vec_id, round(1.0, 5)::DOUBLE AS length, round((embedding[1]::DOUBLE + 1) / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE + 1) * (x::DOUBLE + 1)))), 5) AS first FROM embeddings")
+def encoded_vectors(spark, d):
+    """An encoder made once in each worker; here it adds one to what it is given."""
+    from .plans import prompts
+
+    encode = prompts.encoder(lambda: lambda rows: __import__("numpy").stack(rows) + 1)
+    e = table(spark, d, "embeddings").select("vec_id", encode(F.col("embedding")).alias("v"))
+    return e.select("vec_id", F.round(V.norm("v"), 5).alias("length"), F.round(F.element_at("v", 1).cast("double"), 5).alias("first"))
+
+
+@query("""SELECT coalesce(nullif(c_mktsegment, 'BUILDING'), 'unknown') AS video_type, count(*) AS total, count(*) FILTER (c_acctbal > 0) AS correct, avg((c_acctbal > 0)::INT) AS accuracy FROM customer GROUP BY 1""")
+def accuracy_by_video_type(spark, d):
+    c = table(spark, d, "customer").select((F.col("c_acctbal") > 0).alias("correct"), F.expr("nullif(c_mktsegment, 'BUILDING')").alias("video_type"))
+    return A.accuracy(c, F.coalesce("video_type", F.lit("unknown")), "video_type")

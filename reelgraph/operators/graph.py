@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CAUSAL, FAMILIES
+from ..schema import CAUSAL, FAMILIES, SPATIAL
 from ..shared import shared_dir
 from .ranking import top_per_group
 
@@ -230,5 +230,27 @@ def by_type(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.where(F.col("node_type").isin(*kinds))
 
 
+def episodes(nodes: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Episodes, numbered in order of time."""
+    return by_type(nodes, "EpisodeNode").withColumn("position", F.row_number().over(Window.partitionBy(*on).orderBy("t_start", "node_id")))
+
+
+def slices(nodes: DataFrame, edges: DataFrame, on: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The parts of a subgraph: events, state changes and speech numbered in order of time; characters; nodes with a
+    keyframe; spatial edges."""
+    timed = lambda n: n.withColumn("position", F.row_number().over(Window.partitionBy(*on).orderBy("t_start", "node_id")))
+    return {
+        "events": timed(nodes), "characters": by_type(nodes, "CharacterNode"), "state_changes": timed(by_type(nodes, "StateChangeNode")), "speech": timed(by_type(nodes, "SpeechNode")),
+        "visual": nodes.where("keyframe_id is not null"), "spatial": edges.where(F.col("relation_type").isin(*SPATIAL)),
+    }
+
+
+def causal_neighbours(nodes: DataFrame, edges: DataFrame, on: Sequence[str] = (), parents: bool = False) -> DataFrame:
+    """Causes (``parents``) or effects of each node: columns node, neighbour, relation_type."""
+    a, b = ("dst", "src") if parents else ("src", "dst")
+    e = edges.where(F.col("relation_type").isin(*CAUSAL)).select(*on, F.col(a).alias("node"), F.col(b).alias("neighbour"), "relation_type")
+    return e.join(nodes.select(*on, F.col("node_id").alias("node")), [*on, "node"], "left_semi").distinct()
+
+
 def point(nodes: DataFrame, node_id: str | Column) -> DataFrame:
     return nodes.where(F.col("node_id") == node_id)

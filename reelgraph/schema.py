@@ -79,3 +79,11 @@ SEED_SIMILARITY, SEARCH_SIMILARITY, INTENT_SIMILARITY, EDGE_SIMILARITY = 0.3, 0.
 EVENT_JACCARD, SPEAKER_JACCARD, MERGE_JACCARD, CAUSAL_CONFIDENCE = 0.24, 0.25, 0.40, 0.6
 HARD_CUT, SOFT_CUT, SOFT_HIST = 0.75, 0.5, 0.3
 NO_CLIP = 999.0
+
+#: What a speech recogniser delivers; a video without sound has no rows.
+ASR_SEGMENTS = "video_id string, ord bigint, start double, end double, text string, avg_logprob double"
+#: What a decoder delivers of the times that ``sources.readers.coarse_grid`` asks for; images' long side is at most ``LONG_SIDE``.
+FRAMES = "video_id string, frame_id string, ord bigint, ts double, jpeg binary, hist array<double>, motion double, text_score double"
+LONG_SIDE = 1024
+#: Characters of a context that a prompt holds at most.
+CONTEXT_CHARS = 140_000

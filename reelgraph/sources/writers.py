@@ -36,6 +36,12 @@ def graph_tables(nodes: DataFrame, edges: DataFrame, path: str, vectors: DataFra
         put(vectors, "embeddings", "video_id", "node_id")
 
 
+def vector_table(vectors: DataFrame, path: str) -> None:
+    """The vectors of nodes (video_id, node_id, embedding) apart from the nodes, in the folders of their videos."""
+    keyed = vectors.withColumn("video_bucket", video_bucket()).repartition("video_bucket", F.pmod(F.xxhash64("node_id"), F.lit(8)))
+    keyed.sortWithinPartitions("video_bucket", "video_id", "node_id").write.partitionBy("video_bucket").mode("overwrite").parquet(path)
+
+
 def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON text per video.  A video's graph becomes one row, as the format wants it."""
     n = nodes.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.to_json(F.struct(*[c for c in nodes.columns if c not in ("video_id", "ord")])).alias("x")))).alias("n"))
