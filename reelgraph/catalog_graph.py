@@ -899,3 +899,122 @@ def encoded_vectors(spark, d):
 def accuracy_by_video_type(spark, d):
     c = table(spark, d, "customer").select((F.col("c_acctbal") > 0).alias("correct"), F.expr("nullif(c_mktsegment, 'BUILDING')").alias("video_type"))
     return A.accuracy(c, F.coalesce("video_type", F.lit("unknown")), "video_type")
+
+
+# records of scenes, decoding times and evaluation
+
+
+def scene_json(it: DataFrame) -> DataFrame:
+    """Windows with the JSON that a model would give of their items; every 50th window has none that parses."""
+    of = lambda kind, x: F.transform(F.array_sort(F.collect_list(F.when(F.col("node_type") == kind, F.struct("ord", "label", "confidence", "t_start")))), x)
+    g = it.groupBy("video_id", "win_id", "k").agg(
+        F.min("t_start").alias("t_start"), F.max("t_start").alias("t_end"), of("ObjectNode", lambda s: F.struct(s["label"].alias("label"), s["confidence"].alias("confidence"), F.array(F.lit("new")).alias("attributes"), F.lit("on").alias("state"))).alias("objects"),
+        of("CharacterNode", lambda s: F.struct(s["label"].alias("description"), F.lit("calm").alias("emotion"))).alias("characters"), of("ActionNode", lambda s: F.struct(s["label"].alias("description"), s["confidence"].alias("confidence"))).alias("actions"),
+        of("OCRNode", lambda s: F.struct(s["label"].alias("text"))).alias("ocr_text"), of("SpeechNode", lambda s: F.struct(s["label"].alias("entity"), F.lit("off").alias("from_state"), F.lit("on").alias("to_state"), s["t_start"].alias("approx_timestamp"))).alias("state_changes"),
+    )
+    text = F.to_json(F.struct("objects", "characters", "actions", "ocr_text", "state_changes", F.lit("a place").alias("scene_label")))
+    return g.select("video_id", "win_id", F.lit(None).cast("string").alias("parent_scene_id"), F.col("k").cast("int").alias("window_idx"), "t_start", "t_end", F.when(F.col("k") % 50 == 0, "no json").otherwise(text).alias("raw_json"))
+
+
+_RECORDS = """rec AS (SELECT video_id, win_id, k, CASE node_type WHEN 'SpeechNode' THEN 'StateChangeNode' ELSE node_type END AS node_type, CASE node_type WHEN 'SpeechNode' THEN label || ' changes state' ELSE label END AS label,
+ CASE WHEN node_type IN ('ObjectNode', 'ActionNode') THEN confidence ELSE 1.0 END AS confidence, CASE node_type WHEN 'SpeechNode' THEN t_start END AS at,
+ row_number() OVER (PARTITION BY win_id, node_type ORDER BY ord) - 1 AS pos, CASE node_type WHEN 'ObjectNode' THEN 'object' WHEN 'CharacterNode' THEN 'character' WHEN 'ActionNode' THEN 'action' WHEN 'OCRNode' THEN 'text' ELSE 'state' END AS kind FROM it WHERE k % 50 <> 0)"""
+
+
+@query(f"WITH {ITEMS}, {_RECORDS} SELECT video_id, win_id || '/' || kind || '/' || pos AS node_id, node_type, label, round(confidence, 9) AS confidence, win_id AS parent_id FROM rec")
+def content_nodes(spark, d):
+    n = build.content_nodes(build.parsed_scenes(scene_json(items(spark, d))))
+    kind = {"ObjectNode": "object", "CharacterNode": "character", "ActionNode": "action", "OCRNode": "text", "StateChangeNode": "state"}
+    names = F.create_map(*[F.lit(x) for p in kind.items() for x in p])
+    # ids name a record's place in its list
+    place = F.element_at(F.split("node_id", "/"), -1)
+    return n.select("video_id", F.concat_ws("/", "parent_id", F.element_at(names, F.col("node_type")), place).alias("node_id"), "node_type", "label", F.round("confidence", 9).alias("confidence"), "parent_id")
+
+
+@query(f"""WITH {ITEMS}, {_DAYS}, b AS (SELECT video_id, min(t_start) AS lo, max(t_end) AS hi FROM sc GROUP BY 1)
+ SELECT video_id, 'video/' || video_id AS node_id, 'VideoNode' AS node_type, 0.0::DOUBLE AS t_start, hi AS t_end FROM b UNION ALL SELECT video_id, 'episode/0', 'EpisodeNode', lo, hi FROM b UNION ALL SELECT video_id, win_id, 'SceneNode', t_start, t_end FROM sc UNION ALL SELECT video_id, 'clip/' || node_id, 'ClipNode', t_start, t_start FROM it WHERE node_type = 'SpeechNode'""")
+def backbone_nodes(spark, d):
+    it = items(spark, d)
+    parsed = build.parsed_scenes(scene_json(it))
+    none = spark.createDataFrame([], "video_id string, label string, start_scene_idx int, end_scene_idx int, narrative_role string, summary string")
+    keys = it.where("node_type = 'SpeechNode'").select("video_id", F.col("node_id").alias("frame_id"), "ord", F.col("t_start").alias("ts"))
+    return build.backbone(parsed, build.episodes(parsed, none), keys).select("video_id", "node_id", "node_type", "t_start", "t_end")
+
+
+@query(f"""WITH {ITEMS} SELECT video_id, CASE WHEN ord % 2 = 0 THEN 'speech/' ELSE 'cue/' END || ord AS node_id, label, CASE WHEN ord % 2 = 0 THEN CASE WHEN ord % 4 = 0 THEN 1.8 ELSE round(1 - confidence, 9) END ELSE 1.0 END AS confidence FROM it WHERE node_type = 'SpeechNode' AND ord % 6 <> 3""")
+def speech_nodes(spark, d):
+    it = items(spark, d).where("node_type = 'SpeechNode'").select("video_id", "ord", F.col("t_start").alias("start"), F.col("t_end").alias("end"), F.when(F.col("ord") % 6 == 3, "  ").otherwise(F.concat(F.lit(" "), "label")).alias("text"), F.when(F.col("ord") % 4 != 0, -F.col("confidence")).alias("avg_logprob"))
+    n = build.speech_nodes(it.where("ord % 2 = 0"), it.where("ord % 2 = 1"))
+    return n.select("video_id", "node_id", "label", F.round("confidence", 9).alias("confidence"))
+
+
+@query("""WITH v AS (SELECT c_custkey AS video_id, abs(c_acctbal) AS duration, least(1.0, 60 / greatest(abs(c_acctbal), 1e-9)) AS fps FROM customer) SELECT video_id, round(i / fps, 6) AS ts FROM (SELECT video_id, fps, unnest(range(0, greatest(floor(duration * fps)::BIGINT, 1))) AS i FROM v WHERE duration > 0)""")
+def coarse_grid(spark, d):
+    v = table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"), F.abs("c_acctbal").alias("duration"))
+    return readers.coarse_grid(v, most=60).select("video_id", F.round("ts", 6).alias("ts"))
+
+
+@query("""WITH l AS (SELECT 'videos/' || c_custkey || '.mp4' AS path, c_custkey FROM customer) SELECT path, 'videos/' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN '.srt' WHEN c_custkey % 4 = 1 THEN '.vtt' ELSE '.en.vtt' END AS subtitle FROM l WHERE c_custkey % 4 <> 3""")
+def subtitle_files(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("videos/"), "c_custkey", F.lit(".mp4")).alias("path"))
+    name = lambda suffix: F.concat(F.lit("videos/"), "c_custkey", F.lit(suffix))
+    have = F.when(F.col("c_custkey") % 4 == 0, F.array(name(".en.srt"), name(".srt"))).when(F.col("c_custkey") % 4 == 1, F.array(name(".vtt"), name(".en.vtt"))).when(F.col("c_custkey") % 4 == 2, F.array(name(".en.vtt"), name(".txt"))).otherwise(F.array(name(".txt")))
+    return readers.subtitle_of(c.select(F.explode(have).alias("path")), c)
+
+
+@query("""WITH r AS (SELECT d.source AS video, d.lang AS video_type, l.quality = 1 AS ok FROM labels l JOIN documents d USING (doc_id)) SELECT 'overall' AS scope, 'all' AS key, count(*) AS total, count(*) FILTER (ok) AS correct, avg(ok::INT) AS accuracy FROM r
+ UNION ALL SELECT 'video', video, count(*), count(*) FILTER (ok), avg(ok::INT) FROM r GROUP BY video UNION ALL SELECT 'video_type', video_type, count(*), count(*) FILTER (ok), avg(ok::INT) FROM r GROUP BY video_type UNION ALL SELECT 'question_type', t, count(*), count(*) FILTER (ok), avg(ok::INT) FROM (SELECT unnest(['x', video]) AS t, ok FROM r) GROUP BY t""")
+def evaluation_metrics(spark, d):
+    path = _folder(spark, "metrics")
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    q = j.select(F.col("doc_id").alias("uid"), F.col("source").alias("video_path"), F.col("lang").alias("type"), F.concat(F.lit("['x', '"), "source", F.lit("']")).alias("question_type"), F.lit("").alias("time_reference"), F.lit("a ").alias("answer"))
+    a = j.select(F.col("doc_id").alias("uid"), F.when(F.col("quality") == 1, "A").otherwise("B").alias("answer"))
+    writers.metrics(evaluation.metrics(evaluation.scored(q, a)), path)
+    return spark.read.parquet(path).select("scope", "key", "total", "correct", "accuracy")
+
+
+@query(f"""WITH {ITEMS} SELECT video_id, node_id, coalesce(abs(value - lag(value) OVER (PARTITION BY video_id ORDER BY t_start, ord)), 0.0) AS hist FROM it""")
+def frame_deltas(spark, d):
+    return W.deltas(items(spark, d), VIDEO, ["t_start", "ord"], {"hist": ("value", lambda a, b: F.abs(b - a))}).select("video_id", "node_id", "hist")
+
+
+@query("""SELECT n_nationkey AS qid, 'search_graph' AS name, 'ring of ' || n_name AS query, 'look' AS tool, '3|9' AS args, '{"a": "}", "b": [1]}' AS body FROM nation""")
+def parsed_calls(spark, d):
+    n = table(spark, d, "nation")
+    call = F.concat(F.lit("I will search.\n<function=search_graph><parameter=query>\nring of "), "n_name", F.lit("\n</parameter></function>"))
+    react = F.lit("Thought: (A)\nAction: skip(1)\nThought: more\nAction: look('3', \"9\")")
+    body = F.lit('<think>{"no": 1}</think> Here: {"a": "}", "b": [1]} and {"c": 2}')
+    c = n.select(F.col("n_nationkey").alias("qid"), F.element_at(T.tool_calls(call), 1).alias("x"), T.react_action(react).alias("r"), T.first_object(body).alias("body"))
+    return c.select("qid", "x.name", F.col("x.args")["query"].alias("query"), F.col("r.name").alias("tool"), F.array_join("r.args", "|").alias("args"), "body")
+
+
+@query("""SELECT c_custkey AS qid, CASE WHEN c_custkey % 5 = 0 THEN 1 WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS elasticity, c_custkey % 5 <> 0 AND c_custkey % 3 = 0 AND c_custkey % 2 = 0 AS satisfied FROM customer""")
+def warrant_verdicts(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.when(F.col("c_custkey") % 5 != 0, F.lit("a ")).alias("full"), F.when(F.col("c_custkey") % 3 == 0, "A").otherwise("B").alias("ablated"), F.when(F.col("c_custkey") % 2 == 0, 1.0).otherwise(0.5).alias("coverage"))
+    return c.withColumn("elasticity", warrant.elasticity(F.col("full"), F.col("ablated"))).withColumn("satisfied", warrant.satisfied()).select("qid", "elasticity", "satisfied")
+
+
+@query(f"""WITH {ITEMS}, {_DAYS}, q AS (SELECT n_nationkey AS qid, 'v' || n_nationkey % 10 AS video_id FROM nation), a AS (SELECT qid, min(node_id) AS node_id FROM q JOIN it USING (video_id) WHERE qid % 3 = 0 GROUP BY 1), e AS (SELECT q.qid, episode, row_number() OVER (PARTITION BY q.qid ORDER BY day) AS rn FROM q JOIN ep USING (video_id) WHERE qid % 3 <> 0)
+ SELECT qid, node_id FROM a UNION ALL SELECT qid, episode FROM e WHERE rn <= 6""")
+def walk_seeds(spark, d):
+    it = items(spark, d)
+    q = asked(spark, d).withColumns({"types": F.array(F.lit("other")), "options": F.lit(None).cast("map<string,string>")})
+    active = q.where("qid % 3 = 0").join(it, "video_id").groupBy("qid", "video_id").agg(F.min("node_id").alias("node_id"))
+    return walking.seeded(q, active, graph_nodes(it, day_rows(it))).nodes.select("qid", "node_id")
+
+
+@query(f"""WITH {ITEMS}, b AS (SELECT video_id, entity_id, min(label) AS name FROM it WHERE node_type = 'CharacterNode' AND user_id % 2 = 0 GROUP BY 1, 2) SELECT i.video_id, node_id, CASE WHEN name IS NOT NULL AND NOT contains(lower(label), lower(name)) THEN name || ' (' || label || ')' ELSE label END AS label FROM it i LEFT JOIN b ON i.video_id = b.video_id AND i.entity_id = b.entity_id AND i.node_type = 'CharacterNode'""")
+def renamed_characters(spark, d):
+    it = items(spark, d)
+    people = it.where("node_type = 'CharacterNode'")
+    names = people.where("user_id % 2 = 0").groupBy("video_id", "entity_id").agg(F.min("label").alias("reasoning")).join(people.select("video_id", "entity_id", F.col("node_id").alias("dst")), ["video_id", "entity_id"])
+    return build.renamed_by_banner(graph_nodes(it), names).select("video_id", "node_id", "label")
+
+
+@query("SELECT o_orderstatus AS stage, count(*) AS n FROM orders GROUP BY 1")
+def debug_log(spark, d):
+    path = _folder(spark, "debug")
+    o = table(spark, d, "orders")
+    for s in ("F", "O", "P"):
+        writers.debug_records(o.where(F.col("o_orderstatus") == s).select("o_orderkey"), path, s)
+    return spark.read.parquet(path).groupBy("stage").agg(F.count("*").alias("n"))
