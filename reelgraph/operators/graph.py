@@ -186,6 +186,7 @@ def components(links: DataFrame) -> DataFrame:
     nodes with very many links are skewed sort-merge joins, which Spark splits at run time.
     """
     shared_dir(links.sparkSession)
+    links = links.select("a", "b").checkpoint()  # two readers
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stars = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct().checkpoint()
     before = None
