@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalized, similarity
+from ..shared import shared_dir
 from .ranking import top_per_group
 
 #: Vectors of one block of the blocked self join, about; a task holds two blocks.
@@ -39,6 +40,8 @@ def zero_shot(vectors: DataFrame, labels: DataFrame, label: str, least: float =
     """
     v = vectors.select(F.col(id_col).alias("rg_id"), normalized(vector_col).alias("rg_v")).where("rg_v is not null").withColumn("rg_n", F.size("rg_v"))
     p = labels.select(F.col(label).alias("rg_id"), normalized("prototype").alias("rg_v")).where("rg_v is not null").withColumn("rg_n", F.size("rg_v"))
+    shared_dir(vectors.sparkSession)
+    p = p.checkpoint()  # prototypes are means over a table; they are read several times
     deal = lambda rows, n: rows.join(rows.groupBy("rg_n").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(n)), "rg_n")
     block = lambda n: F.pmod(F.xxhash64("rg_id", "rg_v"), F.col(n)).cast("int")
     p = deal(p, "rg_p").withColumn("bj", block("rg_p"))
