@@ -251,3 +251,72 @@ def test_ranking_is_by_size_reduction():
     assert got and all(f[4] == want[f[0]] for f in got)
     order = [f[0] for f in got]
     assert order == sorted(order, key=lambda i: (-want[i], i)) and {scanner.names[i] for i in order} >= {"MIT", "Apache-2.0", "GPL-3.0"}
+
+
+def brute_features(text):
+    """The forest's statistics by their names, from words and lines as lists."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, symbols = len(words), set("#*$%&|<>")
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    plain = lambda c: c.isascii() and c.isalnum() or ord(c) > 127
+    stretches = [words[i : i + quality_rules.STRETCH] for i in range(0, n, quality_rules.STRETCH)]
+    return {
+        "symbols_per_word": sum(c in symbols for c in text) / n, "mark_share": sum(c in "!?" for c in text) / n,
+        "bare_share": sum(any(c in symbols for c in w) and not any(map(plain, w)) for w in words) / n, "symbol_word_share": sum(any(c in symbols for c in w) for w in words) / n,
+        "repeat_share": brute_rules(text)[4] / n, "distinct_share": sum(len(set(s)) for s in stretches) / n, "top_word_share": max(map(words.count, set(words))) / n,
+        "twin_share": sum(a == b for a, b in zip(words, words[1:])) / n, "dup_line_share": brute_rules(text)[3] / max(len(lines), 1), "mean_word": sum(map(len, words)) / n,
+    }
+
+
+def test_forest_equals_a_plain_walk(graded, texts):
+    """Statistics from the text, paths node by node, and the verdict of every document."""
+    docs, labels = graded
+    forests = quality_rules.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, forests).collect()}
+    for r in docs.collect():
+        if not (r["text"] or "").split():
+            continue
+        found = brute_features(r["text"])
+        assert quality_rules.statistics(r["text"])[1] == pytest.approx([found[name] for name in quality_rules.FEATURES])
+        x, worst = [found[name] for name in quality_rules.FEATURES], 0.0
+        if r["doc_id"] % 7:
+            continue
+        for columns, forest in forests.parts:
+            own, paths = x[columns], []
+            for feature, split, left, path in zip(forest.feature, forest.split, forest.left, forest.path):
+                node = 0
+                while feature[node] >= 0:
+                    node = left[node] + (own[feature[node]] >= split[node])
+                paths.append(path[node])
+            worst = max(worst, 2 ** (-sum(paths) / len(paths) / forest.scale) / forest.threshold)
+        row = got[r["doc_id"]]
+        assert row["anomaly"] == pytest.approx(worst)
+        assert row["kept"] == (worst <= 1 and not row["base_failed"]) or worst == pytest.approx(1)
+
+
+def test_kernel_counts_the_ngrams_both_texts_hold():
+    bins = lambda t: {i for i, x in enumerate(language_id.presence(t)) if x}
+    texts = ["the and with", "der ung ich ein", "été le ment", "the ung été", "x"]
+    model = language_id.train(__import__("numpy").stack([language_id.presence(t) for t in texts]), ["en", "de", "fr", "en", "de"])
+    kernel = model.kernel(__import__("numpy").stack([language_id.presence(t) for t in texts]))
+    held = [bins(t) for t in texts]
+    columns = [{i for i, x in enumerate(model.landmarks[:, k]) if x} for k in range(model.landmarks.shape[1])]
+    for a, row in zip(held, kernel):
+        for b, value in zip(columns, row):
+            assert value == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-5)
+    grams = {g for n in (1, 2, 3) for t in [" the and with ".encode()] for g in {t[i : i + n] for i in range(len(t) - n + 1)}}
+    assert len(bins("the and with")) <= len(grams) and len(bins("the and with")) > 0.95 * len(grams)
+
+
+def test_grades_follow_the_cumulative_link(graded):
+    import math
+
+    docs, labels = graded
+    model = quality_classifier.fit(docs, labels)
+    for r in docs.where("doc_id < 60").collect():
+        score = float(sum(model.weights[b] for b in quality_classifier.features(r["text"])))
+        upto = [1 / (1 + math.exp(score - t)) for t in model.thresholds]  # P(grade <= k)
+        mass = [upto[0], upto[1] - upto[0], 1 - upto[1]]
+        assert min(mass) >= 0 and sum(mass) == pytest.approx(1)
+        expected, tail, kept = quality_classifier._judged(model, [r["text"]])
+        assert expected[0] == pytest.approx(sum(k * m for k, m in enumerate(mass)), abs=1e-5) and tail[0] == pytest.approx(mass[2], abs=1e-5) and bool(kept[0]) == (tail[0] >= model.cut)

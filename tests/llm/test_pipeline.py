@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input, and as a whole."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__
 from reelgraph.llm import quality_classifier, quality_rules, simhash_dedup, source_mixing
@@ -54,3 +56,19 @@ def test_scratch_tables_are_dropped(spark):
         assert len(left()) <= 6
     drop_scratch(spark)
     assert not left()
+
+
+def test_stages_bear_nulls_repeats_long_texts_and_clashing_columns(spark, texts):
+    from .conftest import SCHEMA
+
+    rows = [(i, t, None, ("a", None)[i % 2], None) for i, t in texts.items()] * 2 + [(None, None, None, None, None), (None, texts[20], "en", "a", 3), (5, texts[21], "de", "b", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("fp", "id", "score", "kept", "size", "target", "n_tokens", "word", "quality"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = {repr(r) for r in out.collect()}
+        assert got <= {repr(r) for r in docs.collect()}, name
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert encoded.count() == len(rows)
