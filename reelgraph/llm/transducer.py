@@ -33,6 +33,8 @@ CHUNK = 512
 #: Symbols before a chunk from which its entry states are guessed.
 WARM = (64, 16)
 STATE_BYTES, NONE = 220, -1
+#: Of how many steps one marks the states that it meets as used; frequent states are met by many lanes.
+MARK_STEPS = 8
 
 
 def _pack(node: int, token: int, count: int) -> int:
@@ -310,7 +312,8 @@ class Transducer:
                         self._fill(k >> 20, k & 0xFFFFF)
                 value = self._values(here, symbol)
             to = value >> 8
-            self.used[to] = self.clock
+            if not t % MARK_STEPS:
+                self.used[to] = self.clock
             if passed is not None:
                 passed[t, :alive] = self.token.take(to)
             else:

@@ -70,6 +70,8 @@ class WordBpe:
         ending = [vocab[c + suffix] for c in sorted(names, key=names.get)]
         #: Symbol of a byte, and of a byte that ends a word.
         self.symbol = np.array([*inner, *ending], np.int32)
+        #: The transducer's column of each, -1 until it is met.
+        self.column = np.full(512, -1, np.int32)
         spelled = {}
         for token, i in vocab.items():
             body, end = (token[: -len(suffix)], True) if token.endswith(suffix) else (token, False)
@@ -121,7 +123,8 @@ class WordBpe:
         n = len(points)
         last = np.ones(n, bool)
         last[:-1] = (kind[:-1] != kind[1:]) | (kind[:-1] == DIGIT)
-        quote = np.flatnonzero((points == 39) & (np.concatenate(([BLANK], kind[:-1])) != OTHER))
+        quote = np.flatnonzero(points == 39)
+        quote = quote[(quote == 0) | (kind[np.maximum(quote, 1) - 1] != OTHER)]
         if len(quote):
             ahead = np.concatenate((points, np.zeros(2, points.dtype)))
             one, two = ahead[quote + 1], ahead[quote + 2]
@@ -142,11 +145,14 @@ class WordBpe:
             upto = np.cumsum(width * word, dtype=np.int64)
             ends = np.zeros(len(data), bool)
             ends[upto[word & last] - 1] = True
-        symbols = self.symbol.take(data + np.multiply(ends, 256, dtype=np.int32))
-        present = np.flatnonzero(np.bincount(symbols, minlength=1))
-        column = np.zeros(int(self.symbol.max()) + 1, np.int32)
-        column[present] = self.machine.columns_of(present)
-        return column.take(symbols), ends, upto[np.minimum(stops, n) - 1] if n else np.zeros(len(texts), np.int64)
+        place = np.multiply(ends, 256, dtype=np.int16)
+        place += data
+        columns = self.column.take(place)
+        if len(columns) and columns.min() < 0:  # bytes that were not met before
+            fresh = np.unique(place[columns < 0])
+            self.column[fresh] = self.machine.columns_of(self.symbol[fresh])
+            columns = self.column.take(place)
+        return columns, ends, upto[np.minimum(stops, n) - 1] if n else np.zeros(len(texts), np.int64)
 
     def _compiled(self, texts: list[str]) -> tuple[list[int], list[int], tuple]:
         """Which texts run through the tables, which through the library, and the symbols of the first."""
