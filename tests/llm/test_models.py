@@ -294,6 +294,51 @@ def test_forest_equals_a_plain_walk(graded, texts):
         assert row["kept"] == (worst <= 1 and not row["base_failed"]) or worst == pytest.approx(1)
 
 
+def plain_threshold(score, good, most):
+    """Calibration over lists: of all thresholds that keep enough good rows, the one with the largest gain."""
+    right, wrong = sorted(s for s, g in zip(score, good) if g), [s for s, g in zip(score, good) if not g]
+    floor = right[min(len(right) - 1, most)]
+    options = {floor, right[-1] + 1e-6, *(s for s in wrong if s > floor)}
+    return max(options, key=lambda t: (sum(s > t for s in wrong) - 4 * sum(s > t for s in right), -t))
+
+
+def test_forests_learn_from_every_labelled_row(spark):
+    """The thresholds are those over all labelled rows, thousands of them."""
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choice(("ab", "cde", "fgh!", "ijkl")) + str(rng.randrange(200)) + rng.choice(("#", "", "", "")) * (i % 9 == 0) for _ in range(rng.randint(20, 30)))) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i, _ in rows], "doc_id bigint, quality int")
+    forests = quality_rules.fit(docs, labels)
+    measured = [(i % 9 > 0, *quality_rules.statistics(t)) for i, t in rows]
+    measured = [(good, f) for good, base, f in measured if not quality_rules.base_failed(base)]
+    x, good = __import__("numpy").array([f for _, f in measured]), [g for g, _ in measured]
+    assert len(good) > 8000
+    most, stays = -(-985 * sum(good) // 1000), [True] * len(good)
+    for columns, forest in forests.parts:
+        score = forest.scores(x[:, columns]).tolist()
+        assert forest.threshold == plain_threshold([s for s, k in zip(score, stays) if k], [g for g, k in zip(good, stays) if k], most)
+        stays = [k and s <= forest.threshold for k, s in zip(stays, score)]
+
+
+def test_trees_draw_from_all_rows(spark):
+    n = 9000
+    rows = spark.range(n).select("id", F.array(*[F.col("id").cast("double") + k for k in range(3)]).alias("features"))
+    x, drawn = quality_rules.draw(rows)
+    again, same = quality_rules.draw(rows.repartition(7))
+    assert (x == again).all() and (drawn == same).all() and drawn.shape == (quality_rules.TREES, quality_rules.TREE_ROWS)
+    assert all(len({x[k][0] for k in tree}) == quality_rules.TREE_ROWS for tree in drawn)
+    met = {int(row[0]) for row in x}
+    assert len(met) == len(x) > 0.9 * n and all(row.tolist() == [row[0], row[0] + 1, row[0] + 2] for row in x)
+
+
+@pytest.mark.parametrize("steps, n, most", [(7, 400, 150), (100000, 900, 500), (5000, 900, 10**6), (1, 50, 3), (100000, 300, 0)])
+def test_thresholds_equal_plain_calibration(spark, steps, n, most):
+    rng = random.Random(steps + n)
+    rows = [(rng.randint(1, steps) / steps * (0.5 if g else 1), g) for g in (rng.random() < 0.7 for _ in range(n))]
+    scored = spark.createDataFrame(rows, "score double, good boolean").repartition(3)
+    assert quality_rules.calibrate(scored, most) == plain_threshold(*zip(*rows), most)
+
+
 def test_kernel_counts_the_ngrams_both_texts_hold():
     bins = lambda t: {i for i, x in enumerate(language_id.presence(t)) if x}
     texts = ["the and with", "der ung ich ein", "été le ment", "the ung été", "x"]
