@@ -29,3 +29,7 @@ def test_precision_frames_grow_from_the_start(spark):
     clips = [(m["video_id"], t) for _, kind, t, _, m in rows if kind == "ClipNode"]
     want = {n: min((float(abs(t - c)) for v, c in clips if v == m["video_id"]), default=999.0) for n, _, t, _, m in rows}
     assert {r["node_id"]: r["temporal_precision"] for r in p.collect()} == want
+
+
+def test_clip_gap_frames_grow_from_the_start(spark):
+    assert "unboundedfollowing" not in plan_of(catalog.nearest_clip_gap(spark, SF)).lower()
