@@ -33,3 +33,7 @@ def test_precision_frames_grow_from_the_start(spark):
 
 def test_clip_gap_frames_grow_from_the_start(spark):
     assert "unboundedfollowing" not in plan_of(catalog.nearest_clip_gap(spark, SF)).lower()
+
+
+def test_window_overlap_frames_grow_from_the_start(spark):
+    assert "unboundedfollowing" not in plan_of(catalog.window_overlap(spark, SF)).lower()
