@@ -3,10 +3,13 @@
 import contextlib
 import io
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from reelgraph import catalog, catalog_graph  # noqa: F401
+from reelgraph import catalog
+from reelgraph.operators import intervals as I
+from reelgraph.operators import matching as M
 from reelgraph.plans import build
 from tests.test_operators import nodes_of
 
@@ -37,3 +40,18 @@ def test_clip_gap_frames_grow_from_the_start(spark):
 
 def test_window_overlap_frames_grow_from_the_start(spark):
     assert "unboundedfollowing" not in plan_of(catalog.window_overlap(spark, SF)).lower()
+
+
+def quick(f, most=60.0):
+    """What ``f`` gives; it must not take as long as all pairs would."""
+    begun = time.time()
+    out = f()
+    assert time.time() - begun < most
+    return out
+
+
+def test_text_meets_scenes_around_it_alone(spark):
+    n = spark.range(60_000).select(F.lit("v").alias("video_id"), F.col("id").cast("string").alias("node_id"), F.lit("OCRNode").alias("node_type"), (F.col("id") * 3 + 1.0).alias("a_t"))
+    s = spark.range(60_000).select(F.lit("v").alias("video_id"), F.col("id").alias("k"), (F.col("id") * 3.0).alias("b_t0"), (F.col("id") * 3 + 2.0).alias("b_t1"))
+    hits = lambda: I.first_containing(n, s, ["video_id", "node_id"], "k", ["video_id"]).where("k = cast(node_id as bigint)").count()
+    assert quick(hits) == 60_000
