@@ -55,3 +55,13 @@ def test_text_meets_scenes_around_it_alone(spark):
     s = spark.range(60_000).select(F.lit("v").alias("video_id"), F.col("id").alias("k"), (F.col("id") * 3.0).alias("b_t0"), (F.col("id") * 3 + 2.0).alias("b_t1"))
     hits = lambda: I.first_containing(n, s, ["video_id", "node_id"], "k", ["video_id"]).where("k = cast(node_id as bigint)").count()
     assert quick(hits) == 60_000
+
+
+def test_first_containing_where_scenes_overlap(spark):
+    rng = random.Random(5)
+    spans = [(k, float(t), float(t + rng.choice([0, 30, 200, 90_000]))) for k, t in enumerate(rng.randrange(2000) for _ in range(300))]
+    points = [(i, rng.randrange(8000) / 4) for i in range(400)]
+    got = I.first_containing(spark.createDataFrame(points, "i int, a_t double"), spark.createDataFrame(spans, "k int, b_t0 double, b_t1 double"), ["i"], "k", width=20.0)
+    want = {i: min(ks) for i, t in points if (ks := [k for k, a, b in spans if a <= t <= b])}
+    assert {r["i"]: r["k"] for r in got.collect()} == want
+    assert "min(" in plan_of(got)  # a span over a whole bucket hides those after it
