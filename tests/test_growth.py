@@ -65,3 +65,9 @@ def test_first_containing_where_scenes_overlap(spark):
     want = {i: min(ks) for i, t in points if (ks := [k for k, a, b in spans if a <= t <= b])}
     assert {r["i"]: r["k"] for r in got.collect()} == want
     assert "min(" in plan_of(got)  # a span over a whole bucket hides those after it
+
+
+def test_speech_meets_characters_around_it_alone(spark):
+    a = spark.range(40_000).select(F.lit("v").alias("video_id"), F.col("id").alias("i"), (F.col("id") * 9.0).alias("a_t0"), (F.col("id") * 9 + 5.0).alias("a_t1"))
+    b = spark.range(40_000).select(F.lit("v").alias("video_id"), F.col("id").alias("k"), (F.col("id") * 9.0 + 4).alias("b_t0"), (F.col("id") * 9 + 7.0).alias("b_t1"))
+    assert quick(lambda: I.longest_overlap(a, b, ["i"], "k", ["video_id"]).where("i = k and overlap = 1").count()) == 40_000
