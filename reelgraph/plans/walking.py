@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..operators.graph import expand
+from ..operators.intervals import overlap_join
 from ..operators.ranking import top_per_group
 from ..schema import BUILD_DEFAULT, BUILD_MOST_FRAMES, BUILD_WINDOWS, FAMILIES, FRONTIER_K, HOPS, SCENE_JSON, SEARCH_SIMILARITY, WINDOW_BUFFER, ZOOM_BUFFER
 from ..shared import shared_dir
@@ -122,13 +123,19 @@ def warranted(walk: Walk, nodes: DataFrame, edges: DataFrame, full: DataFrame, a
 
 def frame_texts(frames: DataFrame, nodes: DataFrame, around: float = 3.0, buffer: float = WINDOW_BUFFER) -> DataFrame:
     """What stands in for an archived frame (qid, video_id, ts): labels and descriptions around it, each once, 600 characters."""
-    j = frames.select("qid", *V, "ts").join(nodes, V).where((F.col("t_start") <= F.col("ts") + around + buffer) & (F.col("t_end") >= F.col("ts") - around - buffer))
+    wanted = frames.select("qid", *V, "ts").distinct()
     said = F.array_compact(F.array(F.when(F.length("label") > 3, F.col("label")), F.left(F.expr("nullif(canonical_description, '')"), F.lit(200))))
-    each = j.select("qid", *V, "ts", "t_start", "ord", F.posexplode(said).alias("pos", "text"))
-    first = each.groupBy("qid", *V, "ts", "text").agg(F.min(F.struct("t_start", "ord", "pos")).alias("at"))
+    each = nodes.where("t_start is not null and t_end is not null").select(*V, "t_start", "t_end", "ord", F.posexplode(said).alias("pos", "text"))
+    # what ends no later than an earlier node of the same text is never the first of it around a frame
+    earlier = Window.partitionBy(*V, "text").orderBy("t_start", "ord", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("rg_end", F.max("t_end").over(earlier)).where("rg_end is null or t_end > rg_end").drop("rg_end")
+    spans = each.withColumns({"b_t0": F.least("t_start", "t_end"), "b_t1": F.greatest("t_start", "t_end")})
+    times = wanted.select(*V, "ts").distinct().withColumns({"a_t0": F.col("ts") - around - buffer, "a_t1": F.col("ts") + around + buffer})
+    j = overlap_join(times, spans, V).where("t_start <= a_t1 and t_end >= a_t0")
+    first = j.groupBy(*V, "ts", "text").agg(F.min(F.struct("t_start", "ord", "pos")).alias("at"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
-    texts = first.groupBy("qid", *V, "ts").agg(F.left(F.array_join(packed, " | "), F.lit(600)).alias("text"))
-    return frames.select("qid", *V, "ts").distinct().join(texts, ["qid", *V, "ts"], "left").withColumn("text", F.coalesce("text", F.lit("(no caption)")))
+    texts = first.groupBy(*V, "ts").agg(F.left(F.array_join(packed, " | "), F.lit(600)).alias("text"))
+    return wanted.join(texts, [*V, "ts"], "left").select("qid", *V, "ts", "text").withColumn("text", F.coalesce("text", F.lit("(no caption)")))
 
 
 def minted(perceived: DataFrame, hop: int) -> DataFrame:

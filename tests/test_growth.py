@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelgraph import catalog
 from reelgraph.operators import intervals as I
 from reelgraph.operators import matching as M
-from reelgraph.plans import build
+from reelgraph.plans import build, walking
 from tests.test_operators import nodes_of
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +93,12 @@ def test_merged_spans_hold_the_same_points(spark):
     for g in "ab":
         for t in (x / 2 for x in range(620)):
             assert sum(a <= t <= b for h, a, b in got if h == g) == any(a <= t <= b for h, a, b in spans if h == g)
+
+
+def test_frame_texts_meet_nodes_around_them_alone(spark):
+    rows = [(f"n{i}", "OCRNode", t, t + d, {"label": label}) for i, (t, d, label) in enumerate([(0, 500, "long one"), (10, 5, "long one"), (20, 5, "short"), (400, 9, "short"), (405, 1, "short"), (100, 0, "abc")])]
+    frames = spark.createDataFrame([(0, "v", 50.0), (1, "v", 50.0), (1, "v", 402.0), (1, "v", 9000.0)], "qid int, video_id string, ts double")
+    f = walking.frame_texts(frames, nodes_of(spark, rows))
+    want = {(0, 50.0): "long one | short", (1, 50.0): "long one | short", (1, 402.0): "long one | short", (1, 9000.0): "(no caption)"}
+    assert {(r["qid"], r["ts"]): r["text"] for r in f.collect()} == want
+    assert "rg_k" in plan_of(f)  # joined in buckets of time
