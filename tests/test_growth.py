@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelgraph import catalog
 from reelgraph.operators import intervals as I
 from reelgraph.operators import matching as M
-from reelgraph.plans import build, walking
+from reelgraph.plans import build, prompts, walking
 from tests.test_operators import nodes_of
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +102,14 @@ def test_frame_texts_meet_nodes_around_them_alone(spark):
     want = {(0, 50.0): "long one | short", (1, 50.0): "long one | short", (1, 402.0): "long one | short", (1, 9000.0): "(no caption)"}
     assert {(r["qid"], r["ts"]): r["text"] for r in f.collect()} == want
     assert "rg_k" in plan_of(f)  # joined in buckets of time
+
+
+def test_frames_of_windows_are_counted_without_pairs(spark):
+    rng = random.Random(4)
+    windows = [("v", f"w{i}", t, t + rng.randrange(400)) for i, t in enumerate(float(rng.randrange(9000)) for _ in range(40))]
+    frames = [("v", f"f{i}", float(rng.randrange(9000))) for i in range(300)]
+    w, f = spark.createDataFrame(windows, "video_id string, win_id string, t_start double, t_end double"), spark.createDataFrame(frames, "video_id string, frame_id string, ts double")
+    want = {i: n for _, i, a, b in windows if (n := sum(a <= t <= b for _, _, t in frames))}
+    assert {r["win_id"]: r["n_frames"] for r in prompts.scene_requests(w, f, listed=False).collect()} == want
+    listed = prompts.scene_requests(w, f)
+    assert {r["win_id"]: len(r["frames"]) for r in listed.collect()} == want and "rg_k" in plan_of(listed)
