@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelgraph import catalog
 from reelgraph.operators import intervals as I
 from reelgraph.operators import matching as M
+from reelgraph.operators import similarity as S
 from reelgraph.plans import build, prompts, walking
 from tests.test_operators import nodes_of
 
@@ -113,3 +114,10 @@ def test_frames_of_windows_are_counted_without_pairs(spark):
     assert {r["win_id"]: r["n_frames"] for r in prompts.scene_requests(w, f, listed=False).collect()} == want
     listed = prompts.scene_requests(w, f)
     assert {r["win_id"]: len(r["frames"]) for r in listed.collect()} == want and "rg_k" in plan_of(listed)
+
+
+def test_many_vectors_go_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(S, "MOST_ROWS", 40)
+    v = spark.range(200).select("id", F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    assert {r["rg_blocks"] for r in S._blocks(v.select(F.col("id"), "embedding"), "id", "embedding", [])[0].groupBy().agg(F.countDistinct("bi").alias("rg_blocks")).collect()} == {8}
