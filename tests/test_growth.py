@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from reelgraph import catalog
+from reelgraph.operators import graph as G
 from reelgraph.operators import intervals as I
 from reelgraph.operators import matching as M
 from reelgraph.operators import similarity as S
@@ -121,3 +122,11 @@ def test_many_vectors_go_to_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_ROWS", 40)
     v = spark.range(200).select("id", F.array(F.sin("id"), F.cos("id")).alias("embedding"))
     assert {r["rg_blocks"] for r in S._blocks(v.select(F.col("id"), "embedding"), "id", "embedding", [])[0].groupBy().agg(F.countDistinct("bi").alias("rg_blocks")).collect()} == {8}
+
+
+def test_links_of_blocks_make_the_components_of_all_pairs(spark):
+    rng = random.Random(2)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)], "id int, embedding array<double>")
+    pairs, links = S.similar_pairs(v, 0.9, "id"), S.similar_links(v, 0.9, "id")
+    of = lambda p: {tuple(r) for r in G.components(p.select(F.col("src").alias("a"), F.col("dst").alias("b"))).collect()}
+    assert of(links) == of(pairs) and links.count() < pairs.count()
