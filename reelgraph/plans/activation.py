@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import list_literal, question_type, words
 from ..functions.vectors import cosine
 from ..operators.graph import children, first_neighbour, nodes_in_window, reach, reach_all, spine_walk, undirected, with_parents
-from ..operators.intervals import overlap_join
+from ..operators.intervals import merged_spans, overlap_join
 from ..operators.ranking import budget_prune, nearest_in_time, top_per_group
 from ..operators.similarity import zero_shot
 from ..schema import CAUSAL, INTENT_SIMILARITY, KEYWORD_INTENTS, LONG_SPAN, NO_CLIP, NODE_BUDGET, QUESTION_INTENTS, SEED_SIMILARITY
@@ -143,6 +143,12 @@ def seeds_by_similarity(questions: DataFrame, vectors: DataFrame, k: int = 20, l
 WALKS = {"CAUSAL": (CAUSAL, 3), "COUNTERFACT": (CAUSAL, 2), "INTENTIONAL": (("MOTIVATES",), 3), "SPATIAL": (SPATIAL_STEPS, 1), "IDENTITY": (("SAME_ENTITY",), 1)}
 
 
+def _around(times: DataFrame, nodes: DataFrame, k: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """Nodes that overlap any of the times (s0, s1) of a question, found over the times' union."""
+    spans = merged_spans(times.select(*k, F.col("s0").alias("b_t0"), F.col("s1").alias("b_t1")), k)
+    return overlap_join(nodes.select(*on, "node_id", F.col("t_start").alias("a_t0"), F.col("t_end").alias("a_t1")), spans, on).select(*k, "node_id")
+
+
 def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, on: Sequence[str] = ("video_id",), most: int = NODE_BUDGET, follow_arc: bool = False) -> DataFrame:
     """Active nodes of each question: seeds, what its intents reach, parents, cut to the budget.
 
@@ -188,14 +194,14 @@ def activate(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
     spans = nodes.select(*on, "node_id", "node_type", F.col("t_start").alias("s0"), F.col("t_end").alias("s1"))
     characters = nodes.where("node_type = 'CharacterNode'").select(*on, "node_id", "t_start", "t_end")
     felt = at("EMOTIONAL").join(spans, [*on, "node_id"])
-    people = felt.select(*k, "s0", "s1").join(characters, list(on)).where("t_start <= s1 and t_end >= s0").select(*k, "node_id").distinct()
+    people = _around(felt, characters, k, on).distinct()
     starts = people.unionByName(felt.where("node_type = 'CharacterNode'").select(*k, "node_id")).distinct()
     moved = reach_all(starts, edges, ("EMOTION_SHIFT",), k).select(*k, "node_id")
     times = moved.join(spans.where("node_type = 'CharacterNode'"), [*on, "node_id"]).select(*k, "s0", "s1").distinct()
-    scenes = times.join(nodes.where("node_type = 'SceneNode'").select(*on, "node_id", "t_start", "t_end"), list(on)).where("t_start <= s1 and t_end >= s0")
-    out = out.unionByName(moved).unionByName(scenes.select(*k, "node_id"))
+    scenes = _around(times, nodes.where("node_type = 'SceneNode'").select(*on, "node_id", "t_start", "t_end"), k, on)
+    out = out.unionByName(moved).unionByName(scenes)
     acting = at("INTENTIONAL").join(spans.where("node_type in ('ActionNode', 'SceneNode', 'ClipNode')"), [*on, "node_id"]).select(*k, "s0", "s1")
-    out = out.unionByName(acting.join(characters, list(on)).where("t_start <= s1 and t_end >= s0").select(*k, "node_id"))
+    out = out.unionByName(_around(acting, characters, k, on))
 
     late = at("PROSPECTIVE").join(nodes.select(*on, "node_id", "t_start"), [*on, "node_id"])
     latest = top_per_group(late, k, 5, F.desc("t_start"), F.col("node_id"))

@@ -12,7 +12,7 @@ from reelgraph.operators import graph as G
 from reelgraph.operators import intervals as I
 from reelgraph.operators import matching as M
 from reelgraph.operators import similarity as S
-from reelgraph.plans import build, prompts, walking
+from reelgraph.plans import activation, build, prompts, walking
 from tests.test_operators import nodes_of
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +130,10 @@ def test_links_of_blocks_make_the_components_of_all_pairs(spark):
     pairs, links = S.similar_pairs(v, 0.9, "id"), S.similar_links(v, 0.9, "id")
     of = lambda p: {tuple(r) for r in G.components(p.select(F.col("src").alias("a"), F.col("dst").alias("b"))).collect()}
     assert of(links) == of(pairs) and links.count() < pairs.count()
+
+
+def test_what_overlaps_a_question_is_joined_by_time(spark):
+    times = spark.createDataFrame([(1, "v", 0.0, 10.0), (1, "v", 5.0, 20.0), (2, "v", 90.0, 95.0)], "qid int, video_id string, s0 double, s1 double")
+    nodes = spark.createDataFrame([("v", "a", 20.0, 30.0), ("v", "b", 21.0, 89.0), ("v", "c", 0.0, 100.0)], "video_id string, node_id string, t_start double, t_end double")
+    got = activation._around(times, nodes, ["qid", "video_id"], ["video_id"])
+    assert sorted((r["qid"], r["node_id"]) for r in got.collect()) == [(1, "a"), (1, "c"), (2, "c")]
