@@ -56,7 +56,8 @@ def majority(votes: DataFrame, on: Sequence[str], answer: str, order: str, error
 
 
 def dominant(counts: DataFrame, on: Sequence[str], candidate: str, score: str) -> DataFrame:
-    """The best candidate of each group, if it is alone or has twice the score of the second."""
+    """The best candidate of each group, if it is alone or has twice the score of the second; Spark limits a group to two before the shuffle."""
     w = Window.partitionBy(*on).orderBy(F.desc(score), candidate)
-    r = counts.withColumns({"rg_n": F.row_number().over(w), "rg_second": F.lead(score).over(w)}).where("rg_n = 1")
+    two = top_per_group(counts, on, 2, F.desc(score), F.col(candidate))
+    r = two.withColumns({"rg_n": F.row_number().over(w), "rg_second": F.lead(score).over(w)}).where("rg_n = 1")
     return r.where(F.col("rg_second").isNull() | (F.col(score) >= 2 * F.greatest(F.lit(1), F.col("rg_second")))).drop("rg_n", "rg_second")

@@ -137,3 +137,37 @@ def test_what_overlaps_a_question_is_joined_by_time(spark):
     nodes = spark.createDataFrame([("v", "a", 20.0, 30.0), ("v", "b", 21.0, 89.0), ("v", "c", 0.0, 100.0)], "video_id string, node_id string, t_start double, t_end double")
     got = activation._around(times, nodes, ["qid", "video_id"], ["video_id"])
     assert sorted((r["qid"], r["node_id"]) for r in got.collect()) == [(1, "a"), (1, "c"), (2, "c")]
+
+
+def test_banners_and_characters_are_not_paired(spark):
+    b = spark.range(30_000).select(F.lit("v").alias("video_id"), F.when(F.col("id") % 3 == 0, "ann lee").otherwise("bob ray").alias("name"), F.col("id").cast("double").alias("t_start"))
+    a = spark.range(30_000).select(F.lit("v").alias("video_id"), F.when(F.col("id") < 29_000, "x").otherwise(F.concat(F.lit("y"), "id")).alias("node_id"), (F.col("id") * 0.9).alias("timestamp"))
+    got = quick(lambda: M.named_characters(b, a, ["video_id"], gap=10_000.0).collect(), 40.0)
+    assert sorted(tuple(r) for r in got) == [("v", "ann lee", "x", 10_000), ("v", "bob ray", "x", 20_000)]
+    got = quick(lambda: M.named_characters(b, a.where("node_id = 'x' or timestamp > 26999"), ["video_id"], gap=10.0).collect(), 40.0)
+    assert sorted(tuple(r) for r in got) == [("v", "ann lee", "x", 8704), ("v", "bob ray", "x", 17406)]
+
+
+def test_named_characters_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "NAMES_AT_ONCE", 4)
+    rng = random.Random(8)
+    found_any = 0
+    for gap in (0.1, 3.0, 40.0):
+        names = [*(f"n{i}" for i in range(15)), None]
+        b = [(rng.choice(["v", "w", None]), rng.choice(names), rng.choice([None, rng.randrange(-300, 3000) / 10, rng.randrange(-300, 3000) / 10])) for _ in range(300)]
+        b += [("v", f"rare{i}", i * 30.0) for i in range(12)]
+        a = [(rng.choice(["v", "w", None]), rng.choice([*"abcdefg", None]), rng.randrange(-300, 3000) / 10 if rng.random() < 0.95 else None) for _ in range(60)]
+        hits = {}
+        for v, n, t in b:
+            for u, c, s in a:
+                if v is not None and v == u and t is not None and s is not None and abs(t - s) <= gap:
+                    hits.setdefault((v, n), {}).setdefault(c, set()).add(t)
+        want = set()
+        for (v, n), found in hits.items():
+            best = sorted(((-len(ts), c or "", c) for c, ts in found.items()))
+            if len(best) == 1 or -best[0][0] >= -2 * best[1][0]:
+                want.add((v, n, best[0][2], -best[0][0]))
+        got = M.named_characters(spark.createDataFrame(b, "video_id string, name string, t_start double"), spark.createDataFrame(a, "video_id string, node_id string, timestamp double"), ["video_id"], gap)
+        assert {tuple(r) for r in got.collect()} == want
+        found_any += len(want)
+    assert found_any > 5
