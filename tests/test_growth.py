@@ -171,3 +171,19 @@ def test_named_characters_equal_all_pairs(spark, monkeypatch):
         assert {tuple(r) for r in got.collect()} == want
         found_any += len(want)
     assert found_any > 5
+
+
+def test_first_containing_makes_no_pairs_where_scenes_overlap(spark):
+    points = spark.range(30_000).select(F.col("id").alias("i"), (20 + F.col("id") / 3000).alias("a_t"))
+    spans = spark.range(30_000).select((30_000 - F.col("id")).alias("k"), (F.col("id") / 2000).alias("b_t0"), (F.col("id") / 2000 + 35).alias("b_t1"))
+    assert quick(lambda: I.first_containing(points, spans, ["i"], "k").where("k = 1 and b_t1 < 50").count(), 40.0) == 30_000
+
+
+def test_first_containing_of_moments_and_edges(spark):
+    rng = random.Random(6)
+    at = [-64.0, -0.1, 0.0, 0.1, 0.3, 1e-7, 60.0, 64.0, 120.0, 3840.0, 245760.0, 245760.1]
+    spans = [(g, k, *sorted((rng.choice(at), rng.choice(at)))) for g in ("a", "b", None) for k in range(25)] + [("c", 1, 0.3, 0.3)]
+    points = [(i, rng.choice(["a", "b", "c", None]), rng.choice(at)) for i in range(300)]
+    got = I.first_containing(spark.createDataFrame(points, "i int, g string, a_t double"), spark.createDataFrame(spans, "g string, k int, b_t0 double, b_t1 double"), ["i"], "k", ["g"])
+    want = {(i, g, t, min(ks)) for i, g, t in points if g and (ks := [(k, a, b) for h, k, a, b in spans if h == g and a <= t <= b])}
+    assert {(r["i"], r["g"], r["a_t"], (r["k"], r["b_t0"], r["b_t1"])) for r in got.collect()} == want
